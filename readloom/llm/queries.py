@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm import quality_rules
+from readloom.llm import packing, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op5_best_fit_packing": packing.packing_query,
         "op10_quality_rules": quality_rules.quality_query,
     }
 
