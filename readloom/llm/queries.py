@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm import packing, quality_rules
+from readloom.llm import packing, quality_rules, sentencepiece_codec
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op5_best_fit_packing": packing.packing_query,
+        "op9_sentencepiece": sentencepiece_codec.sentencepiece_query,
         "op10_quality_rules": quality_rules.quality_query,
     }
 
