@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -53,3 +53,22 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+class Remembered(dict):
+    """``make``'s results by key, in bounded memory: of two generations the older goes when the newer is full."""
+
+    def __init__(self, make: Callable, entries: int, longest_key: int = 64):
+        super().__init__()
+        self.make, self.entries, self.longest_key, self.older = make, entries, longest_key, {}
+
+    def __missing__(self, key: str):
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= self.longest_key:
+            if len(self) >= self.entries:
+                self.older = dict(self)
+                self.clear()
+            self[key] = found
+        return found

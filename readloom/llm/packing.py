@@ -28,11 +28,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from readloom.llm.common import checkpointed, slices, table
+from readloom.llm.common import Remembered, checkpointed, slices, table
 
 CAPACITY = 2048
 SHARD_PIECES = 20_000
-CACHE_WORDS = 200_000
+CACHE_WORDS = 250_000
 END_ID = b"\0\0\0\0"
 
 #: The word pattern of the tokenizer file: a fixed value.
@@ -47,26 +47,14 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class _Words(dict):
-    """The ids of a word as little-endian 32-bit numbers; the library is asked once for each word."""
-
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.encode = tokenizer.encode
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        found = self[word] = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        return found
-
-
 def encoder(path: str) -> Callable[[str], bytes]:
     """A function from a text to its ids as little-endian 32-bit numbers, equal to the library's."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    words, find = _Words(tokenizer), re.compile(WORDS).findall
+    # the library is asked once for each word
+    of_word = lambda w: np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+    words, find = Remembered(of_word, CACHE_WORDS), re.compile(WORDS).findall
 
     def encode(text: str) -> bytes:
         if _PLAIN.fullmatch(text) and "<|" not in text and unicodedata.is_normalized("NFC", text):

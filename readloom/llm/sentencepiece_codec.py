@@ -19,17 +19,15 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from readloom.llm.common import slices, table
+from readloom.llm.common import Remembered, slices, table
 
 SPACE = "▁"
-CACHE_ENTRIES = 200_000
-CACHE_CHARS = 64
+CACHE_ENTRIES = 250_000
 
 
 def default_model() -> str:
@@ -55,10 +53,17 @@ class PrefixTableEncoder:
             if self.merged(piece) == [piece]:
                 self.automaton.add_word(piece, piece)
         self.automaton.make_automaton()
-        apart = not any(re.search(f"[^{SPACE}]{SPACE}", p) or "\n" in p for p in self.ids)
-        self.chunks = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n" if apart else "(?s).+").findall
+        self.chunks = re.compile(self._chunk_pattern()).findall
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.cache: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.decimals = Remembered(self._decimals, CACHE_ENTRIES)
+
+    def _chunk_pattern(self) -> str:
+        """Chunks end where no piece of the vocabulary goes on: before spaces and line ends, and between a letter and a mark that never follows one."""
+        if any(re.search(f"[^{SPACE}]{SPACE}", p) or "\n" in p for p in self.ids):
+            return "(?s).+"
+        joined = {m for p in self.ids for m in re.findall(r"(?<=[^\W\d_])[^\w]", p)}
+        marks = "".join(re.escape(c) for c in ".,;:!?)(" if c not in joined)
+        return rf"{SPACE}*[^\W\d_]+(?=[{marks}{SPACE}\n]|\Z)|{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n"
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text by plain merging: the best score first, then the leftmost."""
@@ -99,26 +104,19 @@ class PrefixTableEncoder:
             at -= len(last[at])
         return found[::-1]
 
-    def chunk_ids(self, chunk: str) -> tuple[tuple[int, ...], str]:
-        found = self.cache.get(chunk)
-        if found is None:
-            ids: list[int] = []
-            for piece in self.tabulated(chunk):
-                own = self.ids.get(piece)
-                ids.extend([own] if own is not None else [self.bytes[b] for b in piece.encode()])
-            found = tuple(ids), ",".join(map(str, ids))
-            if len(chunk) <= CACHE_CHARS:
-                if len(self.cache) >= CACHE_ENTRIES:
-                    self.cache.clear()
-                self.cache[chunk] = found
-        return found
+    def _decimals(self, chunk: str) -> str:
+        ids: list[int] = []
+        for piece in self.tabulated(chunk):
+            own = self.ids.get(piece)
+            ids.extend([own] if own is not None else [self.bytes[b] for b in piece.encode()])
+        return ",".join(map(str, ids))
 
-    def parts(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        """(ids, the ids as decimals joined by commas) of the chunks of a text."""
-        return list(map(self.chunk_ids, self.chunks(SPACE + text.replace(" ", SPACE)))) if text else []
+    def encode_decimals(self, text: str) -> str:
+        """The ids as decimals joined by commas."""
+        return ",".join(map(self.decimals.__getitem__, self.chunks(SPACE + text.replace(" ", SPACE)))) if text else ""
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(ids for ids, _ in self.parts(text)))
+        return list(map(int, self.encode_decimals(text).split(","))) if text else []
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
@@ -131,9 +129,9 @@ def _digests(path: str):
         for batch in slices(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts = encoder.parts(text or "")
-                ids = list(chain.from_iterable(own for own, _ in parts))
-                rows.append((doc_id, len(ids), sha(",".join(decimals for _, decimals in parts)), sha(encoder.decode(ids) if ids else "")))
+                decimals = encoder.encode_decimals(text or "")
+                ids = list(map(int, decimals.split(","))) if decimals else []
+                rows.append((doc_id, len(ids), sha(decimals), sha(encoder.decode(ids) if ids else "")))
             types = (pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
