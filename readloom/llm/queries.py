@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm import packing, quality_rules, sentencepiece_codec
+from readloom.llm import packing, quality_rules, sentencepiece_codec, spotsigs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op5_best_fit_packing": packing.packing_query,
+        "op8_spotsigs": spotsigs.fingerprints_query,
         "op9_sentencepiece": sentencepiece_codec.sentencepiece_query,
         "op10_quality_rules": quality_rules.quality_query,
     }
@@ -21,5 +22,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op8_spotsigs": spotsigs.ORACLE,
         "op10_quality_rules": quality_rules.ORACLE,
     }
