@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm import packing, quality_rules, sentencepiece_codec, spotsigs
+from readloom.llm import packing, quality_rules, sentencepiece_codec, spotsigs, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op4_warc": warc.warc_query,
         "op5_best_fit_packing": packing.packing_query,
         "op8_spotsigs": spotsigs.fingerprints_query,
         "op9_sentencepiece": sentencepiece_codec.sentencepiece_query,
@@ -22,6 +23,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_warc": warc.ORACLE,
         "op8_spotsigs": spotsigs.ORACLE,
         "op10_quality_rules": quality_rules.ORACLE,
     }
