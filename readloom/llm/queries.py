@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm import packing, quality_rules, sentencepiece_codec, spotsigs, warc
+from readloom.llm import packing, quality_rules, sentencepiece_codec, spotsigs, suffix_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_suffix_dedup": suffix_dedup.suffix_query,
         "op4_warc": warc.warc_query,
         "op5_best_fit_packing": packing.packing_query,
         "op8_spotsigs": spotsigs.fingerprints_query,
