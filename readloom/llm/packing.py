@@ -32,7 +32,7 @@ from readloom.llm.common import Remembered, checkpointed, slices, table
 
 CAPACITY = 2048
 SHARD_PIECES = 20_000
-CACHE_WORDS = 250_000
+CACHE_WORDS = 500_000
 END_ID = b"\0\0\0\0"
 
 #: The word pattern of the tokenizer file: a fixed value.
@@ -47,13 +47,24 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> list[str]:
+    """The letter for each byte in byte-level models: itself if it prints, else the next of those from 256 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b if b in prints else next(rest)) for b in range(256)]
+
+
 def encoder(path: str) -> Callable[[str], bytes]:
     """A function from a text to its ids as little-endian 32-bit numbers, equal to the library's."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    # the library is asked once for each word
-    of_word = lambda w: np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+    merge, letters = tokenizer.model.tokenize, _byte_letters()
+
+    def of_word(word: str) -> bytes:
+        """The library's model on one word, in the letters that stand for its bytes."""
+        return np.array([t.id for t in merge("".join(map(letters.__getitem__, word.encode())))], "<u4").tobytes()
+
     words, find = Remembered(of_word, CACHE_WORDS), re.compile(WORDS).findall
 
     def encode(text: str) -> bytes:

@@ -27,7 +27,8 @@ from pyspark.sql import types as T
 from readloom.llm.common import Remembered, slices, table
 
 SPACE = "▁"
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 500_000
+CACHE_PAIRS = 300_000
 
 
 def default_model() -> str:
@@ -81,7 +82,7 @@ class PrefixTableEncoder:
     def compatible(self, left: str, right: str) -> bool:
         found = self.pairs.get((left, right))
         if found is None:
-            if len(self.pairs) >= 5 * CACHE_ENTRIES:
+            if len(self.pairs) >= CACHE_PAIRS:
                 self.pairs.clear()
             found = self.pairs[left, right] = self.merged(left + right) == [left, right]
         return found
