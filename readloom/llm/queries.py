@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm import packing, quality_rules, sentencepiece_codec, spotsigs, suffix_dedup, warc
+from readloom.llm import ngram_join, packing, quality_rules, sentencepiece_codec, spotsigs, suffix_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_ngram_jaccard_join": ngram_join.join_query,
         "op3_suffix_dedup": suffix_dedup.suffix_query,
         "op4_warc": warc.warc_query,
         "op5_best_fit_packing": packing.packing_query,
@@ -24,6 +25,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_ngram_jaccard_join": ngram_join.ORACLE,
         "op4_warc": warc.ORACLE,
         "op8_spotsigs": spotsigs.ORACLE,
         "op10_quality_rules": quality_rules.ORACLE,
