@@ -28,16 +28,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import scratch_path, slices, table
+from readloom.llm.common import free_shuffles, scratch_path, slices, table
 
 LENGTH = 400
 GRAM = 64
 HOT_CONTEXTS = 20_000
 MAX_FILTER_BITS = 27
 BLOCK_BYTES = 3 << 20
+MAX_BROADCAST_KEYS = 1_000_000
+DICTIONARY_TEXTS = 200
+DICTIONARY_BYTES = 100_000
 CHUNK = 1 << 20
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -131,15 +135,32 @@ def text_key(data: bytes) -> bytes:
     return hashlib.md5(data).digest()
 
 
-_FOUND = "key long, digest binary, text_key binary, first long, last long, context binary"
+_PLACES = "digest binary, text_key binary, first long, last long"
+_CONTEXTS = "key long, digest binary, context binary"
 
 
-def _contexts(length: int, gram: int, repeated, several):
-    types = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
-    names = [x.split()[0] for x in _FOUND.split(", ")]
+def _packing_words(texts: DataFrame) -> bytes:
+    """A dictionary for packing contexts, from a few texts; it has no bearing on results."""
+    sample = [t[:20_000].encode() for (t,) in texts.where("text is not null").limit(DICTIONARY_TEXTS).collect()]
+    pieces = [t[i : i + 600] for t in sample for i in range(0, len(t), 600)]
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, pieces).as_bytes()
+    except zstandard.ZstdError:  # too few
+        return b""
+
+
+def _dictionary(words: bytes) -> zstandard.ZstdCompressionDict:
+    return zstandard.ZstdCompressionDict(words)
+
+
+def _found(length: int, gram: int, filtered, words: bytes | None):
+    """The places of contexts whose keys pass the filter; or, given ``words``, the contexts, packed, once for each task."""
+    types = [pa.binary(), pa.binary(), pa.int64(), pa.int64()] if words is None else [pa.int64(), pa.binary(), pa.binary()]
+    names = [x.split()[0] for x in (_PLACES if words is None else _CONTEXTS).split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, held, shown, texts = _Minimizers(length, gram), (repeated.value, several.value), set(), set()
+        find, held, shown, texts = _Minimizers(length, gram), filtered.value, set(), set()
+        pack = zstandard.ZstdCompressor(level=6, dict_data=_dictionary(words)).compress if words is not None else None
         for batch in slices(batches, 64):
             rows = []
             for text in batch.column(0).to_pylist():
@@ -151,16 +172,16 @@ def _contexts(length: int, gram: int, repeated, several):
                 if own in texts:  # an equal text of this task has told the same
                     continue
                 texts.add(own)
-                keys = np.array([r[0] for r in runs], np.int64)
-                twice, more = _passes(held[0], keys), _passes(held[1], keys)
-                for i in np.flatnonzero(twice).tolist():
+                passing = _passes(held, np.array([r[0] for r in runs], np.int64))
+                for i in np.flatnonzero(passing).tolist():
                     key, first, last = runs[i]
                     context = data[_windows(length, first, last)]
                     digest = xxhash.xxh3_128_digest(context)
-                    show = bool(more[i]) and digest not in shown
-                    if show:
+                    if pack is None:
+                        rows.append((digest, own, first, last))
+                    elif digest not in shown:
                         shown.add(digest)
-                    rows.append((key, digest, own, first, last, context if show else None))
+                        rows.append((key, digest, pack(context)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], names)
 
@@ -215,7 +236,7 @@ def _spans_of(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.concatenate([[0], cut + 1])].tolist(), (starts[np.concatenate([cut, [len(starts) - 1]])] + length).tolist(), strict=True))
 
 
-def _refined(length: int):
+def _refined(length: int, words: bytes):
     types = [pa.binary(), pa.int64(), pa.int64()]
 
     def solve(held: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
@@ -230,24 +251,26 @@ def _refined(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, before = [], 0, None
+        unpack = zstandard.ZstdDecompressor(dict_data=_dictionary(words)).decompress
         for batch in batches:
             for key, digest, context in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if key != before and size >= BLOCK_BYTES:
                     yield solve(held)
                     held, size = [], 0
                 before = key
-                held.append((digest, context))
-                size += len(context)
+                held.append((digest, unpack(context)))
+                size += len(held[-1][1])
         if held:
             yield solve(held)
 
     return run
 
 
-def _window_digests(length: int):
+def _window_digests(length: int, words: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor(dict_data=_dictionary(words)).decompress
         for batch in slices(batches, 16):
-            rows = [(d, i, xxhash.xxh3_128_digest(c[i : i + length])) for d, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i in range(len(c) - length + 1)]
+            rows = [(d, i, xxhash.xxh3_128_digest(c[i : i + length])) for d, c in zip(batch.column(0).to_pylist(), map(unpack, batch.column(1).to_pylist()), strict=True) for i in range(len(c) - length + 1)]
             types = [pa.binary(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], ["digest", "a", "window"])
 
@@ -265,22 +288,29 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     seen.groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).where("n > 1").write.parquet(keys_at)
     per_key = spark.read.parquet(keys_at)
     share = spark.sparkContext.broadcast
-    repeated, several = _bit_filter(per_key), _bit_filter(per_key.where("kinds > 1"))
-    held = (_Shared(share(repeated[0]), repeated[1]), _Shared(share(several[0]), several[1]))
-    texts.mapInArrow(_contexts(length, gram, *held), _FOUND).write.parquet(found_at)
-    found = spark.read.parquet(found_at)
-
-    shown = found.where("context is not null").select("key", "digest", "context").join(per_key.where("kinds > 1").select("key", "kinds"), "key")
-    cool = shown.where(F.col("kinds") <= hot_contexts).select("key", "digest", "context")
+    several, bits = _bit_filter(per_key.where("kinds > 1"))
+    words = _packing_words(texts)
+    # contexts go from the scan into one shuffle
+    shown = texts.mapInArrow(_found(length, gram, _Shared(share(several), bits), words), _CONTEXTS)
+    hot_keys = per_key.where(F.col("kinds") > hot_contexts).select("key")  # one for each hot_contexts contexts at most
+    n_hot = hot_keys.count()
+    hot_keys = F.broadcast(hot_keys) if n_hot <= MAX_BROADCAST_KEYS else hot_keys
+    cool = shown.join(hot_keys, "key", "left_anti") if n_hot else shown
     cool = cool.repartition("key").sortWithinPartitions("key", "digest")
-    spans = cool.mapInArrow(_once(_refined(length)), "digest binary, a long, b long")
-    hot = shown.where(F.col("kinds") > hot_contexts).select("digest", "context").dropDuplicates(["digest"])
-    windows = hot.mapInArrow(_window_digests(length), "digest binary, a long, window binary")
-    twice = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
-    spans = spans.unionByName(windows.join(twice, "window").select("digest", "a", (F.col("a") + length).alias("b")))
+    spans = cool.mapInArrow(_once(_refined(length, words)), "digest binary, a long, b long")
+    if n_hot:
+        hot = shown.join(hot_keys, "key", "left_semi").select("digest", "context").dropDuplicates(["digest"])
+        windows = hot.mapInArrow(_window_digests(length, words), "digest binary, a long, window binary")
+        twice = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
+        spans = spans.unionByName(windows.join(twice, "window").select("digest", "a", (F.col("a") + length).alias("b")))
     spans.write.parquet(extra_at)
     spans = spark.read.parquet(extra_at)
+    del shown, cool
+    free_shuffles(spark)
 
+    repeated, bits = _bit_filter(per_key)
+    texts.mapInArrow(_found(length, gram, _Shared(share(repeated), bits), None), _PLACES).write.option("compression", "zstd").parquet(found_at)
+    found = spark.read.parquet(found_at)
     places = found.select("digest", "text_key", "first", "last").distinct()
     whole = seen.where("n > 1").select("digest").join(places, "digest").select("text_key", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
     part = spans.join(places, "digest").select("text_key", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
