@@ -161,7 +161,11 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIE
     return partial.unionByName(whole).drop("shard", "slot", "rank")
 
 
-def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = checkpointed(pieces(table(spark, sf_dir, "documents")))
-    found = pack(cut)
+def apply(documents: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+    """A row for each piece of a document: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    found = pack(checkpointed(pieces(documents, tokenizer_path, capacity)), capacity)
     return found.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
+
+
+def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply(table(spark, sf_dir, "documents"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm import license_scan, ngram_join, packing, quality_rules, sentencepiece_codec, spotsigs, suffix_dedup, warc
+from readloom.llm import license_scan, ngram_join, packing, pii, quality_rules, sentencepiece_codec, spotsigs, suffix_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op3_suffix_dedup": suffix_dedup.suffix_query,
         "op4_warc": warc.warc_query,
         "op5_best_fit_packing": packing.packing_query,
+        "op6_pii_surrogates": pii.pii_query,
         "op7_license_scan": license_scan.license_query,
         "op8_spotsigs": spotsigs.fingerprints_query,
         "op9_sentencepiece": sentencepiece_codec.sentencepiece_query,
