@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm import license_scan, ngram_join, packing, pii, quality_rules, sentencepiece_codec, spotsigs, suffix_dedup, warc
+from readloom.llm import html_extract, license_scan, ngram_join, packing, pii, quality_rules, sentencepiece_codec, spotsigs, suffix_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_jaccard_join": ngram_join.join_query,
+        "op2_html_extract": html_extract.html_query,
         "op3_suffix_dedup": suffix_dedup.suffix_query,
         "op4_warc": warc.warc_query,
         "op5_best_fit_packing": packing.packing_query,
