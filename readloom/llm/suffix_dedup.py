@@ -5,10 +5,12 @@ at the same place in equal windows; so the windows of a document fall into runs
 always meet under the key of their minimizer. A run's context is the bytes its windows cover.
 
 1. Count keys and context digests. Keys seen once are done with: their windows start once.
-2. A context whose digest is seen twice is repeated whole. Where a key has several digests, one context of each is sorted
-   with those of its key by bucket-pointer refinement: buckets of equal q-grams are refined by the bucket identifiers at a
-   later offset, and the refined identifiers are used again for the next, doubled depth, up to LENGTH; buckets of one
-   suffix are final and sort no more. Windows left in a bucket of two or more are repeated.
+2. A context whose digest is seen twice is repeated whole. A run is cut into blocks by distance from the minimizer; the
+   bytes that all windows of a block share, its core, must be seen in two contexts for any of them to be repeated. The
+   windows of such blocks are sorted with those of their key by bucket-pointer refinement: buckets of equal q-grams are
+   refined by the bucket identifiers at a later offset, and the refined identifiers are used again for the next, doubled
+   depth, up to LENGTH; buckets of one suffix are final and sort no more. Windows left in a bucket of two or more are
+   repeated.
 3. Keys with over ``HOT_CONTEXTS`` digests never meet in one task: there each window is counted by its 128-bit digest, by
    a combining aggregate.
 4. Repeated windows give spans by text; overlapping spans merge; the text is cut.
@@ -37,6 +39,7 @@ from readloom.llm.common import free_shuffles, scratch_path, slices, table
 LENGTH = 400
 GRAM = 64
 HOT_CONTEXTS = 20_000
+CORE_SHARE = 6
 MAX_FILTER_BITS = 27
 BLOCK_BYTES = 3 << 20
 MAX_BROADCAST_KEYS = 1_000_000
@@ -45,6 +48,7 @@ DICTIONARY_BYTES = 100_000
 CHUNK = 1 << 20
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class _Minimizers:
@@ -59,18 +63,18 @@ class _Minimizers:
             self.up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(CHUNK + length, np.uint64(base))]), dtype=np.uint64)
             self.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(CHUNK + length, np.uint64(pow(base, -1, 2**64)))]), dtype=np.uint64)
 
-    def runs(self, data: bytes) -> Iterator[tuple[int, int, int]]:
-        """(key, first window, last window) for all windows of ``data``; a run is never longer than the span."""
+    def runs(self, data: bytes) -> Iterator[tuple[int, int, int, int]]:
+        """(key, first window, last window, minimizer) for all windows of ``data``; a run is never longer than the span."""
         if len(data) < self.length:
             return
         for at in range(0, len(data) - self.length + 1, CHUNK - self.length + 1):
             part = np.frombuffer(data, np.uint8, min(CHUNK, len(data) - at), at)
-            keys, first, last = self._chunk(part)
-            yield from zip(keys.tolist(), (first + at).tolist(), (last + at).tolist(), strict=True)
+            keys, first, last, places = self._chunk(part)
+            yield from zip(keys.tolist(), (first + at).tolist(), (last + at).tolist(), (places + at).tolist(), strict=True)
             if at + len(part) == len(data):
                 return
 
-    def _chunk(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _chunk(self, part: np.ndarray) -> tuple[np.ndarray, ...]:
         n, q, w = len(part), self.gram, self.span
         with np.errstate(over="ignore"):
             sums = np.zeros(n + 1, np.uint64)
@@ -91,24 +95,42 @@ class _Minimizers:
         places = np.minimum(behind[:windows], ahead[w - 1 : w - 1 + windows]) & np.uint64(0xFFFFFF)
         first = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
         last = np.concatenate([first[1:] - 1, [windows - 1]])
-        return hashes[places[first].astype(np.int64)].view(np.int64), first, last
+        places = places[first].astype(np.int64)
+        return hashes[places].view(np.int64), first, last, places
+
+
+def _cores(length: int, block: int, data: bytes, first: int, last: int, place: int) -> list[tuple[int, int, int]]:
+    """(hash of the core, first window, last window) of the blocks of a run.
+
+    Blocks are counted from the minimizer, so equal windows lie in equal blocks; the core is what all windows of a block,
+    here or elsewhere, have in common. A core seen in no other context rules its windows out.
+    """
+    out = []
+    while first <= last:
+        far = (place - first) // block
+        end = min(last, place - far * block)
+        low = place - far * block
+        out.append((xxhash.xxh3_64_intdigest(data[low : low - block + 1 + length], seed=far) - (1 << 63), first, end))
+        first = end + 1
+    return out
 
 
 def _windows(length: int, first: int, last: int) -> slice:
     return slice(first, last + length)
 
 
-def _counts(length: int, gram: int):
+def _counts(length: int, gram: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = _Minimizers(length, gram)
         for batch in slices(batches):
-            keys, digests = [], []
+            keys, digests, cores = [], [], []
             for text in batch.column(0).to_pylist():
                 data = (text or "").encode()
-                for key, first, last in find.runs(data):
+                for key, first, last, place in find.runs(data):
                     keys.append(key)
                     digests.append(xxhash.xxh3_128_digest(data[_windows(length, first, last)]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(digests, pa.binary())], ["key", "digest"])
+                    cores.append([c for c, _, _ in _cores(length, block, data, first, last, place)])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(digests, pa.binary()), pa.array(cores, pa.list_(pa.int64()))], ["key", "digest", "cores"])
 
     return run
 
@@ -136,7 +158,7 @@ def text_key(data: bytes) -> bytes:
 
 
 _PLACES = "digest binary, text_key binary, first long, last long"
-_CONTEXTS = "key long, digest binary, context binary"
+_CONTEXTS = "key long, digest binary, a long, context binary"
 
 
 def _packing_words(texts: DataFrame) -> bytes:
@@ -153,9 +175,9 @@ def _dictionary(words: bytes) -> zstandard.ZstdCompressionDict:
     return zstandard.ZstdCompressionDict(words)
 
 
-def _found(length: int, gram: int, filtered, words: bytes | None):
+def _found(length: int, gram: int, block: int, filtered, words: bytes | None):
     """The places of contexts whose keys pass the filter; or, given ``words``, the contexts, packed, once for each task."""
-    types = [pa.binary(), pa.binary(), pa.int64(), pa.int64()] if words is None else [pa.int64(), pa.binary(), pa.binary()]
+    types = [pa.binary(), pa.binary(), pa.int64(), pa.int64()] if words is None else [pa.int64(), pa.binary(), pa.int64(), pa.binary()]
     names = [x.split()[0] for x in (_PLACES if words is None else _CONTEXTS).split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,16 +194,20 @@ def _found(length: int, gram: int, filtered, words: bytes | None):
                 if own in texts:  # an equal text of this task has told the same
                     continue
                 texts.add(own)
-                passing = _passes(held, np.array([r[0] for r in runs], np.int64))
-                for i in np.flatnonzero(passing).tolist():
-                    key, first, last = runs[i]
-                    context = data[_windows(length, first, last)]
-                    digest = xxhash.xxh3_128_digest(context)
-                    if pack is None:
-                        rows.append((digest, own, first, last))
-                    elif digest not in shown:
-                        shown.add(digest)
-                        rows.append((key, digest, pack(context)))
+                if pack is None:
+                    for i in np.flatnonzero(_passes(held, np.array([r[0] for r in runs], np.int64))).tolist():
+                        key, first, last, _ = runs[i]
+                        rows.append((xxhash.xxh3_128_digest(data[_windows(length, first, last)]), own, first, last))
+                    continue
+                cores = [(r, c) for r in runs for c in _cores(length, block, data, *r[1:])]
+                before = None
+                for i in np.flatnonzero(_passes(held, np.array([c[0] for _, c in cores], np.int64))).tolist():
+                    run_, (_, first, last) = cores[i]
+                    digest = before if before and before[0] is run_ else (run_, xxhash.xxh3_128_digest(data[_windows(length, run_[1], run_[2])]))
+                    before = digest
+                    if (name := (digest[1], first - run_[1])) not in shown:
+                        shown.add(name)
+                        rows.append((run_[0], digest[1], first - run_[1], pack(data[_windows(length, first, last)])))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], names)
 
@@ -194,18 +220,26 @@ def repeated_starts(text: np.ndarray, ends: np.ndarray, length: int) -> np.ndarr
     ``ends``: for each place, the end of the stretch that holds it, which no string crosses.
     """
     n, depth = len(text), min(8, length)
+    if n < depth:
+        return np.zeros(0, np.int64)
     left = ends - np.arange(n)
-    at = np.flatnonzero(left >= depth)
-    grams = np.zeros(len(at), np.uint64)
+    grams = np.zeros(n, np.uint64)
     for k in range(depth):
-        grams = (grams << np.uint64(8)) | text[at + k]
+        grams[: n - k] = (grams[: n - k] << np.uint64(8)) | text[k:]
+    with np.errstate(over="ignore"):
+        while 2 * depth <= min(GRAM, length, n):  # q-grams of up to GRAM bytes, hashed to 64 bits
+            longer = grams.copy()
+            longer[: n - depth] = (grams[: n - depth] ^ (grams[: n - depth] >> np.uint64(29))) * _MIX + (grams[depth:] ^ (grams[depth:] >> np.uint64(32))) * _MIX2
+            grams, depth = longer, 2 * depth
+    at = np.flatnonzero(left >= depth)
+    grams = grams[at]
     bucket = np.arange(n, dtype=np.int64)  # a place on its own has an identifier of its own
     next_id = n
 
     def refine(at: np.ndarray, order_by: np.ndarray) -> np.ndarray:
         """Gives equal values one identifier, different ones others; returns the places that share theirs."""
         nonlocal next_id
-        order = np.argsort(order_by, kind="stable")
+        order = np.argsort(order_by)
         ranked = order_by[order]
         new = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(order) else np.zeros(0, bool)
         ids = np.cumsum(new) - 1
@@ -239,27 +273,27 @@ def _spans_of(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
 def _refined(length: int, words: bytes):
     types = [pa.binary(), pa.int64(), pa.int64()]
 
-    def solve(held: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-        sizes = np.array([len(c) for _, c in held])
-        text = np.frombuffer(b"".join(c for _, c in held), np.uint8)
+    def solve(held: list[tuple[bytes, int, bytes]]) -> pa.RecordBatch:
+        sizes = np.array([len(c) for _, _, c in held])
+        text = np.frombuffer(b"".join(c for _, _, c in held), np.uint8)
         ends = np.repeat(np.cumsum(sizes), sizes)
         found = repeated_starts(text, ends, length)
         begin = np.cumsum(sizes) - sizes
         bounds = np.searchsorted(found, np.concatenate([begin, [len(text)]]))
-        rows = [(d, a, b) for i, (d, _) in enumerate(held) if bounds[i] < bounds[i + 1] for a, b in _spans_of(found[bounds[i] : bounds[i + 1]] - begin[i], length)]
+        rows = [(d, o + a, o + b) for i, (d, o, _) in enumerate(held) if bounds[i] < bounds[i + 1] for a, b in _spans_of(found[bounds[i] : bounds[i + 1]] - begin[i], length)]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([], [], []), types, strict=True)], ["digest", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, before = [], 0, None
         unpack = zstandard.ZstdDecompressor(dict_data=_dictionary(words)).decompress
         for batch in batches:
-            for key, digest, context in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for key, digest, offset, context in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if key != before and size >= BLOCK_BYTES:
                     yield solve(held)
                     held, size = [], 0
                 before = key
-                held.append((digest, unpack(context)))
-                size += len(held[-1][1])
+                held.append((digest, offset, unpack(context)))
+                size += len(held[-1][2])
         if held:
             yield solve(held)
 
@@ -270,7 +304,7 @@ def _window_digests(length: int, words: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor(dict_data=_dictionary(words)).decompress
         for batch in slices(batches, 16):
-            rows = [(d, i, xxhash.xxh3_128_digest(c[i : i + length])) for d, c in zip(batch.column(0).to_pylist(), map(unpack, batch.column(1).to_pylist()), strict=True) for i in range(len(c) - length + 1)]
+            rows = [(d, o + i, xxhash.xxh3_128_digest(c[i : i + length])) for d, o, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), map(unpack, batch.column(2).to_pylist()), strict=True) for i in range(len(c) - length + 1)]
             types = [pa.binary(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], ["digest", "a", "window"])
 
@@ -279,27 +313,32 @@ def _window_digests(length: int, words: bytes):
 
 def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """(text_key, spans array<struct<a, b>>) of the texts with repeated strings; spans overlap or not, in any order."""
-    spark = documents.sparkSession
+    spark, block = documents.sparkSession, max(1, length // CORE_SHARE)
     texts = documents.select("text")
-    seen = texts.mapInArrow(_counts(length, gram), "key long, digest binary").groupBy("key", "digest").agg(F.count(F.lit(1)).alias("n"))
+    seen = texts.mapInArrow(_counts(length, gram, block), "key long, digest binary, cores array<long>").groupBy("key", "digest", "cores").agg(F.count(F.lit(1)).alias("n"))
     keys_at, seen_at, found_at, extra_at = (scratch_path(spark, f"suffix-{x}") for x in ("keys", "digests", "contexts", "spans"))
     seen.write.parquet(seen_at)
     seen = spark.read.parquet(seen_at)
+    free_shuffles(spark)
     seen.groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).where("n > 1").write.parquet(keys_at)
     per_key = spark.read.parquet(keys_at)
     share = spark.sparkContext.broadcast
-    several, bits = _bit_filter(per_key.where("kinds > 1"))
+    cores_at = scratch_path(spark, "suffix-cores")
+    cores = seen.select(F.explode("cores").alias("core")).groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    cores.select("core").write.parquet(cores_at)
+    several, bits = _bit_filter(spark.read.parquet(cores_at), "core")
+    free_shuffles(spark)
     words = _packing_words(texts)
     # contexts go from the scan into one shuffle
-    shown = texts.mapInArrow(_found(length, gram, _Shared(share(several), bits), words), _CONTEXTS)
+    shown = texts.mapInArrow(_found(length, gram, block, _Shared(share(several), bits), words), _CONTEXTS)
     hot_keys = per_key.where(F.col("kinds") > hot_contexts).select("key")  # one for each hot_contexts contexts at most
     n_hot = hot_keys.count()
     hot_keys = F.broadcast(hot_keys) if n_hot <= MAX_BROADCAST_KEYS else hot_keys
     cool = shown.join(hot_keys, "key", "left_anti") if n_hot else shown
-    cool = cool.repartition("key").sortWithinPartitions("key", "digest")
+    cool = cool.repartition("key").sortWithinPartitions("key", "digest", "a")
     spans = cool.mapInArrow(_once(_refined(length, words)), "digest binary, a long, b long")
     if n_hot:
-        hot = shown.join(hot_keys, "key", "left_semi").select("digest", "context").dropDuplicates(["digest"])
+        hot = shown.join(hot_keys, "key", "left_semi").select("digest", "a", "context").dropDuplicates(["digest", "a"])
         windows = hot.mapInArrow(_window_digests(length, words), "digest binary, a long, window binary")
         twice = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
         spans = spans.unionByName(windows.join(twice, "window").select("digest", "a", (F.col("a") + length).alias("b")))
@@ -309,7 +348,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     free_shuffles(spark)
 
     repeated, bits = _bit_filter(per_key)
-    texts.mapInArrow(_found(length, gram, _Shared(share(repeated), bits), None), _PLACES).write.option("compression", "zstd").parquet(found_at)
+    texts.mapInArrow(_found(length, gram, block, _Shared(share(repeated), bits), None), _PLACES).write.option("compression", "zstd").parquet(found_at)
     found = spark.read.parquet(found_at)
     places = found.select("digest", "text_key", "first", "last").distinct()
     whole = seen.where("n > 1").select("digest").join(places, "digest").select("text_key", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
@@ -336,10 +375,10 @@ def _once(solve):
             before = None
             for batch in batches:
                 keep = []
-                for i, digest in enumerate(batch.column(1).to_pylist()):
-                    if digest != before:
+                for i, piece in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                    if piece != before:
                         keep.append(i)
-                    before = digest
+                    before = piece
                 yield batch.take(pa.array(keep, pa.int64()))
 
         yield from solve(distinct())
