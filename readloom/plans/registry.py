@@ -69,7 +69,7 @@ _add(
     "s05_header_count",
     lambda s, d: _headers(s, d).select("ordinal", fn.header_count("header", "read_{count}").alias("grouped"), fn.header_count("header").alias("cnt")),
     f"{R}, {HEADERS} SELECT ordinal, CAST(CASE WHEN ordinal % 3 <> 0 AND ordinal % 7 = 0 THEN 1 ELSE CAST(replace(substr(header, 6), '_', '') AS BIGINT) END AS BIGINT) AS grouped, "
-    "CAST(CASE WHEN ordinal % 3 = 0 THEN 500 WHEN ordinal % 7 = 0 THEN 1 ELSE split_part(header, '_', 3) END AS BIGINT) AS cnt FROM headers",
+    "CAST(CASE WHEN ordinal % 3 = 0 THEN 500 WHEN ordinal % 7 = 0 THEN 1 ELSE CAST(split_part(header, '_', 3) AS INT) END AS BIGINT) AS cnt FROM headers",
 )
 _add("s08_head_sample", lambda s, d: reads(s, d).orderBy("ordinal").limit(5000).select("ordinal", "seq"), f"{R} SELECT ordinal, seq FROM reads ORDER BY ordinal LIMIT 5000")
 KNOWN = "known(idx, name, seq) AS (VALUES " + ", ".join(f"({i}, {_q(n)}, {_q(s)})" for i, (n, s) in enumerate(adapters.KNOWN_ADAPTERS)) + ")"
