@@ -55,6 +55,12 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch table."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of a few rows, so that long texts never stand in memory as Python objects by the thousand."""
     for batch in batches:

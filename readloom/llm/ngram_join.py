@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from readloom.llm.common import Remembered, checkpointed, scratch_path, slices, table
+from readloom.llm.common import checkpointed, free_shuffles, remove, scratch_path, slices, table
 from readloom.llm.components import components
 
 WORDS = 5
@@ -39,31 +39,68 @@ THRESHOLD = 75
 SKETCH_BITS = 20
 BLOCK_BITS = 14
 SHARE = 1_000
-CACHE_WORDS = 300_000
+PIECE_BYTES = 1 << 20
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
 class Shingles:
-    """The shingle sets of texts as sorted 64-bit hashes."""
+    """The shingle sets of texts as sorted 64-bit hashes.
+
+    A word's hash is a polynomial of its bytes (each by a fixed random number), taken for all words of a piece of text from
+    one running sum; a shingle's is a mixed polynomial of its words' hashes.
+    """
 
     def __init__(self, words: int = WORDS):
-        self.words, self.hashed = words, Remembered(xxhash.xxh64_intdigest, CACHE_WORDS)
+        self.words = words
+        rng = np.random.default_rng(11)
+        self.of_byte = rng.integers(0, 2**64, 256, np.uint64)
+        self.space = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+        self._powers(PIECE_BYTES)
+
+    def _powers(self, n: int) -> None:
+        base = 0x5851F42D4C957F2D
+        grow = lambda b: np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(b))]), dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            self.up, self.down = grow(base), grow(pow(base, -1, 2**64))
+
+    def _word_hashes(self, data: bytes) -> np.ndarray:
+        n = len(data)
+        if n >= len(self.up):  # a word longer than a piece
+            self._powers(n)
+        raw = np.frombuffer(data, np.uint8)
+        blank = np.ones(n + 2, bool)
+        blank[1:-1] = self.space[raw]
+        edges = np.flatnonzero(blank[1:] != blank[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.of_byte[raw] * self.down[:n], out=sums[1:])
+        found = (sums[ends] - sums[starts]) * self.up[starts]
+        return (found ^ (found >> np.uint64(32))) * _MIX
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode().lower().split()
-        n = len(words)
-        if not n:
-            return np.zeros(0, np.uint64)
-        own = np.fromiter(map(self.hashed.__getitem__, words), np.uint64, n)
-        size = min(n, self.words)
+        data, parts, at = (text or "").encode().lower(), [], 0
         with np.errstate(over="ignore"):
-            found = own[: n - size + 1].copy() + np.uint64(size)
+            while at < len(data):
+                end = len(data)
+                if end - at > PIECE_BYTES:  # between words
+                    cut = max(data.rfind(s, at, at + PIECE_BYTES) for s in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+                    found = [x for s in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c") if (x := data.find(s, at + PIECE_BYTES)) >= 0]
+                    end = cut + 1 if cut >= at else min(found, default=end - 1) + 1
+                parts.append(self._word_hashes(data[at:end]))
+                at = end
+            own = parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+            n = len(own)
+            if not n:
+                return own
+            size = min(n, self.words)
+            found = own[: n - size + 1] + np.uint64(size)
             for k in range(1, size):
                 found = found * _FACTOR + own[k : n - size + 1 + k]
             found = (found ^ (found >> np.uint64(30))) * _MIX
-        return np.unique(found ^ (found >> np.uint64(27)))
+        found = np.sort(found ^ (found >> np.uint64(27)))
+        return found[np.concatenate([[True], found[1:] != found[:-1]])]
 
 
 def prefix_length(n: int, threshold: int = THRESHOLD) -> int:
@@ -81,8 +118,8 @@ def _sketch(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, counts = Shingles(words), np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                np.add.at(counts, (shingles(text) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+            places = [shingles(text) >> np.uint64(64 - SKETCH_BITS) for text in batch.column(0).to_pylist()]
+            counts += np.bincount(np.concatenate(places).astype(np.int64), minlength=len(counts))
         blocks = counts.reshape(-1, 1 << BLOCK_BITS)
         used = np.flatnonzero(blocks.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([blocks[i].tobytes() for i in used], pa.binary())], ["block", "counts"])
@@ -174,12 +211,15 @@ def _wanted(words: int, bits, shift: int):
         shingles, held, done = Shingles(words), bits.value, set()
         for batch in slices(batches):
             keys, sets = [], []
-            for text in batch.column(0).to_pylist():
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if doc_id is not None:
+                    place = xxhash.xxh64_intdigest(doc_id.to_bytes(8, "little", signed=True), 42) >> shift
+                    if not int(held[place >> 6]) >> (place & 63) & 1:
+                        continue
                 own = shingles(text)
                 raw = own.tobytes()
                 key = hashlib.md5(raw).digest()
-                place = int.from_bytes(key[:8], "big") >> shift
-                if len(own) and key not in done and int(held[place >> 6]) >> (place & 63) & 1:
+                if len(own) and key not in done:
                     done.add(key)
                     keys.append(key)
                     sets.append(raw)
@@ -204,26 +244,40 @@ def _verified(threshold: int):
     return run
 
 
-def _links(texts: DataFrame, pairs: DataFrame, words: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) of classes that link, checked on their full sets."""
-    spark = texts.sparkSession
-    pairs = checkpointed(pairs)
-    asked = pairs.select("a").union(pairs.select("b")).distinct()
+def _links(documents: DataFrame, kinds: DataFrame, pairs: DataFrame, words: int, threshold: int) -> tuple[DataFrame, list[str]]:
+    """The pairs (a, b) of classes that link, checked on their full sets; and the scratch tables to remove afterwards."""
+    spark = documents.sparkSession
+    pairs_at, at = scratch_path(spark, "shingle-pairs"), scratch_path(spark, "shingle-sets")
+    pairs.write.option("compression", "zstd").parquet(pairs_at)
+    pairs = spark.read.parquet(pairs_at)
+    free_shuffles(spark)
+    # sets are made again from one document of each class asked for; a filter by id says which
+    asked = pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")).distinct().join(kinds.select("set_key", "rep"), "set_key").where("rep is not null")
+    asked = asked.select(F.xxhash64("rep").alias("h"))
     bits = min(27, max(16, (10 * asked.count()).bit_length()))
-    place = F.conv(F.substring(F.hex("a"), 1, 16), 16, 10).cast("decimal(20,0)")
-    high = F.floor(place / F.lit(2 ** (64 - bits)).cast("decimal(20,0)")).cast("long")
-    found = asked.select(F.shiftright(high, 6).alias("w"), F.pmod(high, F.lit(64)).cast("int").alias("i")).distinct().toPandas()  # 2^bits places at most
-    filled = np.zeros(1 << (bits - 6), np.uint64)
-    np.bitwise_or.at(filled, found["w"].to_numpy(np.int64), np.uint64(1) << found["i"].to_numpy(np.uint64))
-    at = scratch_path(spark, "shingle-sets")
-    texts.mapInArrow(_wanted(words, spark.sparkContext.broadcast(filled), 64 - bits), "set_key binary, members binary").write.option("compression", "zstd").parquet(at)
+    place = F.shiftrightunsigned("h", 64 - bits)
+    words_set = asked.select(F.shiftright(place, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
+    found = words_set.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # 2^bits places at most
+    filled = np.zeros(1 << (bits - 6), np.int64)
+    filled[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64)
+    made = documents.select("doc_id", "text").mapInArrow(_wanted(words, spark.sparkContext.broadcast(filled.view(np.uint64)), 64 - bits), "set_key binary, members binary")
+    made.write.parquet(at)  # hashes don't compress
     sets = spark.read.parquet(at).dropDuplicates(["set_key"])
     degree = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares"))
     dealt = pairs.join(degree, "a").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int")).drop("shares")
     hubs = degree.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select("a", "share", F.lit(None).cast("binary").alias("b"), F.col("a").alias("set_key"))
     rows = dealt.select("a", "share", "b", F.col("b").alias("set_key")).unionByName(hubs).join(sets, "set_key").drop("set_key")
     rows = rows.repartition("a", "share").sortWithinPartitions("a", "share", F.col("b").asc_nulls_first())
-    return rows.select("a", "share", "b", "members").mapInArrow(_verified(threshold), "u binary, v binary")
+    return rows.select("a", "share", "b", "members").mapInArrow(_verified(threshold), "u binary, v binary"), [pairs_at, at]
+
+
+def _joined(spark: SparkSession, edges: DataFrame, scratch: list[str]) -> DataFrame:
+    """``components`` of edges; what they were made from goes."""
+    found = components(edges)
+    for path in scratch:
+        remove(spark, path)
+    free_shuffles(spark)
+    return found
 
 
 def classes(documents: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
@@ -234,21 +288,26 @@ def classes(documents: DataFrame, words: int = WORDS, threshold: int = THRESHOLD
     at, lists_at = scratch_path(spark, "shingle-prefixes"), scratch_path(spark, "shingle-lists")
     documents.select("doc_id", "text").mapInArrow(_sets(words, threshold, ranks), _SETS).write.option("compression", "zstd").parquet(at)
     held = spark.read.parquet(at)
-    members = held.select("doc_id", "n", "set_key", "group")
-    kinds = checkpointed(members.where("n > 0").select("set_key", "n", "group").distinct())
+    members = checkpointed(held.select("doc_id", "n", "set_key", "group"))
+    kinds = checkpointed(members.where("n > 0").groupBy("set_key", "n", "group").agg(F.min("doc_id").alias("rep")))
     posted = held.where("prefix is not null").select(F.explode("prefix").alias("shingle"), "group")
     posted = posted.repartition("shingle").sortWithinPartitions("shingle", "group")
     posted.mapInArrow(_shared_postings, "shingle long, group long, hub long").write.option("compression", "zstd").parquet(lists_at)
     lists = spark.read.parquet(lists_at)
+    del posted
+    remove(spark, at)
+    free_shuffles(spark)
 
     first = kinds.groupBy("group").agg(F.min("set_key").alias("first"), F.min("n").alias("n"))
-    in_groups = kinds.join(first.drop("n"), "group").where("first != set_key").select(F.col("first").alias("a"), F.col("set_key").alias("b"))
+    in_groups = kinds.drop("rep").join(first.drop("n"), "group").where("first != set_key").select(F.col("first").alias("a"), F.col("set_key").alias("b"))
     to_hubs = lists.where("group != hub").select("group", "hub").distinct()
     hub = first.select(F.col("group").alias("hub"), F.col("first").alias("a"), F.col("n").alias("m"))
     to_hubs = to_hubs.join(hub, "hub").join(first.withColumnRenamed("first", "b"), "group").where(_sizes("n", "m", threshold)).select("a", "b")
-    roots = components(_links(texts, in_groups.unionByName(to_hubs), words, threshold))
+    links, scratch = _links(documents, kinds, in_groups.unionByName(to_hubs), words, threshold)
+    roots = _joined(spark, links, scratch)
+    del links
 
-    rooted = kinds.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
+    rooted = kinds.drop("rep").join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     rooted = rooted.withColumn("part", F.xxhash64("root"))
     held_lists = checkpointed(lists.select("shingle", "group").join(rooted.select("group", "set_key", "n", "part"), "group").drop("group"))
     mixed = held_lists.groupBy("shingle").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("shingle")
@@ -261,10 +320,10 @@ def classes(documents: DataFrame, words: int = WORDS, threshold: int = THRESHOLD
     two = open_lists.select("shingle", F.col("part").alias("other"), F.col("set_key").alias("y"), F.col("n").alias("n2"))
     pairs = met.join(one, ["shingle", "part"]).join(two, ["shingle", "other"]).where(_sizes("n1", "n2", threshold))
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = _links(texts, pairs, words, threshold)
+    more, scratch = _links(documents, kinds, pairs, words, threshold)
     of = rooted.select("set_key", "root")
     joined = more.join(of.select(F.col("set_key").alias("u"), F.col("root").alias("p")), "u").join(of.select(F.col("set_key").alias("v"), F.col("root").alias("q")), "v")
-    last = components(joined.select(F.col("p").alias("u"), F.col("q").alias("v")))
+    last = _joined(spark, joined.select(F.col("p").alias("u"), F.col("q").alias("v")), scratch)
     final = of.join(last.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("set_key", F.coalesce("top", "root").alias("root"))
     return members.join(final, "set_key", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "set_key", "root")
 

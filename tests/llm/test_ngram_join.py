@@ -73,3 +73,10 @@ def test_one_of_each_component_stays(spark):
     kept = [(r.doc_id, r.text) for r in out.collect()]
     assert sorted(kept, key=str) == sorted([(1, "a b c d e f"), (2, None), (5, ""), (7, "q r s")], key=str)
     assert nj.with_components(docs.limit(0)).count() == 0
+
+
+def test_long_texts_are_cut_between_words(monkeypatch):
+    text = " ".join(f"Wört{i}" for i in range(3000)) + " " + "x" * 5000 + "\ttail a b c d"
+    whole = nj.Shingles()(text)
+    monkeypatch.setattr(nj, "PIECE_BYTES", 997)
+    assert np.array_equal(nj.Shingles()(text), whole) and len(whole) == 3002
