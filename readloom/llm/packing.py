@@ -16,6 +16,7 @@ Defined results: a null or empty text is one piece, the id 0; repeated rows are
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 import zlib
@@ -54,8 +55,9 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in prints else next(rest)) for b in range(256)]
 
 
+@functools.cache
 def encoder(path: str) -> Callable[[str], bytes]:
-    """A function from a text to its ids as little-endian 32-bit numbers, equal to the library's."""
+    """A function from a text to its ids as little-endian 32-bit numbers, equal to the library's; one for each process, so that its cache serves all tasks of a worker."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)

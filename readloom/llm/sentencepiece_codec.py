@@ -16,6 +16,7 @@ and extra columns need no care, since every row stands alone.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ from readloom.llm.common import Remembered, slices, table
 
 SPACE = "▁"
 CACHE_ENTRIES = 500_000
-CACHE_PAIRS = 300_000
+CACHE_PAIRS = 400_000
 
 
 def default_model() -> str:
@@ -68,16 +69,17 @@ class PrefixTableEncoder:
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text by plain merging: the best score first, then the leftmost."""
-        parts = list(text)
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                score = self.scores.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if best is None:
-                return parts
+        parts, get, none = list(text), self.scores.get, float("-inf")
+        scores = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while scores and (best := max(scores)) > none:
+            at = scores.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del scores[at]
+            if at < len(scores):
+                scores[at] = get(parts[at] + parts[at + 1], none)
+            if at:
+                scores[at - 1] = get(parts[at - 1] + parts[at], none)
+        return parts
 
     def compatible(self, left: str, right: str) -> bool:
         found = self.pairs.get((left, right))
@@ -123,9 +125,15 @@ class PrefixTableEncoder:
         return self.library.decode(ids)
 
 
+@functools.cache
+def encoder_for(path: str) -> PrefixTableEncoder:
+    """One for each worker process, so that tables and caches serve all its tasks."""
+    return PrefixTableEncoder(path)
+
+
 def _digests(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PrefixTableEncoder(path)
+        encoder = encoder_for(path)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in slices(batches):
             rows = []
@@ -144,7 +152,7 @@ def encode_ids(documents: DataFrame, model_path: str | None = None) -> DataFrame
     path = model_path or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PrefixTableEncoder(path)
+        encoder = encoder_for(path)
         for batch in slices(batches):
             ids = [encoder.encode(t or "") for t in batch.column("text").to_pylist()]
             yield batch.append_column("ids", pa.array(ids, pa.list_(pa.int32())))
