@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import checkpointed, slices, table
+from readloom.llm.common import checkpointed, free_shuffles, slices, table
 
 MAX_DOCUMENTS = 30
 MIN_WORDS = 10
@@ -187,7 +187,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def apply(documents: DataFrame, **limits: int) -> DataFrame:
     """The kept documents, without the lines removed; n_chars follows the text. Other columns pass unchanged."""
     columns = documents.columns
-    found = verdicts(documents, **limits).where("kept").groupBy("row_key").agg(F.first("removed").alias("removed"))
+    found = checkpointed(verdicts(documents, **limits).where("kept").groupBy("row_key").agg(F.first("removed").alias("removed")))
+    free_shuffles(documents.sparkSession)  # before the texts shuffle
     keyed = documents.select("doc_id", "text", "source", *[c for c in columns if c not in ("doc_id", "text", "source")])
     key = F.unhex(F.md5(F.concat(_id_part(), F.coalesce(F.col("text").cast("binary"), F.lit(b"")))))
     joined = keyed.withColumn("row_key", key).join(found, "row_key").drop("row_key")
