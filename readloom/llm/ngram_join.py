@@ -8,8 +8,9 @@ make one shingle). What is asked for is the class of each document, its componen
    an upper bound; the order may be any for right results). Linked sets share one of their first n - ceil(3n/4) + 1
    shingles. Classes with equal prefixes and sizes are one group, and a group posts its prefix once for each task.
 3. Postings, sorted by shingle, leave those of two groups or more. First each group of a list is paired with the list's
-   first, and each class with the first of its group; what links is joined into components. Then, wherever a list still
-   holds several components, pairs of components are formed, expanded to their classes in the list, filtered by size, and
+   first, and each class with the first of its group; what links is joined into components. In ``HUB_ROUNDS`` more rounds
+   the classes outside the component of a newly drawn hub are paired with it. Then, wherever a list still holds several
+   components, pairs of components are formed, expanded to their classes in the list, filtered by size, and
    verified. Pairs within a component need no look, so a group of thousands of near copies costs a check each, not each
    pair, and no link between components is missed.
 4. Pairs are verified on the full sets: a class's set goes once to each of its partners, in shares of ``SHARE`` for
@@ -39,6 +40,8 @@ THRESHOLD = 75
 SKETCH_BITS = 20
 BLOCK_BITS = 14
 SHARE = 1_000
+HUB_ROUNDS = 2
+HUBS = 4
 PIECE_BYTES = 1 << 20
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -307,11 +310,18 @@ def classes(documents: DataFrame, words: int = WORDS, threshold: int = THRESHOLD
     roots = _joined(spark, links, scratch)
     del links
 
-    rooted = kinds.drop("rep").join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
-    rooted = rooted.withColumn("part", F.xxhash64("root"))
-    held_lists = checkpointed(lists.select("shingle", "group").join(rooted.select("group", "set_key", "n", "part"), "group").drop("group"))
-    mixed = held_lists.groupBy("shingle").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("shingle")
-    open_lists = checkpointed(held_lists.join(mixed, "shingle"))
+    of = kinds.select("set_key").join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
+    of = checkpointed(of)
+    for turn in range(HUB_ROUNDS):
+        # classes of other components than the hub's meet it; the hub of a list is drawn anew by turn and kind of list
+        open_lists = _open_lists(spark, lists, kinds, of)
+        draw = F.xxhash64("set_key", F.lit(turn), F.pmod("shingle", F.lit(HUBS)))
+        hubs = open_lists.groupBy("shingle").agg(F.min_by(F.struct("set_key", "part", "n"), draw).alias("h"))
+        hubs = hubs.select("shingle", F.col("h.set_key").alias("x"), F.col("h.part").alias("p"), F.col("h.n").alias("m"))
+        pairs = open_lists.join(hubs, "shingle").where((F.col("part") != F.col("p")) & _sizes("n", "m", threshold))
+        pairs = pairs.select(F.least("x", "set_key").alias("a"), F.greatest("x", "set_key").alias("b")).distinct()
+        of = _contracted(spark, of, *_links(documents, kinds, pairs, words, threshold))
+    open_lists = _open_lists(spark, lists, kinds, of)
     per_part = open_lists.groupBy("shingle", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     other = per_part.select("shingle", F.col("part").alias("other"), F.col("least").alias("least2"), F.col("most").alias("most2"))
     met = per_part.join(other, "shingle").where((F.col("part") < F.col("other")) & (100 * F.col("most") >= threshold * F.col("least2")) & (100 * F.col("most2") >= threshold * F.col("least")))
@@ -320,14 +330,28 @@ def classes(documents: DataFrame, words: int = WORDS, threshold: int = THRESHOLD
     two = open_lists.select("shingle", F.col("part").alias("other"), F.col("set_key").alias("y"), F.col("n").alias("n2"))
     pairs = met.join(one, ["shingle", "part"]).join(two, ["shingle", "other"]).where(_sizes("n1", "n2", threshold))
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more, scratch = _links(documents, kinds, pairs, words, threshold)
-    of = rooted.select("set_key", "root")
-    joined = more.join(of.select(F.col("set_key").alias("u"), F.col("root").alias("p")), "u").join(of.select(F.col("set_key").alias("v"), F.col("root").alias("q")), "v")
-    last = _joined(spark, joined.select(F.col("p").alias("u"), F.col("q").alias("v")), scratch)
-    final = of.join(last.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("set_key", F.coalesce("top", "root").alias("root"))
+    final = _contracted(spark, of, *_links(documents, kinds, pairs, words, threshold))
     return members.join(final, "set_key", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "set_key", "root")
 
 
+def _contracted(spark: SparkSession, of: DataFrame, links: DataFrame, scratch: list[str]) -> DataFrame:
+    """``of`` (set_key, root) with the components that links join made one."""
+    joined = links.join(of.select(F.col("set_key").alias("u"), F.col("root").alias("p")), "u").join(of.select(F.col("set_key").alias("v"), F.col("root").alias("q")), "v")
+    last = _joined(spark, joined.select(F.col("p").alias("u"), F.col("q").alias("v")), scratch)
+    return checkpointed(of.join(last.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("set_key", F.coalesce("top", "root").alias("root")))
+
+
+def _open_lists(spark: SparkSession, lists: DataFrame, kinds: DataFrame, of: DataFrame) -> DataFrame:
+    """(shingle, set_key, n, part) of the lists that hold several components."""
+    rooted = kinds.drop("rep").join(of, "set_key").withColumn("part", F.xxhash64("root"))
+    held = lists.select("shingle", "group").join(rooted.select("group", "set_key", "n", "part"), "group").drop("group")
+    mixed = held.groupBy("shingle").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("shingle")
+    at = scratch_path(spark, "shingle-open")
+    held.join(mixed, "shingle").write.option("compression", "zstd").parquet(at)
+    free_shuffles(spark)
+    return spark.read.parquet(at)
+
+
 def _sizes(a: str, b: str, threshold: int):
     return 100 * F.least(a, b) >= threshold * F.greatest(a, b)
 
