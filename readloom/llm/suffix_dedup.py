@@ -45,6 +45,7 @@ BLOCK_BYTES = 3 << 20
 MAX_BROADCAST_KEYS = 1_000_000
 DICTIONARY_TEXTS = 200
 DICTIONARY_BYTES = 100_000
+PACK_LEVEL = 3
 CHUNK = 1 << 20
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -172,7 +173,10 @@ def _packing_words(texts: DataFrame) -> bytes:
 
 
 def _dictionary(words: bytes) -> zstandard.ZstdCompressionDict:
-    return zstandard.ZstdCompressionDict(words)
+    found = zstandard.ZstdCompressionDict(words)
+    if words:  # prepared once, not for each context
+        found.precompute_compress(level=PACK_LEVEL)
+    return found
 
 
 def _found(length: int, gram: int, block: int, filtered, words: bytes | None):
@@ -182,7 +186,7 @@ def _found(length: int, gram: int, block: int, filtered, words: bytes | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, held, shown, texts = _Minimizers(length, gram), filtered.value, set(), set()
-        pack = zstandard.ZstdCompressor(level=6, dict_data=_dictionary(words)).compress if words is not None else None
+        pack = zstandard.ZstdCompressor(level=PACK_LEVEL, dict_data=_dictionary(words)).compress if words is not None else None
         for batch in slices(batches, 64):
             rows = []
             for text in batch.column(0).to_pylist():
