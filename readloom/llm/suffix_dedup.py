@@ -218,6 +218,28 @@ def _found(length: int, gram: int, block: int, filtered, words: bytes | None):
     return run
 
 
+def _grouped(values: np.ndarray) -> np.ndarray:
+    """An order of ``values`` in which equal ones stand together.
+
+    Mixed values are sorted with their places in the low bits, which is several times faster than an indirect sort; the few
+    runs whose high bits agree by chance are then put in order by the whole values.
+    """
+    low = np.uint64(max(1, int(len(values) - 1).bit_length()))
+    with np.errstate(over="ignore"):
+        mixed = (values ^ (values >> np.uint64(32))) * _MIX
+        mixed ^= mixed >> np.uint64(29)
+    mask = (np.uint64(1) << low) - np.uint64(1)
+    packed = np.sort((mixed & ~mask) | np.arange(len(values), dtype=np.uint64))
+    order, high = (packed & mask).astype(np.int64), packed >> low
+    alike = high[1:] == high[:-1]
+    if (alike & (values[order[1:]] != values[order[:-1]])).any():
+        run = np.concatenate([[0], np.cumsum(~alike)])
+        mixed_runs = np.isin(run, run[1:][alike & (values[order[1:]] != values[order[:-1]])])
+        rows = np.flatnonzero(mixed_runs)
+        order[rows] = order[rows][np.lexsort((values[order[rows]], run[rows]))]
+    return order
+
+
 def repeated_starts(text: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
     """Places in ``text`` where a string of ``length`` bytes starts that starts elsewhere too, by bucket-pointer refinement.
 
@@ -243,14 +265,18 @@ def repeated_starts(text: np.ndarray, ends: np.ndarray, length: int) -> np.ndarr
     def refine(at: np.ndarray, order_by: np.ndarray) -> np.ndarray:
         """Gives equal values one identifier, different ones others; returns the places that share theirs."""
         nonlocal next_id
-        order = np.argsort(order_by)
+        if not len(at):
+            return at
+        order = _grouped(order_by)
         ranked = order_by[order]
-        new = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(order) else np.zeros(0, bool)
-        ids = np.cumsum(new) - 1
-        bucket[at[order]] = next_id + ids
+        new = np.concatenate([[True], ranked[1:] != ranked[:-1], [True]])
+        shared = ~(new[1:] & new[:-1])
+        placed = at[order]
+        bucket[placed] = next_id + np.cumsum(new[:-1]) - 1  # those alone in a bucket as well: later offsets point to them
         next_id += len(at)
-        shared = np.bincount(ids)[ids] > 1 if len(ids) else np.zeros(0, bool)
-        return np.sort(at[order[shared]])
+        keep = np.zeros(n, bool)
+        keep[placed[shared]] = True
+        return np.flatnonzero(keep)
 
     at = refine(at, grams)
     while depth < length and len(at):

@@ -48,13 +48,19 @@ def test_against_brute_force(spark, seed, length, gram, hot):
     assert [found[i] for i in range(len(texts))] == brute(texts, length)
 
 
-def test_refinement_against_brute_force():
+@pytest.mark.parametrize(("gram", "most"), [(64, 40), (8, 120)])
+def test_refinement_against_brute_force(monkeypatch, gram, most):
+    monkeypatch.setattr(sd, "GRAM", gram)  # a short one leaves more to the refinement
     rng = np.random.default_rng(5)
-    for _ in range(60):
-        sizes = rng.integers(1, 60, rng.integers(1, 6))
+    for _ in range(150):
+        sizes = rng.integers(1, 3 * most, rng.integers(1, 6))
         text = rng.integers(97, 97 + rng.integers(1, 4), sizes.sum()).astype(np.uint8)
+        for _ in range(rng.integers(0, 4)):  # near copies, parted at depths of all kinds
+            a, b, n = rng.integers(0, len(text), 3)
+            n = min(n, len(text) - max(a, b))
+            text[b : b + n] = text[a : a + n].copy()
         ends = np.repeat(np.cumsum(sizes), sizes)
-        length = int(rng.integers(1, 40))
+        length = int(rng.integers(1, most))
         strings = Counter(bytes(text[i : i + length]) for i in range(len(text)) if ends[i] - i >= length)
         want = [i for i in range(len(text)) if ends[i] - i >= length and strings[bytes(text[i : i + length])] > 1]
         assert sd.repeated_starts(text, ends, length).tolist() == want
@@ -75,3 +81,10 @@ def test_apply_keeps_columns(spark):
     assert out.columns == docs.columns
     assert sorted((r.doc_id or 0, r.text, r.n_chars, r.spans) for r in out.collect()) == [(0, None, 0, None), (1, "", 0, "s"), (2, "", 0, "s"), (3, "unique", 6, "s")]
     assert sd.apply(docs.limit(0)).count() == 0
+
+
+def test_grouping_stands_chance_agreement(monkeypatch):
+    monkeypatch.setattr(sd, "_MIX", np.uint64(1 << 60))  # nearly all high bits agree
+    values = np.random.default_rng(8).integers(0, 40, 500).astype(np.uint64)
+    ranked = values[sd._grouped(values)]
+    assert 1 + np.count_nonzero(ranked[1:] != ranked[:-1]) == len(set(values.tolist()))
