@@ -8,7 +8,9 @@ make one shingle). What is asked for is the class of each document, its componen
    an upper bound; the order may be any for right results). Linked sets share one of their first n - ceil(3n/4) + 1
    shingles. Classes with equal prefixes and sizes are one group, and a group posts its prefix once for each task.
 3. Postings, sorted by shingle, leave those of two groups or more. First each group of a list is paired with the list's
-   first, and each class with the first of its group; what links is joined into components. In ``HUB_ROUNDS`` more rounds
+   first, and each class with the first of its group; what links is joined into components. A shared shingle yields a pair
+   only if what remains of both ordered sets from there on could link them, as it could from the first one they share; so
+   near copies that differ too much are told apart by the rare shingles before it. In ``HUB_ROUNDS`` more rounds
    the classes outside the component of a newly drawn hub are paired with it. Then, wherever a list still holds several
    components, pairs of components are formed, expanded to their classes in the list, filtered by size, and
    verified. Pairs within a component need no look, so a group of thousands of near copies costs a check each, not each
@@ -145,6 +147,7 @@ def _ranks(texts: DataFrame, words: int) -> np.ndarray:
     return out.ravel()
 
 
+_LISTS = "shingle long, group long, left int, hub long, hub_left int"
 _SETS = "doc_id long, n int, set_key binary, group long, prefix array<long>"
 
 
@@ -175,38 +178,37 @@ def _sets(words: int, threshold: int, ranks):
 
 
 def _shared_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shingle, group, hub) of the shingles that two groups or more post; the input is sorted by shingle and group."""
-    last_s, last_g, hub, told = None, None, None, True
+    """(shingle, group, left, hub, hub_left) of the shingles that two groups or more post; the input is sorted by shingle and group."""
+    last, hub, told = None, None, True
     for batch in batches:
-        s, g = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        s, g, left = (batch.column(i).to_numpy() for i in range(3))
         if not len(s):
             continue
-        fresh = np.concatenate([[not (s[0] == last_s and g[0] == last_g) if last_s is not None else True], (s[1:] != s[:-1]) | (g[1:] != g[:-1])])
-        s, g = s[fresh], g[fresh]
+        fresh = np.concatenate([[last is None or s[0] != last[0] or g[0] != last[1]], (s[1:] != s[:-1]) | (g[1:] != g[:-1])])
+        s, g, left = s[fresh], g[fresh], left[fresh]
         if not len(s):
             continue
-        head = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        if last_s is not None and s[0] == last_s:  # goes on with the run before
-            head = (np.array([last_s]), np.array([hub])) if not told else head
-            told = True
+        head = None
+        if last is not None and s[0] == last[0]:  # goes on with the run before
+            head, told = None if told else (last[0], *hub, *hub), True
         else:
             hub, told = None, False
         starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        hubs = g[starts].copy()
+        hubs, hubs_left = g[starts].copy(), left[starts].copy()
         if hub is not None:
-            hubs[0] = hub
+            hubs[0], hubs_left[0] = hub
         sizes = np.diff(np.concatenate([starts, [len(s)]]))
         emit = sizes > 1
         if hub is not None:
             emit[0] = True
         rows = np.repeat(emit, sizes)
-        of = np.repeat(hubs, sizes)
         told = bool(emit[-1])
-        last_s, last_g, hub = s[-1], g[-1], hubs[-1]
-        out_s, out_g = np.concatenate([head[0], s[rows]]), np.concatenate([head[1], g[rows]])
-        out_h = np.concatenate([head[1], of[rows]])
-        if len(out_s):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (out_s, out_g, out_h)], ["shingle", "group", "hub"])
+        last, hub = (s[-1], g[-1]), (hubs[-1], hubs_left[-1])
+        out = (s[rows], g[rows], left[rows], np.repeat(hubs, sizes)[rows], np.repeat(hubs_left, sizes)[rows])
+        if head is not None:
+            out = tuple(np.concatenate([np.array([h], x.dtype), x]) for h, x in zip(head, out, strict=True))
+        if len(out[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], [x.split()[0] for x in _LISTS.split(", ")])
 
 
 def _wanted(words: int, bits, shift: int):
@@ -293,9 +295,10 @@ def classes(documents: DataFrame, words: int = WORDS, threshold: int = THRESHOLD
     held = spark.read.parquet(at)
     members = checkpointed(held.select("doc_id", "n", "set_key", "group"))
     kinds = checkpointed(members.where("n > 0").groupBy("set_key", "n", "group").agg(F.min("doc_id").alias("rep")))
-    posted = held.where("prefix is not null").select(F.explode("prefix").alias("shingle"), "group")
+    posted = held.where("prefix is not null").select(F.posexplode("prefix").alias("nth", "shingle"), "group", "n")
+    posted = posted.select("shingle", "group", (F.col("n") - F.col("nth")).alias("left"))  # this shingle and those after it
     posted = posted.repartition("shingle").sortWithinPartitions("shingle", "group")
-    posted.mapInArrow(_shared_postings, "shingle long, group long, hub long").write.option("compression", "zstd").parquet(lists_at)
+    posted.mapInArrow(_shared_postings, _LISTS).write.option("compression", "zstd").parquet(lists_at)
     lists = spark.read.parquet(lists_at)
     del posted
     remove(spark, at)
@@ -303,9 +306,10 @@ def classes(documents: DataFrame, words: int = WORDS, threshold: int = THRESHOLD
 
     first = kinds.groupBy("group").agg(F.min("set_key").alias("first"), F.min("n").alias("n"))
     in_groups = kinds.drop("rep").join(first.drop("n"), "group").where("first != set_key").select(F.col("first").alias("a"), F.col("set_key").alias("b"))
-    to_hubs = lists.where("group != hub").select("group", "hub").distinct()
+    # of the shingles that a group shares with a hub, the one that leaves most speaks for all
+    to_hubs = lists.where("group != hub").groupBy("group", "hub").agg(F.max(F.least("left", "hub_left")).alias("rest"))
     hub = first.select(F.col("group").alias("hub"), F.col("first").alias("a"), F.col("n").alias("m"))
-    to_hubs = to_hubs.join(hub, "hub").join(first.withColumnRenamed("first", "b"), "group").where(_sizes("n", "m", threshold)).select("a", "b")
+    to_hubs = to_hubs.join(hub, "hub").join(first.withColumnRenamed("first", "b"), "group").where(_reachable("rest", "n", "m", threshold)).select("a", "b")
     links, scratch = _links(documents, kinds, in_groups.unionByName(to_hubs), words, threshold)
     roots = _joined(spark, links, scratch)
     del links
@@ -316,19 +320,19 @@ def classes(documents: DataFrame, words: int = WORDS, threshold: int = THRESHOLD
         # classes of other components than the hub's meet it; the hub of a list is drawn anew by turn and kind of list
         open_lists = _open_lists(spark, lists, kinds, of)
         draw = F.xxhash64("set_key", F.lit(turn), F.pmod("shingle", F.lit(HUBS)))
-        hubs = open_lists.groupBy("shingle").agg(F.min_by(F.struct("set_key", "part", "n"), draw).alias("h"))
-        hubs = hubs.select("shingle", F.col("h.set_key").alias("x"), F.col("h.part").alias("p"), F.col("h.n").alias("m"))
-        pairs = open_lists.join(hubs, "shingle").where((F.col("part") != F.col("p")) & _sizes("n", "m", threshold))
+        hubs = open_lists.groupBy("shingle").agg(F.min_by(F.struct("set_key", "part", "n", "left"), draw).alias("h"))
+        hubs = hubs.select("shingle", F.col("h.set_key").alias("x"), F.col("h.part").alias("p"), F.col("h.n").alias("m"), F.col("h.left").alias("l"))
+        pairs = open_lists.join(hubs, "shingle").where((F.col("part") != F.col("p")) & _reachable(F.least("left", "l"), "n", "m", threshold))
         pairs = pairs.select(F.least("x", "set_key").alias("a"), F.greatest("x", "set_key").alias("b")).distinct()
         of = _contracted(spark, of, *_links(documents, kinds, pairs, words, threshold))
     open_lists = _open_lists(spark, lists, kinds, of)
-    per_part = open_lists.groupBy("shingle", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    other = per_part.select("shingle", F.col("part").alias("other"), F.col("least").alias("least2"), F.col("most").alias("most2"))
-    met = per_part.join(other, "shingle").where((F.col("part") < F.col("other")) & (100 * F.col("most") >= threshold * F.col("least2")) & (100 * F.col("most2") >= threshold * F.col("least")))
+    per_part = open_lists.groupBy("shingle", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("left").alias("rest"))
+    other = per_part.select("shingle", F.col("part").alias("other"), F.col("least").alias("least2"), F.col("most").alias("most2"), F.col("rest").alias("rest2"))
+    met = per_part.join(other, "shingle").where((F.col("part") < F.col("other")) & (100 * F.col("most") >= threshold * F.col("least2")) & (100 * F.col("most2") >= threshold * F.col("least")) & _reachable(F.least("rest", "rest2"), "least", "least2", threshold))
     met = met.select("shingle", "part", "other")
-    one = open_lists.select("shingle", "part", F.col("set_key").alias("x"), F.col("n").alias("n1"))
-    two = open_lists.select("shingle", F.col("part").alias("other"), F.col("set_key").alias("y"), F.col("n").alias("n2"))
-    pairs = met.join(one, ["shingle", "part"]).join(two, ["shingle", "other"]).where(_sizes("n1", "n2", threshold))
+    one = open_lists.select("shingle", "part", F.col("set_key").alias("x"), F.col("n").alias("n1"), F.col("left").alias("l1"))
+    two = open_lists.select("shingle", F.col("part").alias("other"), F.col("set_key").alias("y"), F.col("n").alias("n2"), F.col("left").alias("l2"))
+    pairs = met.join(one, ["shingle", "part"]).join(two, ["shingle", "other"]).where(_reachable(F.least("l1", "l2"), "n1", "n2", threshold))
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     final = _contracted(spark, of, *_links(documents, kinds, pairs, words, threshold))
     return members.join(final, "set_key", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "set_key", "root")
@@ -342,9 +346,9 @@ def _contracted(spark: SparkSession, of: DataFrame, links: DataFrame, scratch: l
 
 
 def _open_lists(spark: SparkSession, lists: DataFrame, kinds: DataFrame, of: DataFrame) -> DataFrame:
-    """(shingle, set_key, n, part) of the lists that hold several components."""
+    """(shingle, set_key, n, left, part) of the lists that hold several components."""
     rooted = kinds.drop("rep").join(of, "set_key").withColumn("part", F.xxhash64("root"))
-    held = lists.select("shingle", "group").join(rooted.select("group", "set_key", "n", "part"), "group").drop("group")
+    held = lists.select("shingle", "group", "left").join(rooted.select("group", "set_key", "n", "part"), "group").drop("group")
     mixed = held.groupBy("shingle").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("shingle")
     at = scratch_path(spark, "shingle-open")
     held.join(mixed, "shingle").write.option("compression", "zstd").parquet(at)
@@ -352,8 +356,9 @@ def _open_lists(spark: SparkSession, lists: DataFrame, kinds: DataFrame, of: Dat
     return spark.read.parquet(at)
 
 
-def _sizes(a: str, b: str, threshold: int):
-    return 100 * F.least(a, b) >= threshold * F.greatest(a, b)
+def _reachable(rest, n: str, m: str, threshold: int):
+    """Sets of n and m shingles could link if the first one they share and the ``rest`` after it were all in common."""
+    return (100 + threshold) * F.lit(rest if not isinstance(rest, str) else F.col(rest)) >= threshold * (F.col(n) + F.col(m))
 
 
 def with_components(documents: DataFrame, **how: int) -> DataFrame:
