@@ -33,7 +33,7 @@ from readloom.llm.common import Remembered, checkpointed, slices, table
 
 CAPACITY = 2048
 SHARD_PIECES = 20_000
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
 END_ID = b"\0\0\0\0"
 
 #: The word pattern of the tokenizer file: a fixed value.
