@@ -41,7 +41,7 @@ GRAM = 64
 HOT_CONTEXTS = 20_000
 CORE_SHARE = 6
 MAX_FILTER_BITS = 27
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 1 << 20
 MAX_BROADCAST_KEYS = 1_000_000
 DICTIONARY_TEXTS = 200
 DICTIONARY_BYTES = 100_000
@@ -225,13 +225,17 @@ def _grouped(values: np.ndarray) -> np.ndarray:
     runs whose high bits agree by chance are then put in order by the whole values.
     """
     low = np.uint64(max(1, int(len(values) - 1).bit_length()))
-    with np.errstate(over="ignore"):
-        mixed = (values ^ (values >> np.uint64(32))) * _MIX
-        mixed ^= mixed >> np.uint64(29)
     mask = (np.uint64(1) << low) - np.uint64(1)
-    packed = np.sort((mixed & ~mask) | np.arange(len(values), dtype=np.uint64))
-    order, high = (packed & mask).astype(np.int64), packed >> low
-    alike = high[1:] == high[:-1]
+    packed = values >> np.uint64(32)  # in place from here on
+    packed ^= values
+    packed *= _MIX
+    packed ^= packed >> np.uint64(29)
+    packed &= ~mask
+    packed |= np.arange(len(values), dtype=np.uint64)
+    packed.sort()
+    order = (packed & mask).view(np.int64)
+    packed >>= low
+    alike = packed[1:] == packed[:-1]
     if (alike & (values[order[1:]] != values[order[:-1]])).any():
         run = np.concatenate([[0], np.cumsum(~alike)])
         mixed_runs = np.isin(run, run[1:][alike & (values[order[1:]] != values[order[:-1]])])
