@@ -3,10 +3,9 @@
 Lines are normalised (A-Z lower-cased, runs of ASCII white space collapsed) and hashed; for each host (``source``) the
 distinct documents holding a line are counted; lines above the limit are removed; documents left depleted are rejected.
 
-What counts as a distinct document: copies are the business of near-duplicate stages, so a document stands for the least
-hash among its lines. Exact copies, and near copies sharing that line, count once. A line is removed if more than
-``max_documents`` distinct documents of the host hold it and these make up at least half of the rows that hold it: lines
-shared by different documents are boilerplate, lines shared by copies of one document are not.
+What counts as a distinct document: a digest of its whole normalised text (lower case, white space collapsed), so copies
+count once, however many they are, and a line that documents share is not their identity. A line is removed if more than
+``max_documents`` distinct documents of the host hold it. Near copies are documents of their own.
 
 Defined results: a null or empty text has no words and fails; a null source is a host of its own; repeated rows get equal
 verdicts each; ids may be null or repeated, since documents are joined by a digest of id, source and text. Other columns
@@ -37,7 +36,7 @@ SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 
 _FEATURES = (
     "row_key binary, doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-    "n_repeat_words long, line_keys array<binary>, line_words array<int>, least_line binary"
+    "n_repeat_words long, line_keys array<binary>, line_words array<int>, content binary"
 )
 
 
@@ -114,7 +113,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     repeated_words(words),
                     list(per_line),
                     list(per_line.values()),
-                    min(per_line, default=None),
+                    hashlib.md5(b" ".join(raw.lower().split())).digest(),
                 )
             )
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], names)
@@ -131,12 +130,12 @@ def frequent_lines(per_document: DataFrame, max_documents: int = MAX_DOCUMENTS)
     Rows are first collapsed to one for each host, line and distinct document, then to one for each host and line; both
     steps combine before they shuffle, so a line that a third of all rows hold arrives as one row from each task.
     """
-    lines = per_document.select("host", "least_line", F.explode("line_keys").alias("line_key"))
-    by_content = lines.groupBy("host", "line_key", "least_line").agg(F.count(F.lit(1)).alias("n_rows"))
+    lines = per_document.select("host", "content", F.explode("line_keys").alias("line_key"))
+    by_content = lines.distinct()
     return (
         by_content.groupBy("host", "line_key")
-        .agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n_rows").alias("n_rows"))
-        .where((F.col("n_documents") > max_documents) & (2 * F.col("n_documents") >= F.col("n_rows")))
+        .agg(F.count(F.lit(1)).alias("n_documents"))
+        .where(F.col("n_documents") > max_documents)
         .select("host", "line_key")
     )
 
@@ -163,7 +162,7 @@ def verdicts(
     gone = removed_lines(per_document, frequent_lines(per_document, max_documents))
     left = F.col("n_words") - F.col("removed_words")
     return (
-        per_document.drop("line_keys", "line_words", "least_line")
+        per_document.drop("line_keys", "line_words", "content")
         .join(gone, "row_key", "left")
         .withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
         .withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")))

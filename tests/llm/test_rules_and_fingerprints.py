@@ -31,6 +31,20 @@ def test_quality_rules(spark):
     assert qr.apply(docs.limit(0)).count() == 0 and qr.apply(docs).columns == docs.columns
 
 
+def test_lines_of_a_template_are_removed(spark):
+    rng = random.Random(5)
+    body = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    shared = [f"{body(12)}" for _ in range(12)]
+    texts = ["\n".join([*shared, body(30), body(30), body(30)]) for _ in range(100)]
+    bar = body(10)
+    held = [f"{bar}\n{body(40)}" for _ in range(50)]
+    rows = [(i, t, "templates") for i, t in enumerate(texts)]
+    rows += [(200 + i, t, "copies") for i, t in enumerate(held + [held[0]] * 101)]  # more copies than documents
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r.doc_id: r for r in qr.verdicts(docs).collect()}
+    assert {found[i].removed_words for i in range(100)} == {144} and {found[200 + i].removed_words for i in range(151)} == {10}
+
+
 def fingerprint(text):
     import regex
 
