@@ -7,7 +7,8 @@ make one shingle). What is asked for is the class of each document, its componen
 2. Shingles are ordered, rare ones first, by counts of all documents in a table of ``SKETCH_BITS`` bits' size (hashed, so
    an upper bound; the order may be any for right results). Linked sets share one of their first n - ceil(3n/4) + 1
    shingles. Classes with equal prefixes and sizes are one group, and a group posts its prefix once for each task.
-3. Postings, sorted by shingle, leave those of two groups or more. First each group of a list is paired with the list's
+3. Postings, sorted by shingle, leave those of two groups or more; a group of three classes or more has a list of its own
+   as well, in which they meet whatever they share with other groups. First each group of a list is paired with the list's
    first, and each class with the first of its group; what links is joined into components. A shared shingle yields a pair
    only if what remains of both ordered sets from there on could link them, as it could from the first one they share; so
    near copies that differ too much are told apart by the rare shingles before it. In ``HUB_ROUNDS`` more rounds
@@ -299,6 +300,9 @@ def classes(documents: DataFrame, words: int = WORDS, threshold: int = THRESHOLD
     posted = posted.select("shingle", "group", (F.col("n") - F.col("nth")).alias("left"))  # this shingle and those after it
     posted = posted.repartition("shingle").sortWithinPartitions("shingle", "group")
     posted.mapInArrow(_shared_postings, _LISTS).write.option("compression", "zstd").parquet(lists_at)
+    # classes of one group meet in a list of its own: the prefix they share may be in no other list, or only in a late place
+    several = kinds.groupBy("group").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("classes")).where("classes > 2")  # two are paired below
+    several.select(F.col("group").alias("shingle"), "group", F.col("n").alias("left"), F.col("group").alias("hub"), F.col("n").alias("hub_left")).write.mode("append").option("compression", "zstd").parquet(lists_at)
     lists = spark.read.parquet(lists_at)
     del posted
     remove(spark, at)

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -56,6 +57,23 @@ def test_components_against_brute_force(spark, monkeypatch, seed, share):
     assert found == brute(texts)
 
 
+@pytest.mark.parametrize("elsewhere", [False, True])
+def test_classes_of_one_group_meet(spark, elsewhere):
+    """Three sets of one prefix, of which the two that are not the group's first link; its late prefix shingle is or is not in another group."""
+    key = lambda t: hashlib.md5(nj.Shingles(1)(t).tobytes()).digest()
+    c = [f"c{i}" for i in range(17)]
+    for k in range(1000):
+        a, b, d = (" ".join([f"r{k}", f"s{k}", f"t{k}", *x]) for x in (c[:8], c[8:16], [*c[8:15], c[16]]))
+        if key(a) < min(key(b), key(d)):
+            break
+    texts = [a, b, d] + [" ".join([*c, *(f"f{i}x{j}" for j in range(60))]) for i in range(20)]
+    if elsewhere:
+        texts.append(f"t{k} c0 c1")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in nj.with_components(docs, words=1).collect()}
+    assert found[0] == 0 and found[1] == found[2] == 1 and all(found[i] == i for i in range(3, len(texts)))
+
+
 def test_prefixes_share_a_shingle():
     rng = np.random.default_rng(3)
     for _ in range(300):
