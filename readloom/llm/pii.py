@@ -47,20 +47,18 @@ GIVEN = {
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Señor": "m", "Señora": "f", "Monsieur": "m", "Madame": "f", "Dr": "", "Prof": ""}
 
 _NAME = r"[^\W\d_a-z][^\W\d_]+(?:-[^\W\d_]+)?"
-PATTERNS = re.compile(
-    "|".join(
-        (
-            r"(?P<email>(?<![\w.+%-])[\w.+%-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}(?![\w-]))",
-            r"(?P<secret>(?<=[\"'=:])[0-9A-Za-z_-]{20,}(?=[\"'])|\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{30,}|sk-[0-9A-Za-z_-]{20,}|xox[abp]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35})\b|(?<![0-9A-Za-z])(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,}(?![0-9A-Za-z]))",
-            r"(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?\b)",
-            r"(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![\w.]*\d))",
-            r"(?P<card>(?<![\w+-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]))",
-            r"(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))",
-            r"(?P<phone>(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![\w-])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![\w-]))",
-            rf"(?P<name>\b(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\b\.? {_NAME}(?: {_NAME})?)",
-        )
-    )
+_KINDS = (
+    r"(?P<email>(?<![\w.+%-])[\w.+%-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}(?![\w-]))",
+    r"(?P<secret>(?<=[\"'=:])[0-9A-Za-z_-]{20,}(?=[\"'])|\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{30,}|sk-[0-9A-Za-z_-]{20,}|xox[abp]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35})\b|(?<![0-9A-Za-z])(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,}(?![0-9A-Za-z]))",
+    r"(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?\b)",
+    r"(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![\w.]*\d))",
+    r"(?P<card>(?<![\w+-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]))",
+    r"(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))",
+    r"(?P<phone>(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![\w-])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![\w-]))",
+    rf"(?P<name>\b(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\b\.? {_NAME}(?: {_NAME})?)",
 )
+PATTERNS = re.compile("|".join(_KINDS))
+_ALONE = {re.match(r"\(\?P<(\w+)>", k)[1]: re.compile(k) for k in _KINDS}
 #: A text without one of these has no entity but a name.
 _MAYBE = re.compile(r"[0-9@\"'=]|" + "|".join(TITLES))
 
@@ -183,20 +181,42 @@ class Surrogates:
         return found
 
 
+def _shorter(kind: str, found: str) -> int | None:
+    """Where a shorter entity of ``kind`` ends that starts as ``found`` does; the longest one's end."""
+    if kind == "iban":
+        return next((n for n in range(len(found) - 1, 0, -1) if found[n] == " " and iban_ok(found[:n])), None)
+    ends = [n for n in range(len(found) - 1, 0, -1) if found[n] in " -" and found[n - 1].isdigit() and 13 <= sum(map(str.isdigit, found[:n]))]
+    return next((n for n in ends if luhn(re.sub(r"\D", "", found[:n]))), next((n for n in ends if n in (15, 16) and found[:n].isdigit()), None))
+
+
+def _next(text: str, at: int) -> tuple[str, int, int] | None:
+    """The first entity from ``at`` on. What fails its check is tried with shorter ends and as the kinds after it, then left by one character."""
+    while m := PATTERNS.search(text, at):
+        kind, a, b = m.lastgroup, m.start(), m.end()
+        digits = re.sub(r"\D", "", m[0])
+        if kind == "card":  # bare numbers of a card's length count as such
+            good = luhn(digits) or len(digits) in (15, 16) and digits == m[0]
+        else:
+            good = kind != "iban" or iban_ok(m[0])
+        if good:
+            return kind, a, b
+        if end := _shorter(kind, m[0]):
+            return kind, a, a + end
+        for other in ("ssn", "phone") if kind == "card" else ():
+            if m := _ALONE[other].match(text, a):
+                return other, a, m.end()
+        at = a + 1
+    return None
+
+
 def find(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the entities of a text, in order."""
     if not text or not _MAYBE.search(text):
         return []
-    out = []
-    for m in PATTERNS.finditer(text):
-        kind = m.lastgroup
-        if kind == "card" and not luhn(re.sub(r"\D", "", m[0])):
-            digits = re.sub(r"\D", "", m[0])
-            if not (len(digits) in (15, 16) and digits == m[0]):  # bare numbers of a card's length count as such
-                continue
-        if kind == "iban" and not iban_ok(m[0]):
-            continue
-        out.append((kind, m.start(), m.end()))
+    out, at = [], 0
+    while found := _next(text, at):
+        out.append(found)
+        at = found[2]
     return out
 
 

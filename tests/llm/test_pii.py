@@ -53,3 +53,22 @@ def test_table(spark):
 def test_clean_texts_stay():
     for text in ("In 1999, 12 of 345 (67%) at 8.15 pm.", "a@b", "version 1.2.3", "x=1234567890", "call 12-34", "'tis 'quoted words only'"):
         assert pii.replace(text, pii.Surrogates())[0] == text
+
+
+def test_entities_before_short_numbers():
+    for text, kinds in (
+        ("pay 4111111111111111 123 now", ["card"]),
+        ("pay 4111111111111111 12/27 now", ["card"]),
+        ("call 415-555-0100 2024", ["phone"]),
+        ("4111111111111111 8.196.197.208", ["card", "ip"]),
+        ("12 4111111111111111", ["card"]),
+        ("DE89 3704 0044 0532 0130 00", ["iban"]),
+        ("GR16 0110 1250 0000 0001 2300 695 CALL", ["iban"]),
+        ("ES91 2100 0418 4502 0005 1332 CALL", ["iban"]),
+        ("AB12 4111 1111 1111 1111", ["card"]),
+        ("123-45-6789 12345", ["ssn"]),
+    ):
+        out, spans = pii.replace(text, pii.Surrogates())
+        assert [k for k, _, _ in spans] == kinds, text
+        for _, a, b in spans:
+            assert text[a:b] not in out
