@@ -6,15 +6,15 @@ and form: every digit by a digit, every letter by a letter of its case, script a
 untouched; card numbers keep their length and check digit, IBANs their country and check digits, addresses stay valid.
 Given names keep their gender and family names their script.
 
-A replacement is a keyed permutation of the strings of a form (a Feistel network on mixed-radix numbers, walked until it
-meets the form's own rule), so equal entities get equal replacements in all documents and executors, and different ones
-different: distinctness and coreference hold by construction, without a table that grows with the corpus. Cased forms of
-one entity keep their case. The one collision left, a replacement that is itself an entity of the same text, is checked:
-such entities of a document go through the permutation again, which stays a permutation for the walk. ``collisions``
-checks a whole corpus.
+A replacement is the next string of a form in a keyed order of them all (the order is a Feistel network on mixed-radix
+numbers; the walk goes on until it meets the form's own rule), so equal entities get equal replacements in all documents and
+executors, whatever else a document holds, and different ones different: distinctness and coreference hold by construction,
+without a table that grows with the corpus. The order is one cycle, so that no entity stands for itself unless its form has
+no other string. Cased forms of one entity keep their case. The operator checks the corpus for ``collisions`` and takes
+another key if it finds any.
 
-Names come from short lists, so they are mapped by a keyed permutation of the list of their gender and script; names
-outside the lists are permuted letter by letter.
+Names come from short lists, so each is mapped to the ``RESERVE`` of its gender and script, and those of the reserve to the
+list; names outside the lists are permuted letter by letter.
 
 Defined results: null texts stay null, texts without an entity stay as they are; repeated rows get equal texts; columns
 other than text and n_chars pass unchanged, whatever their names.
@@ -22,8 +22,10 @@ other than text and n_chars pass unchanged, whatever their names.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import hmac
+import itertools
 import math
 import re
 from collections.abc import Callable, Iterator
@@ -36,6 +38,7 @@ from readloom.llm.common import slices, table
 
 KEY = b"surrogates"
 ROUNDS = 8
+KEYS = 8
 
 #: Given names by gender and script, and titles by gender: fixed values.
 GIVEN = {
@@ -44,6 +47,15 @@ GIVEN = {
     ("f", "cyrillic"): "Анна Вера Дарья Елена Ирина Мария Нина Ольга Софья Юлия".split(),
     ("m", "cyrillic"): "Антон Борис Виктор Глеб Денис Иван Лев Олег Павел Юрий".split(),
 }
+#: Names that stand for those above, and the other way round: as many, none of them above.
+RESERVE = {
+    ("f", "latin"): "Agnes Beate Carmen Dora Edith Flora Greta Hilda Irene Judith Karin Lydia Miriam Nadia Odette Paula Renata Stella Tilda Ursula".split(),
+    ("m", "latin"): "Albert Boris Conrad Dieter Edgar Frank Gregor Henrik Igor Jonas Kurt Louis Martin Nils Otto Philip Ralf Stefan Theo Viktor".split(),
+    ("f", "cyrillic"): "Алла Галина Жанна Зоя Лидия Марина Надежда Раиса Тамара Яна".split(),
+    ("m", "cyrillic"): "Артём Вадим Георгий Егор Захар Игорь Максим Никита Роман Семён".split(),
+}
+GIVEN = {k: v + RESERVE[k] for k, v in GIVEN.items()}
+_LISTED = {name: k for k, v in GIVEN.items() for name in v}
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Señor": "m", "Señora": "f", "Monsieur": "m", "Madame": "f", "Dr": "", "Prof": ""}
 
 _NAME = r"[^\W\d_a-z][^\W\d_]+(?:-[^\W\d_]+)?"
@@ -65,7 +77,13 @@ _MAYBE = re.compile(r"[0-9@\"'=]|" + "|".join(TITLES))
 _DIGITS = "0123456789"
 _SETS = [_DIGITS, "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω"]
 _ALPHABETS = {c: s for s in _SETS for c in s}
-#: Letters of other kinds are permuted among those of the same block of 64 that have their case.
+
+
+@functools.lru_cache(4096)
+def _block(c: str) -> str:
+    """The letters that one of another kind is permuted among: those of the same block of 64 that have case, or have none, as it does."""
+    kind = lambda x: (x.isalpha() and x.lower() == x) and (1 if x.upper() == x else 2 if len(x.upper()) == 1 and x.upper().lower() == x else 0)
+    return "".join(x for x in map(chr, range(ord(c) & ~63, (ord(c) | 63) + 1)) if x not in _ALPHABETS and kind(x) == kind(c)) if kind(c) else ""
 
 
 def luhn(digits: str) -> bool:
@@ -105,11 +123,32 @@ class Surrogates:
             if value < size:
                 return value
 
+    def unpermute(self, value: int, size: int, tweak: str) -> int:
+        """The inverse of ``permute``."""
+        if size < 2:
+            return value
+        a = max(2, math.isqrt(size))
+        b = -(-size // a)
+        while True:
+            left, right = divmod(value, b)
+            for i in range(ROUNDS - 2, -1, -2):
+                right = (right - self._round(tweak, i + 1, left, b)) % b
+                left = (left - self._round(tweak, i, right, a)) % a
+            value = left * b + right
+            if value < size:
+                return value
+
+    def others(self, value: int, size: int, tweak: str) -> Iterator[int]:
+        """All other numbers of range(size), in the order of one keyed cycle from ``value`` on."""
+        at = self.permute(value, size, tweak)
+        for k in range(1, size):
+            yield self.unpermute((at + k) % size, size, tweak)
+
     def permute_string(self, text: str, tweak: str, ok: Callable[[str], bool] = lambda s: True, hexed: bool = False, fixed: int = 0) -> str:
         """``text`` with its letters and digits permuted in their kinds, the first ``fixed`` as they are; walked on until it is as ``ok`` as before, so that either class keeps to itself."""
         valid = ok(text)
         lower = text.lower() if len(text.lower()) == len(text) else text
-        sets = ["0123456789abcdef" if hexed and c in "0123456789abcdef" else _ALPHABETS.get(c, "") for c in lower]
+        sets = ["0123456789abcdef" if hexed and c in "0123456789abcdef" else _ALPHABETS.get(c) or _block(c) for c in lower]
         sets = ["" if i < fixed else s for i, s in enumerate(sets)]
         size = math.prod(len(s) for s in sets if s)
         shape = tweak + "|" + "".join(s[0] if s else c for s, c in zip(sets, lower, strict=True))
@@ -117,9 +156,8 @@ class Surrogates:
         for c, s in zip(lower, sets, strict=True):
             if s:
                 value = value * len(s) + s.index(c)
-        for _ in range(100_000):  # forms that no other string meets keep their own
-            value = self.permute(value, size, shape)
-            rest, out = value, []
+        for rest in itertools.islice(self.others(value, size, shape), 100_000):  # forms that no other string meets keep their own
+            out = []
             for c, s, t in zip(reversed(lower), reversed(sets), reversed(text), strict=True):
                 if s:
                     rest, at = divmod(rest, len(s))
@@ -131,18 +169,18 @@ class Surrogates:
         return text
 
     def _name(self, text: str) -> str:
-        title, *names = re.split(r"(?<=\w)\.? ", text, maxsplit=1)
+        _, *names = re.split(r"(?<=\w)\.? ", text, maxsplit=1)
         names = names[0].split(" ") if names else []
-        lead, gender = text[: len(text) - len(" ".join(names))], TITLES.get(title, "")
+        lead = text[: len(text) - len(" ".join(names))]
         out = []
-        for i, name in enumerate(names):
-            held = next(((k, v) for k, v in GIVEN.items() if name in v and gender in ("", k[0])), None)
-            if held and (i == 0 and len(names) > 1 or len(names) == 1):
-                kind, listed = held
-                name = listed[self.permute(listed.index(name), len(listed), f"given|{kind}")]
+        for name in names:
+            if name in _LISTED:  # wherever it stands and whatever the title, so that one name has one surrogate
+                listed = GIVEN[_LISTED[name]]
+                half, at = len(listed) // 2, listed.index(name)
+                tweak = f"given|{_LISTED[name]}"
+                name = listed[half + self.permute(at, half, tweak)] if at < half else listed[self.unpermute(at - half, half, tweak)]
             else:
-                taken = {n for v in GIVEN.values() for n in v}
-                name = self.permute_string(name, "family", lambda s: s not in taken)
+                name = self.permute_string(name, "family", lambda s: s not in _LISTED)
             out.append(name)
         return lead + " ".join(out)
 
@@ -159,10 +197,11 @@ class Surrogates:
             n = 0
             for part in text.split("."):
                 n = n * 256 + int(part)
-            n = self.permute(n, 1 << 32, "ip")
+            n = next(self.others(n, 1 << 32, "ip"))
             return ".".join(str(n >> s & 255) for s in (24, 16, 8, 0))
         if kind == "phone":
             plus = re.match(r"\+\d+|", text).end()
+            plus = plus if plus <= 4 else 2  # a number without separators is not all country code
             return self.permute_string(text, "phone", fixed=plus)
         if kind == "ssn":
             return self.permute_string(text, "ssn", lambda s: s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00" and s[7:] != "0000")
@@ -171,15 +210,6 @@ class Surrogates:
             return self.permute_string(text, "secret", hexed=bool(re.fullmatch("[0-9a-f]+", text)), fixed=prefix)
         return self._name(text)
 
-    def replaced(self, kind: str, text: str, taken: set[tuple[str, str]]) -> str:
-        """The surrogate, walked on while it is an entity of the same text."""
-        found = self.one(kind, text)
-        for _ in range(1_000):
-            if found != text and (kind, found) not in taken:
-                break
-            found = self.one(kind, found)
-        return found
-
 
 def _shorter(kind: str, found: str) -> int | None:
     """Where a shorter entity of ``kind`` ends that starts as ``found`` does; the longest one's end."""
@@ -224,9 +254,9 @@ def replace(text: str, surrogates: Surrogates) -> tuple[str, list[tuple[str, int
     spans = find(text)
     if not spans:
         return text, []
-    taken, parts, at = {(k, text[a:b]) for k, a, b in spans}, [], 0
+    parts, at = [], 0
     for kind, a, b in spans:
-        parts += [text[at:a], surrogates.replaced(kind, text[a:b], taken)]
+        parts += [text[at:a], surrogates.one(kind, text[a:b])]
         at = b
     return "".join([*parts, text[at:]]), spans
 
@@ -248,6 +278,7 @@ def with_surrogates(documents: DataFrame, key: bytes = KEY, kinds: str = "__kind
     """``documents`` with entities of text replaced, and the column ``kinds``: their types in order."""
     from pyspark.sql import types as T
 
+    key = collision_free(documents, key)
     schema = T.StructType([*documents.schema.fields, T.StructField("__kinds", T.ArrayType(T.StringType()))])
     found = documents.mapInArrow(_replaced(key), schema)
     if "n_chars" in documents.columns:
@@ -268,8 +299,7 @@ def entities(documents: DataFrame, key: bytes = KEY) -> DataFrame:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 spans = find(text)
-                taken = {(k, text[a:b]) for k, a, b in spans}
-                rows += [(doc_id, k, text[a:b], surrogates.replaced(k, text[a:b], taken)) for k, a, b in spans]
+                rows += [(doc_id, k, text[a:b], surrogates.one(k, text[a:b])) for k, a, b in spans]
             types = (pa.int64(), pa.string(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([],) * 4, types, strict=True)], ["doc_id", "kind", "entity", "surrogate"])
 
@@ -282,6 +312,16 @@ def collisions(found: DataFrame) -> DataFrame:
     return pairs.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def collision_free(documents: DataFrame, key: bytes) -> bytes:
+    """``key``, or the first of those made from it under which no two entities of the documents have one surrogate."""
+    ids = documents.select(F.lit(None).cast("long").alias("doc_id"), "text")
+    for k in range(KEYS):
+        own = key if not k else key + b"|%d" % k
+        if not collisions(entities(ids, own)).take(1):
+            return own
+    raise ValueError(f"{KEYS} keys all give two entities one surrogate")
+
+
 def pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), kinds="kinds")
     return found.select("doc_id", "text", F.size("kinds").cast("long").alias("n_entities"), F.concat_ws(",", "kinds").alias("kinds"))

@@ -72,3 +72,35 @@ def test_entities_before_short_numbers():
         assert [k for k, _, _ in spans] == kinds, text
         for _, a, b in spans:
             assert text[a:b] not in out
+
+
+def test_no_entity_keeps_its_name_or_shares_another():
+    for key in (b"a", b"b", pii.KEY):
+        s = pii.Surrogates(key)
+        for size in (2, 3, 7, 100):
+            assert all(s.unpermute(s.permute(i, size, "t"), size, "t") == i and sorted([i, *s.others(i, size, "t")]) == list(range(size)) for i in range(size))
+        for kind, names in pii.GIVEN.items():
+            title = "Ms. " if kind[0] == "f" else "Mr. "
+            whole = " and ".join(title + n for n in names)
+            out, spans = pii.replace(whole, s)
+            new = [m[4:] for m in out.split(" and ")]
+            assert len(spans) == len(names) and sorted(new) == sorted(names) and all(a != b for a, b in zip(names, new))
+            for n, m in zip(names, new):  # whatever else a text holds
+                assert pii.replace(title + n, s)[0] == title + m
+            assert not set(new[: len(names) // 2]) & set(names[: len(names) // 2])
+        for name in ("Mr. John Peter", "Mrs. Adam", "Dr. Élodie Ñuñez", "Dr. 王伟"):
+            assert not set(s.one("name", name).split()[1:]) & set(name.split()[1:])
+        assert s.one("phone", "+14155550100") != "+14155550100"
+
+
+def test_the_operator_checks_collisions(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "Mr. John Smith and Mr. Paul Smith")], "doc_id long, text string")
+    real, asked = pii.collisions, []
+
+    def collisions(found):
+        asked.append(1)
+        return found.select("kind") if len(asked) == 1 else real(found)
+
+    monkeypatch.setattr(pii, "collisions", collisions)
+    text = pii.apply(docs).collect()[0].text
+    assert len(asked) == 2 and text == pii.replace(docs.first().text, pii.Surrogates(pii.KEY + b"|1"))[0]
