@@ -4,12 +4,19 @@ A text is made canonical: lower case, copyright lines gone, spellings unified, e
 space. Its digest is looked up among those of known licences and notices by a hash join; so is that of each of its lines,
 since notices stand alone in documents. The table of known texts is a constant of a few rows, hence broadcast.
 
+Whole licences (``licenses``, and the longer of ``KNOWN``) are looked up by a second digest as well, of the text without its
+copyright lines, rights line and list numbers; of those lines that begin with "copyright" only such go as name a holder or
+year. Their titles and appendices may be there or not.
+
 All is DataFrame functions. Defined results: null counts as empty, whose canonical form is empty and matches nothing;
 repeated rows and null ids stand for themselves; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +50,19 @@ Unless required by applicable law or agreed to in writing, software distributed
 )
 
 
+#: Titles that stand above texts of ``KNOWN``, and where appendices begin or end: fixed values.
+TITLES = {"MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"), "ISC": ("ISC License", "The ISC License")}
+APPENDIX = re.compile(r"\n[ \t]*(?:END OF TERMS AND CONDITIONS|APPENDIX:? How to|How to Apply These Terms)", re.I)
+
+#: Words after "copyright" that make a line one of the licence itself.
+_PROSE = "notices?|holders?|owners?|laws?|licen[sc]es?|statements?|interests?|treat(?:y|ies)|acts?|disclaimers?|permissions?|protection|and|or|in|is|to|of|on|for|as|under|with|that|which|a|an|any|this|such|the (?:software|program|library|work)"
+_OWN_LINES = (
+    (rf"\n[ \t]*(?:[-*][ \t]*)?(?:©|\(c\)[ \t]*(?:copyright|[12][0-9]{{3}})|copyright:?[ \t]+(?!(?:{_PROSE})\b)(?=[\p{{L}}\p{{N}}(©<\[{{]))[^\n]*(?=\n)", "\n"),
+    (r"\n[ \t]*all rights reserved\.?[ \t]*(?=\n)", "\n"),
+    (r"\n[ \t]*[0-9]{1,2}[.)][ \t]+", "\n"),
+)
+
+
 def canonical(text: Column) -> Column:
     found = F.concat(F.lit("\n"), F.lower(F.coalesce(text, F.lit(""))), F.lit("\n"))
     found = F.regexp_replace(found, r"\n[ \t]*(copyright|\(c\)|©)[^\n]*(?=\n)", "\n")
@@ -62,6 +82,43 @@ def canonical_text(text: str | None) -> str:
     return regex.sub(r"[^\p{L}\p{N}]+", " ", found).strip(" ")
 
 
+def body(text: Column) -> Column:
+    """The canonical form of a whole licence."""
+    found = F.concat(F.lit("\n"), F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("\r"), F.lit("")), F.lit("\n"))
+    for pattern, to in _OWN_LINES:
+        found = F.regexp_replace(found, pattern, to)
+    for other, usual in SPELLINGS:
+        found = F.replace(found, F.lit(other), F.lit(usual))
+    return F.trim(F.regexp_replace(found, r"[^\p{L}\p{N}]+", " "))
+
+
+def body_text(text: str) -> str:
+    import regex
+
+    found = "\n" + text.lower().replace("\r", "") + "\n"
+    for pattern, to in _OWN_LINES:
+        found = regex.sub(pattern, to, found)
+    for other, usual in SPELLINGS:
+        found = found.replace(other, usual)
+    return regex.sub(r"[^\p{L}\p{N}]+", " ", found).strip(" ")
+
+
+def whole_licenses() -> dict[str, str]:
+    """Names by digest of ``body`` for whole licences, with and without title and appendix."""
+    import hashlib
+
+    texts = [(n, f"{title}\n{t}") for n, t in KNOWN if len(t) > 200 for title in ("", *TITLES.get(n, ()))]
+    for path in sorted(files("readloom.llm").joinpath("licenses").iterdir(), key=str):
+        name, t = path.name.removesuffix(".txt"), path.read_text()
+        head = re.match(r"\s*(?:[^\n]+\n)+", t)[0]  # the first paragraph is the title
+        bare = t if name == "Unlicense" else t[len(head) :]
+        for whole in (t, bare):
+            cut = APPENDIX.search(whole)
+            ends = [whole] if not cut else [whole, whole[: cut.start()], whole[: cut.start()] + "\nEND OF TERMS AND CONDITIONS"]
+            texts += [(name, x) for x in ends]
+    return {hashlib.md5(body_text(t).encode()).hexdigest(): n for n, t in texts}
+
+
 def known_licenses(spark: SparkSession, texts=KNOWN) -> DataFrame:
     import hashlib
 
@@ -72,11 +129,15 @@ def known_licenses(spark: SparkSession, texts=KNOWN) -> DataFrame:
 def scan(documents: DataFrame, known: DataFrame | None = None, text: str = "text") -> DataFrame:
     """``documents`` with text_digest, license (of the whole text, or null), line_licenses (names of the lines' licences,
     sorted, by commas) and n_license_lines."""
+    whole = whole_licenses() if known is None else {}
     known = known_licenses(documents.sparkSession) if known is None else known
     names = F.create_map(*[F.lit(x) for r in known.collect() for x in (r.digest, r.license)])  # a few rows
     digests = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.md5(canonical(x)))
     found = documents.withColumn("text_digest", F.md5(canonical(F.col(text))))
     found = found.join(F.broadcast(known.withColumnRenamed("digest", "text_digest")), "text_digest", "left")
+    if whole:
+        wholes = F.create_map(*[F.lit(x) for row in whole.items() for x in row])  # some dozens
+        found = found.withColumn("license", F.coalesce("license", F.try_element_at(wholes, F.md5(body(F.col(text))))))
     found = found.withColumn("_lines", F.filter(F.transform(digests, lambda d: F.try_element_at(names, d)), lambda n: n.isNotNull()))
     return found.withColumns({"line_licenses": F.concat_ws(",", F.array_sort(F.array_distinct("_lines"))), "n_license_lines": F.size("_lines").cast("long")}).drop("_lines")
 

@@ -110,6 +110,21 @@ def test_license_scan(spark):
     assert found[4].n_license_lines == 0 and found[5].license is None
 
 
+def test_whole_licenses(spark):
+    import textwrap
+    from importlib.resources import files
+
+    mit, isc = license_scan.KNOWN[0][1], next(t for n, t in license_scan.KNOWN if n == "ISC")
+    held = {p.name[:-4]: p.read_text() for p in files("readloom.llm").joinpath("licenses").iterdir()}
+    at = isc.index("copyright notice")
+    cases = [("MIT", "MIT License\n\nCopyright (c) 2020 X\n\n" + textwrap.fill(mit, 78)), ("ISC", f"ISC License\n\nCopyright 2020 X\n\n{isc[:at]}\n{isc[at:]}")]
+    cases += list(held.items()) + [("BSD-3-Clause", "Copyright (c) 2001, Y\nAll rights reserved.\n\n" + held["BSD-3-Clause"].split("\n", 2)[2])]
+    cases += [("Apache-2.0", held["Apache-2.0"].split("APPENDIX")[0]), (None, held["BSD-3-Clause"] + "more"), (None, "copyright notice")]
+    rows = [(i, t) for i, (_, t) in enumerate(cases)]
+    found = {r.doc_id: r.license for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found[i] for i in range(len(cases))] == [n for n, _ in cases]
+
+
 def test_registry_names():
     names = queries.queries()
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] and set(queries.oracle_sql()) <= set(names)
