@@ -7,17 +7,17 @@ make one shingle). What is asked for is the class of each document, its componen
 2. Shingles are ordered, rare ones first, by counts of all documents in a table of ``SKETCH_BITS`` bits' size (hashed, so
    an upper bound; the order may be any for right results). Linked sets share one of their first n - ceil(3n/4) + 1
    shingles. Classes with equal prefixes and sizes are one group, and a group posts its prefix once for each task.
-3. Postings, sorted by shingle, leave those of two groups or more; a group of three classes or more has a list of its own
-   as well, in which they meet whatever they share with other groups. First each group of a list is paired with the list's
-   first, and each class with the first of its group; what links is joined into components. A shared shingle yields a pair
-   only if what remains of both ordered sets from there on could link them, as it could from the first one they share; so
-   near copies that differ too much are told apart by the rare shingles before it. In ``HUB_ROUNDS`` more rounds
-   the classes outside the component of a newly drawn hub are paired with it. Then, wherever a list still holds several
-   components, pairs of components are formed, expanded to their classes in the list, filtered by size, and
-   verified. Pairs within a component need no look, so a group of thousands of near copies costs a check each, not each
-   pair, and no link between components is missed.
-4. Pairs are verified on the full sets: a class's set goes once to each of its partners, in shares of ``SHARE`` for
-   classes with many.
+3. Postings are sorted by shingle. A shared shingle speaks for a pair of groups only if what remains of both ordered sets
+   from there on could link them, as it could from the first one that linked sets share. Postings without such a partner
+   in their list go; lists too long to be held at once keep all. A group of three classes or more has a list of its own.
+4. Each group is paired with the first of its lists, and each class with the first of its group; what links is joined into
+   components. In rounds, the classes of each list that still holds several components meet a newly drawn one of them, till
+   a round joins few. Then the pairs of components that a list holds are formed, filtered by size and place, and expanded
+   to their classes in the list. Pairs within a component need no look, so a group of thousands of near copies costs a
+   check each, not each pair, and no link between components is missed.
+5. Pairs are verified in two steps. Each class has a parity bitmap of twice as many bits as shingles: two sets differ in as
+   many shingles at least as their bitmaps in bits, which tells most pairs apart without their sets. For the rest, a
+   class's set goes once to each of its partners, in shares of ``SHARE`` for classes with many.
 
 Defined results: null, empty and blank texts have no shingles and stand alone; repeated rows get equal classes;
 component_id is the least id of the component's documents, null ids aside (null if there is no other). Extra columns are
@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from readloom.llm.common import checkpointed, free_shuffles, remove, scratch_path, slices, table
+from readloom.llm.common import checkpointed, free_shuffles, remove, scratch_path, slices, table, unused
 from readloom.llm.components import components
 
 WORDS = 5
@@ -43,8 +43,10 @@ THRESHOLD = 75
 SKETCH_BITS = 20
 BLOCK_BITS = 14
 SHARE = 1_000
-HUB_ROUNDS = 2
-HUBS = 4
+MAX_ROUNDS = 8
+ROUND_GAIN = 100
+LIST_ROWS = 1 << 16
+SHORT_LIST = 24
 PIECE_BYTES = 1 << 20
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -148,68 +150,130 @@ def _ranks(texts: DataFrame, words: int) -> np.ndarray:
     return out.ravel()
 
 
+def bitmap(own: np.ndarray) -> bytes:
+    """Parity by place: of 2^k bits, twice the shingles or more, each is flipped by those whose low k bits name it."""
+    k = max(6, (2 * len(own) - 1).bit_length())
+    flips = np.bincount((own & np.uint64((1 << k) - 1)).astype(np.int64), minlength=1 << k)
+    return np.packbits((flips & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """In how many bits two bitmaps differ; the longer one is folded to the length of the other."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 _LISTS = "shingle long, group long, left int, hub long, hub_left int"
-_SETS = "doc_id long, n int, set_key binary, group long, prefix array<long>"
+_SETS = "doc_id long, n int, set_key binary, group long, text_key binary, prefix array<long>, bits binary"
 
 
 def _sets(words: int, threshold: int, ranks):
-    types = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int64())]
+    types = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
     names = [x.split()[0] for x in _SETS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, rank, posted = Shingles(words), ranks.value, set()
+        shingles, rank, posted, told = Shingles(words), ranks.value, set(), set()
         for batch in slices(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = shingles(text)
-                n = len(own)
+                n, text_key = len(own), hashlib.md5((text or "").encode()).digest()
                 if not n:
-                    rows.append((doc_id, 0, None, None, None))
+                    rows.append((doc_id, 0, None, None, text_key, None, None))
                     continue
                 order = np.argsort(rank[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
                 prefix = own[order[: prefix_length(n, threshold)]].view(np.int64)
-                name = hashlib.md5(prefix.tobytes() + n.to_bytes(8, "little")).digest()
-                new = name not in posted
-                if new:
-                    posted.add(name)
-                rows.append((doc_id, n, hashlib.md5(own.tobytes()).digest(), int.from_bytes(name[:8], "little", signed=True), prefix if new else None))
+                name, key = hashlib.md5(prefix.tobytes() + n.to_bytes(8, "little")).digest(), hashlib.md5(own.tobytes()).digest()
+                new, first = name not in posted, key not in told
+                posted.add(name)
+                told.add(key)
+                rows.append((doc_id, n, key, int.from_bytes(name[:8], "little", signed=True), text_key, prefix if new else None, bitmap(own) if first else None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], names)
 
     return run
 
 
-def _shared_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shingle, group, left, hub, hub_left) of the shingles that two groups or more post; the input is sorted by shingle and group."""
-    last, hub, told = None, None, True
-    for batch in batches:
-        s, g, left = (batch.column(i).to_numpy() for i in range(3))
-        if not len(s):
-            continue
-        fresh = np.concatenate([[last is None or s[0] != last[0] or g[0] != last[1]], (s[1:] != s[:-1]) | (g[1:] != g[:-1])])
-        s, g, left = s[fresh], g[fresh], left[fresh]
+def most_partner(n: np.ndarray, left: np.ndarray, threshold: int) -> np.ndarray:
+    """The size of the largest set that one of n shingles could link with, if they first share that with ``left`` from it on."""
+    return (100 + threshold) * left // threshold - n
+
+
+def with_partner(starts: np.ndarray, sizes: np.ndarray, n: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which rows of the lists have a partner there: each is small enough for the other."""
+    keep, where = np.zeros(len(n), bool), np.repeat(np.arange(len(starts)), sizes)
+    short = sizes <= SHORT_LIST
+    for d in range(1, int(sizes[short].max(initial=1))):
+        ok = (where[d:] == where[:-d]) & (n[d:] <= most[:-d]) & (n[:-d] <= most[d:])
+        keep[d:] |= ok
+        keep[:-d] |= ok
+    for i in np.flatnonzero(~short).tolist():
+        own = slice(int(starts[i]), int(starts[i] + sizes[i]))
+        order = np.argsort(n[own])
+        reach = np.maximum.accumulate(most[own][order])  # of the sets up to a size, itself perhaps among them
+        upto = np.searchsorted(n[own][order], most[own], "right")
+        keep[own] = (upto > 0) & (reach[np.maximum(upto, 1) - 1] >= n[own])
+    return keep
+
+
+def _shared_postings(threshold: int, list_rows: int = LIST_ROWS):
+    """(shingle, group, left, hub, hub_left) of postings with a partner; the input (shingle, group, left, n) is sorted by shingle and group."""
+    names = [x.split()[0] for x in _LISTS.split(", ")]
+
+    def told(rows: list[np.ndarray], prune: bool, hub: tuple | None = None) -> Iterator[pa.RecordBatch]:
+        s, g, left, n = rows
         if not len(s):
-            continue
-        head = None
-        if last is not None and s[0] == last[0]:  # goes on with the run before
-            head, told = None if told else (last[0], *hub, *hub), True
-        else:
-            hub, told = None, False
+            return
         starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        hubs, hubs_left = g[starts].copy(), left[starts].copy()
-        if hub is not None:
-            hubs[0], hubs_left[0] = hub
         sizes = np.diff(np.concatenate([starts, [len(s)]]))
-        emit = sizes > 1
-        if hub is not None:
-            emit[0] = True
-        rows = np.repeat(emit, sizes)
-        told = bool(emit[-1])
-        last, hub = (s[-1], g[-1]), (hubs[-1], hubs_left[-1])
-        out = (s[rows], g[rows], left[rows], np.repeat(hubs, sizes)[rows], np.repeat(hubs_left, sizes)[rows])
-        if head is not None:
-            out = tuple(np.concatenate([np.array([h], x.dtype), x]) for h, x in zip(head, out, strict=True))
-        if len(out[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], [x.split()[0] for x in _LISTS.split(", ")])
+        if prune:
+            keep = with_partner(starts, sizes, n, most_partner(n.astype(np.int64), left.astype(np.int64), threshold))
+            s, g, left = s[keep], g[keep], left[keep]
+            if not len(s):
+                return
+            starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            sizes = np.diff(np.concatenate([starts, [len(s)]]))
+        hubs = np.repeat(g[starts], sizes) if hub is None else np.full(len(g), hub[0], np.int64)
+        hubs_left = np.repeat(left[starts], sizes) if hub is None else np.full(len(g), hub[1], np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (s, g, left, hubs, hubs_left)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, long = None, None  # rows of a list that may go on; (shingle, its last group, hub, hub_left) of one told as it comes
+        for batch in batches:
+            rows = [batch.column(i).to_numpy() for i in range(4)]
+            if not len(rows[0]):
+                continue
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            s, g = rows[:2]
+            fresh = np.concatenate([[True], (s[1:] != s[:-1]) | (g[1:] != g[:-1])])
+            if long and s[0] == long[0]:
+                fresh &= (s != long[0]) | (g != long[1])
+            rows = [x[fresh] for x in rows]
+            if long:
+                end = int(np.searchsorted(rows[0], long[0], "right"))
+                yield from told([x[:end] for x in rows], False, long[2:])
+                if end:
+                    long = (long[0], int(rows[1][end - 1]), *long[2:])
+                rows = [x[end:] for x in rows]
+            if not len(rows[0]):
+                held = None
+                continue
+            long = None
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            yield from told([x[:cut] for x in rows], True)
+            held = [x[cut:] for x in rows]
+            if len(held[0]) > list_rows:
+                long = (int(held[0][0]), int(held[1][-1]), int(held[1][0]), int(held[2][0]))
+                yield from told(held, False)
+                held = None
+        if held is not None:
+            yield from told(held, True)
+
+    return run
 
 
 def _wanted(words: int, bits, shift: int):
@@ -250,12 +314,26 @@ def _verified(threshold: int):
     return run
 
 
+def _alike(threshold: int):
+    """The pairs whose bitmaps don't rule out that they link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4096):
+            n, m, x, y = (batch.column(name).to_pylist() for name in ("n", "m", "x", "y"))
+            keep = [(100 + threshold) * least_difference(p, q) <= (100 - threshold) * (i + j) for i, j, p, q in zip(n, m, x, y, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _links(documents: DataFrame, kinds: DataFrame, pairs: DataFrame, words: int, threshold: int) -> tuple[DataFrame, list[str]]:
-    """The pairs (a, b) of classes that link, checked on their full sets; and the scratch tables to remove afterwards."""
+    """The pairs (a, b) of classes that link, checked on their bitmaps and full sets; and the scratch tables to remove afterwards."""
     spark = documents.sparkSession
     pairs_at, at = scratch_path(spark, "shingle-pairs"), scratch_path(spark, "shingle-sets")
-    pairs.write.option("compression", "zstd").parquet(pairs_at)
-    pairs = spark.read.parquet(pairs_at)
+    one = kinds.select(F.col("set_key").alias("a"), "n", F.col("bits").alias("x"))
+    two = kinds.select(F.col("set_key").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
+    pairs.join(one, "a").join(two, "b").mapInArrow(_alike(threshold), "a binary, b binary").write.option("compression", "zstd").parquet(pairs_at)
+    pairs = spark.read.schema("a binary, b binary").parquet(pairs_at)
     free_shuffles(spark)
     # sets are made again from one document of each class asked for; a filter by id says which
     asked = pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")).distinct().join(kinds.select("set_key", "rep"), "set_key").where("rep is not null")
@@ -268,7 +346,7 @@ def _links(documents: DataFrame, kinds: DataFrame, pairs: DataFrame, words: int,
     filled[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64)
     made = documents.select("doc_id", "text").mapInArrow(_wanted(words, spark.sparkContext.broadcast(filled.view(np.uint64)), 64 - bits), "set_key binary, members binary")
     made.write.parquet(at)  # hashes don't compress
-    sets = spark.read.parquet(at).dropDuplicates(["set_key"])
+    sets = spark.read.schema("set_key binary, members binary").parquet(at).dropDuplicates(["set_key"])
     degree = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares"))
     dealt = pairs.join(degree, "a").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int")).drop("shares")
     hubs = degree.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select("a", "share", F.lit(None).cast("binary").alias("b"), F.col("a").alias("set_key"))
@@ -287,49 +365,59 @@ def _joined(spark: SparkSession, edges: DataFrame, scratch: list[str]) -> DataFr
 
 
 def classes(documents: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """(doc_id, n_shingles, set_key, root): root is the class of the component, null for documents without shingles."""
+    """(doc_id, n_shingles, text_key, set_key, root): root is the class of the component, null for documents without shingles."""
     spark = documents.sparkSession
     texts = documents.select("text")
     ranks = spark.sparkContext.broadcast(_ranks(texts, words))
-    at, lists_at = scratch_path(spark, "shingle-prefixes"), scratch_path(spark, "shingle-lists")
+    at, lists_at, kinds_at, rows_at = (scratch_path(spark, f"shingle-{x}") for x in ("prefixes", "lists", "classes", "rows"))
     documents.select("doc_id", "text").mapInArrow(_sets(words, threshold, ranks), _SETS).write.option("compression", "zstd").parquet(at)
-    held = spark.read.parquet(at)
-    members = checkpointed(held.select("doc_id", "n", "set_key", "group"))
-    kinds = checkpointed(members.where("n > 0").groupBy("set_key", "n", "group").agg(F.min("doc_id").alias("rep")))
+    held = spark.read.schema(_SETS).parquet(at)
+    members = checkpointed(held.select("doc_id", "n", "set_key", "text_key"))
     posted = held.where("prefix is not null").select(F.posexplode("prefix").alias("nth", "shingle"), "group", "n")
-    posted = posted.select("shingle", "group", (F.col("n") - F.col("nth")).alias("left"))  # this shingle and those after it
+    posted = posted.select("shingle", "group", (F.col("n") - F.col("nth")).alias("left"), "n")  # this shingle and those after it
     posted = posted.repartition("shingle").sortWithinPartitions("shingle", "group")
-    posted.mapInArrow(_shared_postings, _LISTS).write.option("compression", "zstd").parquet(lists_at)
+    posted.mapInArrow(_shared_postings(threshold), _LISTS).write.option("compression", "zstd").parquet(lists_at)
+    del posted
+    free_shuffles(spark)
     # classes of one group meet in a list of its own: the prefix they share may be in no other list, or only in a late place
-    several = kinds.groupBy("group").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("classes")).where("classes > 2")  # two are paired below
+    grouped = held.where("n > 0").select("set_key", "n", "group").distinct().groupBy("group").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    grouped = checkpointed(grouped)
+    several = grouped.where("classes > 2")  # two are paired below
     several.select(F.col("group").alias("shingle"), "group", F.col("n").alias("left"), F.col("group").alias("hub"), F.col("n").alias("hub_left")).write.mode("append").option("compression", "zstd").parquet(lists_at)
-    lists = spark.read.parquet(lists_at)
-    del posted
+    lists = spark.read.schema(_LISTS).parquet(lists_at)
+    # what follows is about the classes that may have a link
+    met = lists.select("group").distinct().union(grouped.select("group")).distinct()
+    held.where("n > 0").join(met, "group", "left_semi").groupBy("set_key", "n", "group").agg(F.min("doc_id").alias("rep"), F.max("bits").alias("bits")).write.parquet(kinds_at)
+    kinds = spark.read.schema("set_key binary, n int, group long, rep long, bits binary").parquet(kinds_at)
     remove(spark, at)
     free_shuffles(spark)
 
     first = kinds.groupBy("group").agg(F.min("set_key").alias("first"), F.min("n").alias("n"))
-    in_groups = kinds.drop("rep").join(first.drop("n"), "group").where("first != set_key").select(F.col("first").alias("a"), F.col("set_key").alias("b"))
+    in_groups = kinds.select("set_key", "group").join(first.drop("n"), "group").where("first != set_key").select(F.col("first").alias("a"), F.col("set_key").alias("b"))
     # of the shingles that a group shares with a hub, the one that leaves most speaks for all
     to_hubs = lists.where("group != hub").groupBy("group", "hub").agg(F.max(F.least("left", "hub_left")).alias("rest"))
     hub = first.select(F.col("group").alias("hub"), F.col("first").alias("a"), F.col("n").alias("m"))
     to_hubs = to_hubs.join(hub, "hub").join(first.withColumnRenamed("first", "b"), "group").where(_reachable("rest", "n", "m", threshold)).select("a", "b")
-    links, scratch = _links(documents, kinds, in_groups.unionByName(to_hubs), words, threshold)
-    roots = _joined(spark, links, scratch)
-    del links
-
-    of = kinds.select("set_key").join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
-    of = checkpointed(of)
-    for turn in range(HUB_ROUNDS):
-        # classes of other components than the hub's meet it; the hub of a list is drawn anew by turn and kind of list
-        open_lists = _open_lists(spark, lists, kinds, of)
-        draw = F.xxhash64("set_key", F.lit(turn), F.pmod("shingle", F.lit(HUBS)))
+    of = checkpointed(kinds.select("set_key", F.col("set_key").alias("root")))
+    of, _ = _contracted(spark, of, *_links(documents, kinds, in_groups.unionByName(to_hubs), words, threshold))
+
+    lists.select("shingle", "group", "left").join(kinds.select("group", "set_key", "n"), "group").drop("group").write.option("compression", "zstd").parquet(rows_at)
+    remove(spark, lists_at)
+    open_lists = _open_lists(spark, rows_at, of)
+    for turn in range(MAX_ROUNDS):
+        # the classes of other components than that of the one drawn from the list meet it
+        draw = F.xxhash64("set_key", "shingle", F.lit(turn))
         hubs = open_lists.groupBy("shingle").agg(F.min_by(F.struct("set_key", "part", "n", "left"), draw).alias("h"))
         hubs = hubs.select("shingle", F.col("h.set_key").alias("x"), F.col("h.part").alias("p"), F.col("h.n").alias("m"), F.col("h.left").alias("l"))
         pairs = open_lists.join(hubs, "shingle").where((F.col("part") != F.col("p")) & _reachable(F.least("left", "l"), "n", "m", threshold))
         pairs = pairs.select(F.least("x", "set_key").alias("a"), F.greatest("x", "set_key").alias("b")).distinct()
-        of = _contracted(spark, of, *_links(documents, kinds, pairs, words, threshold))
-    open_lists = _open_lists(spark, lists, kinds, of)
+        parts = open_lists.select("part").distinct().count()
+        if not parts:
+            break
+        of, gained = _contracted(spark, of, *_links(documents, kinds, pairs, words, threshold))
+        open_lists = _open_lists(spark, rows_at, of)
+        if gained * ROUND_GAIN < parts:
+            break
     per_part = open_lists.groupBy("shingle", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("left").alias("rest"))
     other = per_part.select("shingle", F.col("part").alias("other"), F.col("least").alias("least2"), F.col("most").alias("most2"), F.col("rest").alias("rest2"))
     met = per_part.join(other, "shingle").where((F.col("part") < F.col("other")) & (100 * F.col("most") >= threshold * F.col("least2")) & (100 * F.col("most2") >= threshold * F.col("least")) & _reachable(F.least("rest", "rest2"), "least", "least2", threshold))
@@ -338,26 +426,26 @@ def classes(documents: DataFrame, words: int = WORDS, threshold: int = THRESHOLD
     two = open_lists.select("shingle", F.col("part").alias("other"), F.col("set_key").alias("y"), F.col("n").alias("n2"), F.col("left").alias("l2"))
     pairs = met.join(one, ["shingle", "part"]).join(two, ["shingle", "other"]).where(_reachable(F.least("l1", "l2"), "n1", "n2", threshold))
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    final = _contracted(spark, of, *_links(documents, kinds, pairs, words, threshold))
-    return members.join(final, "set_key", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "set_key", "root")
+    final, _ = _contracted(spark, of, *_links(documents, kinds, pairs, words, threshold))
+    for path in (kinds_at, rows_at):
+        remove(spark, path)
+    found = members.join(final, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
+    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "text_key", "set_key", "root")
 
 
-def _contracted(spark: SparkSession, of: DataFrame, links: DataFrame, scratch: list[str]) -> DataFrame:
-    """``of`` (set_key, root) with the components that links join made one."""
+def _contracted(spark: SparkSession, of: DataFrame, links: DataFrame, scratch: list[str]) -> tuple[DataFrame, int]:
+    """``of`` (set_key, root) with the components that links join made one, and how many roots that cost."""
     joined = links.join(of.select(F.col("set_key").alias("u"), F.col("root").alias("p")), "u").join(of.select(F.col("set_key").alias("v"), F.col("root").alias("q")), "v")
     last = _joined(spark, joined.select(F.col("p").alias("u"), F.col("q").alias("v")), scratch)
-    return checkpointed(of.join(last.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("set_key", F.coalesce("top", "root").alias("root")))
+    return checkpointed(of.join(last.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("set_key", F.coalesce("top", "root").alias("root"))), last.count()
 
 
-def _open_lists(spark: SparkSession, lists: DataFrame, kinds: DataFrame, of: DataFrame) -> DataFrame:
-    """(shingle, set_key, n, left, part) of the lists that hold several components."""
-    rooted = kinds.drop("rep").join(of, "set_key").withColumn("part", F.xxhash64("root"))
-    held = lists.select("shingle", "group", "left").join(rooted.select("group", "set_key", "n", "part"), "group").drop("group")
+def _open_lists(spark: SparkSession, rows_at: str, of: DataFrame) -> DataFrame:
+    """(shingle, set_key, n, left, part) of the lists that hold several components; the others leave the table for good."""
+    rows = spark.read.schema("shingle long, left int, set_key binary, n int").parquet(rows_at)
+    held = rows.join(of.select("set_key", F.xxhash64("root").alias("part")), "set_key")
     mixed = held.groupBy("shingle").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("shingle")
-    at = scratch_path(spark, "shingle-open")
-    held.join(mixed, "shingle").write.option("compression", "zstd").parquet(at)
-    free_shuffles(spark)
-    return spark.read.parquet(at)
+    return checkpointed(held.join(mixed, "shingle"))
 
 
 def _reachable(rest, n: str, m: str, threshold: int):
@@ -373,13 +461,17 @@ def with_components(documents: DataFrame, **how: int) -> DataFrame:
 
 
 def apply(documents: DataFrame, **how: int) -> DataFrame:
-    """One document of each component: that with the least id, and of equal ids that with the least text."""
-    found = with_components(documents, **how).where("doc_id = component_id or component_id is null").select("doc_id").distinct()
-    null = F.lit("")
-    keyed = documents.join(found.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.coalesce("text", null))
-    repeated = keyed.withColumn("__nth", F.row_number().over(first)).where("__nth = 1 or doc_id is null").drop("__nth")
-    return repeated.select(*documents.columns)
+    """One document of each component: that with the least id, and of equal ids that with the least digest of its text; a
+    repeated row stays once. Documents without shingles are linked with none and all stay."""
+    found = checkpointed(classes(documents, **how)).where("root is not null")
+    least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("least"))
+    own, text, nth = (unused(documents, x) for x in ("id", "text_key", "nth"))
+    chosen = least.select(F.coalesce(F.col("least.doc_id").cast("string"), F.lit("-")).alias(own), F.col("least.text_key").alias(text))
+    keyed = documents.withColumns({own: F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), text: F.unhex(F.md5(F.coalesce(F.col("text").cast("binary"), F.lit(b""))))})
+    once = Window.partitionBy(own, text).orderBy(F.lit(0))
+    kept = keyed.join(chosen, [own, text], "left_semi").withColumn(nth, F.row_number().over(once)).where(F.col(nth) == 1)
+    blank = documents.where(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    return kept.select(*documents.columns).unionByName(blank)
 
 
 def join_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from readloom.llm import ngram_join as nj
@@ -93,6 +94,59 @@ def test_one_of_each_component_stays(spark):
     assert nj.with_components(docs.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", "p"), (1, "u v w x y z", "q"), (None, "k l m n o p", "r"), (None, "k l m n o p", "s"), (None, None, "t")], "doc_id long, text string, text_key string")
+    kept = sorted((r.doc_id, r.text) for r in nj.apply(docs).collect() if r.doc_id)
+    assert kept == [(1, "a b c d e f"), (1, "u v w x y z")]
+    assert sorted((r.text for r in nj.apply(docs).where("doc_id is null").collect()), key=str) == [None, "k l m n o p"]
+
+
+def test_cluster_of_near_copies_at_and_under_the_threshold(spark, monkeypatch):
+    """Copies that differ in 1 to 12 of 70 places: pairs stand on both sides of 75 %, and lists are longer than may be held."""
+    monkeypatch.setattr(nj, "LIST_ROWS", 16)
+    rng = random.Random(5)
+    base, texts = [f"b{i}" for i in range(70)], []
+    for _ in range(150):
+        copy = base[:]
+        for at in rng.sample(range(70), rng.randint(1, 12)):
+            copy[at] = f"v{rng.randrange(2000)}"
+        texts.append(" ".join(copy))
+    for k in (14, 15, 16):  # of 56 shingles 8 differ: 48 / 64 = 75 %; of 54, 8: 46 / 62; of 58, 8: 50 / 66
+        one = [f"k{k}_{i}" for i in range(46 + k)]
+        texts += [" ".join(one), " ".join([*one[:-8], *(f"z{k}_{i}" for i in range(8))])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in nj.with_components(docs).collect()} == brute(texts)
+
+
+def test_bitmaps_bound_the_difference_from_below():
+    rng = np.random.default_rng(9)
+    for n, m in ((1, 1), (40, 31), (300, 299), (700, 1400), (9000, 7000)):
+        a = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        b = np.unique(np.concatenate([a[: m // 2], rng.integers(0, 2**64, m - m // 2, np.uint64)]))
+        assert nj.least_difference(nj.bitmap(a), nj.bitmap(b)) <= len(np.setxor1d(a, b))
+        assert nj.least_difference(nj.bitmap(a), nj.bitmap(a)) == 0
+
+
+def test_postings_without_a_partner_go():
+    """Against every pair of a list, for lists held whole, told as they come, and cut by batches."""
+    rng = np.random.default_rng(4)
+    rows = sorted({(int(s), int(g)): (int(n), int(rng.integers(1, n + 1))) for s, g, n in zip(rng.integers(0, 40, 900), rng.integers(0, 10**6, 900), rng.integers(1, 60, 900), strict=True)}.items())
+    partner = lambda a, b: 175 * min(a[1][1], b[1][1]) >= 75 * (a[1][0] + b[1][0])
+    want = {a[0] for a in rows for b in rows if a[0][0] == b[0][0] and a != b and partner(a, b)}
+    columns = [np.array(x) for x in ([r[0][0] for r in rows], [r[0][1] for r in rows], [r[1][1] for r in rows], [r[1][0] for r in rows])]
+    types = (np.int64, np.int64, np.int32, np.int32)
+    for size in (7, 100, 5000):
+        for longest in (10, 1000):
+            batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + size].astype(t)) for c, t in zip(columns, types, strict=True)], ["s", "g", "l", "n"]) for i in range(0, len(rows), size)]
+            out = [r for b in nj._shared_postings(75, longest)(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            found = {(r[0], r[1]) for r in out}
+            assert len(found) == len(out) and want <= found
+            if longest == 1000:  # some pair with itself in long lists, at most
+                assert len(found) < 1.5 * len(want)
+            hubs = {r[0]: r[3] for r in out}
+            assert all(hubs[r[0]] == r[3] for r in out)
+
+
 def test_long_texts_are_cut_between_words(monkeypatch):
     text = " ".join(f"Wört{i}" for i in range(3000)) + " " + "x" * 5000 + "\ttail a b c d"
     whole = nj.Shingles()(text)
