@@ -459,20 +459,29 @@ def digests(documents: DataFrame, **how: int) -> DataFrame:
     return _with_spans(documents.select("doc_id", "text"), **how).select("doc_id", "text", "spans").mapInArrow(_digests, _DIGESTS)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        texts = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
-            texts.append(kept_bytes(text.encode(), merged(spans)).decode(errors="ignore") if text and spans else text)
-        at = batch.schema.get_field_index("text")
-        yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).drop_columns(["__spans"])
+def _cut(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts = []
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
+                if text and spans:
+                    data = text.encode()
+                    text = kept_bytes(data, [(a, b) for a, b in merged(spans) if not min_words or len(data[a:b].split()) >= min_words]).decode(errors="ignore")
+                texts.append(text)
+            at = batch.schema.get_field_index("text")
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).drop_columns(["__spans"])
 
+    return run
 
-def apply(documents: DataFrame, **how: int) -> DataFrame:
-    """``documents`` without the repeated bytes; what is left of a cut character goes as well; n_chars follows the text."""
+
+def apply(documents: DataFrame, min_words: int = 0, **how: int) -> DataFrame:
+    """``documents`` without the repeated bytes; what is left of a cut character goes as well; n_chars follows the text.
+
+    With ``min_words`` only maximal runs of as many words go, cut ones at their ends included.
+    """
     spans = _with_spans(documents.withColumnRenamed("spans", "__own") if "spans" in documents.columns else documents, **how)
     spans = spans.withColumnRenamed("spans", "__spans").withColumnRenamed("__own", "spans")
-    cut = spans.mapInArrow(_cut, spans.drop("__spans").schema)
+    cut = spans.mapInArrow(_cut(min_words), spans.drop("__spans").schema)
     if "n_chars" in documents.columns:
         cut = cut.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0).cast("long")))
     return cut.select(*documents.columns)

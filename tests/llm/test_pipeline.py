@@ -12,6 +12,9 @@ def test_stages_take_effect(spark, tmp_path):
     rows = [(i, f"{body(60)}\n{body(30)}", "en", f"s{i % 3}") for i in range(30)]
     rows += [(100, base, "en", "s0"), (101, base, "en", "s1"), (102, base + " end", "en", "s0")]
     rows += [(110, f"{body(40)} {passage} {body(30)}", "en", "s0"), (111, f"{body(20)} {passage} {body(50)}", "en", "s1")]
+    short = " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(55))  # over 50 words in 329 bytes
+    fewer = " ".join("".join(rng.choices("abcdefghij", k=9)) for _ in range(45))  # as long, but fewer words
+    rows += [(i, f"{body(40)} {short} {body(30)}\n{body(10)} {fewer} {body(30 + i)}", "en", "s1") for i in (112, 113)]
     rows += [(120, f"{body(40)} write to jane.doe@mail.example.com {body(9)}", "en", "s2"), (130, "too short", "en", "s0"), (131, None, None, None)]
     docs = spark.createDataFrame([(*r[:4], len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
@@ -21,8 +24,9 @@ def test_stages_take_effect(spark, tmp_path):
         assert held.columns == docs.columns
         at[name] = {r.doc_id: r for r in held.collect()}
     assert {130, 131, None}.isdisjoint(at["quality_rules"]) and set(range(30)) <= set(at["quality_rules"])
-    assert {100} == {100, 101, 102} & set(at["ngram_jaccard_join"]) and len(at["ngram_jaccard_join"]) == 34
+    assert {100} == {100, 101, 102} & set(at["ngram_jaccard_join"]) and len(at["ngram_jaccard_join"]) == 36
     assert all(passage not in at["suffix_dedup"][i].text and at["suffix_dedup"][i].n_chars == len(at["suffix_dedup"][i].text) for i in (110, 111))
+    assert all(short not in at["suffix_dedup"][i].text and fewer in at["suffix_dedup"][i].text for i in (112, 113))
     assert at["suffix_dedup"][0].text == rows[0][1]
     new = at["pii"][120].text
     assert "jane.doe" not in new and len(pii.find(new)) == 1
