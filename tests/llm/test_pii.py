@@ -1,8 +1,10 @@
 import random
 import re
+import time
 
 from readloom.llm import pii
 
+KEY = b"for tests"
 TEXT = (
     'Mail und.34@mail7.example.com or UND.34@MAIL7.example.com, call +1 (017) 555-7713, pay 4715744394561980 or 4111 1111 1111 1111 '
     'from 97.51.17.173; key "04dbebab91ab85687d33eeaaf9ac699e1188f962", ssn 123-45-6789, DE89 3704 0044 0532 0130 00, '
@@ -11,7 +13,7 @@ TEXT = (
 
 
 def test_kinds_forms_and_coreference():
-    out, spans = pii.replace(TEXT, pii.Surrogates())
+    out, spans = pii.replace(TEXT, pii.Surrogates(KEY))
     kinds = [k for k, _, _ in spans]
     assert kinds == ["email", "email", "phone", "card", "card", "ip", "secret", "ssn", "iban", "name", "name", "email"]
     new = [(k, m) for k, m in zip(kinds, [out[a:b] for _, a, b in pii.find(out)], strict=True)]
@@ -46,13 +48,13 @@ def test_table(spark):
     rows = sorted(out.collect(), key=str)
     assert {r.kinds for r in rows} == {"x", "y", "z", None} and len({r.text for r in rows}) == 4
     assert next(r for r in rows if r.doc_id is None).text == "plain text"
-    found = pii.entities(docs)
+    found = pii.entities(docs, KEY)
     assert pii.collisions(found).count() == 0 and found.count() == 24
 
 
 def test_clean_texts_stay():
     for text in ("In 1999, 12 of 345 (67%) at 8.15 pm.", "a@b", "version 1.2.3", "x=1234567890", "call 12-34", "'tis 'quoted words only'"):
-        assert pii.replace(text, pii.Surrogates())[0] == text
+        assert pii.replace(text, pii.Surrogates(KEY))[0] == text
 
 
 def test_entities_before_short_numbers():
@@ -68,14 +70,14 @@ def test_entities_before_short_numbers():
         ("AB12 4111 1111 1111 1111", ["card"]),
         ("123-45-6789 12345", ["ssn"]),
     ):
-        out, spans = pii.replace(text, pii.Surrogates())
+        out, spans = pii.replace(text, pii.Surrogates(KEY))
         assert [k for k, _, _ in spans] == kinds, text
         for _, a, b in spans:
             assert text[a:b] not in out
 
 
 def test_no_entity_keeps_its_name_or_shares_another():
-    for key in (b"a", b"b", pii.KEY):
+    for key in (b"a", b"b", KEY):
         s = pii.Surrogates(key)
         for size in (2, 3, 7, 100):
             assert all(s.unpermute(s.permute(i, size, "t"), size, "t") == i and sorted([i, *s.others(i, size, "t")]) == list(range(size)) for i in range(size))
@@ -103,4 +105,64 @@ def test_the_operator_checks_collisions(spark, monkeypatch):
 
     monkeypatch.setattr(pii, "collisions", collisions)
     text = pii.apply(docs).collect()[0].text
-    assert len(asked) == 2 and text == pii.replace(docs.first().text, pii.Surrogates(pii.KEY + b"|1"))[0]
+    key = pii.session_key(spark)
+    assert len(asked) == 2 and text == pii.replace(docs.first().text, pii.Surrogates(key + b"|1"))[0]
+
+
+def test_one_to_one_over_a_corpus_that_holds_its_own_surrogates():
+    """Entities, their surrogates, theirs in turn, all in one text: as many surrogates as entities, none its own."""
+    s, rng = pii.Surrogates(KEY), random.Random(7)
+    pool = [("name", f"{t} {g} {f}") for t, g, f in zip(["Mr.", "Ms."] * 20, [*pii.GIVEN["m", "latin"][:20], *pii.GIVEN["f", "latin"][:20]], ["Smith", "Brown", "Okafor", "Nuñez"] * 10, strict=True)]
+    pool += [("email", f"u{i}.x@mail{i}.example.com") for i in range(30)] + [("phone", f"415-555-01{i:02d}") for i in range(30)] + [("ip", f"10.0.{i}.7") for i in range(30)]
+    pool += [("secret", f"{rng.getrandbits(160):040x}") for _ in range(30)] + [("ip6", f"2001:db8::{i:x}1") for i in range(30)] + [("ssn", f"123-45-{6000 + i}") for i in range(30)]
+    for _ in range(2):
+        pool = list(dict.fromkeys(pool + [(k, s.one(k, e)) for k, e in pool]))
+    found = {(k, e): s.one(k, e) for k, e in pool}
+    assert len({(k, v) for (k, _), v in found.items()}) == len(found) and all(e != v for (_, e), v in found.items())
+    text = "; ".join(e for _, e in pool)
+    out, spans = pii.replace(text, s)
+    assert len(spans) == len(pool) and out == "; ".join(found[k, text[a:b]] for k, a, b in spans)
+
+
+def test_long_tokens_take_time_in_proportion():
+    s = pii.Surrogates(KEY)
+    for token, other in (("0a1b" * 250_000, "0a1b" * 249_999 + "0a1c"), ("Zy9_" * 5_000, "Zy9_" * 4_999 + "Zy8_")):
+        began = time.time()
+        new = pii.replace(f'key "{token}" end', s)[0]
+        assert time.time() - began < 60 and len(new) == len(token) + 10 and token[:60] not in new
+        a, b = s.one("secret", token), s.one("secret", other)
+        assert a != b and a[:-64] == b[:-64] and len(a) == len(token)
+    began = time.time()
+    for text in ("@" * 200_000, "a." * 100_000, "1 " * 100_000, "a@" + "b." * 100_000, "::" * 100_000, "A" * 300_000):
+        pii.replace(text, s)
+    assert time.time() - began < 60
+
+
+def test_names_without_titles_and_their_parts():
+    s = pii.Surrogates(KEY)
+    text = "John Smith came. Later Smith left, and Mr. Robert Brown wrote; Brown's note and Brownian motion, brown bread."
+    out, spans = pii.replace(text, s)
+    assert [text[a:b] for _, a, b in spans] == ["John Smith", "Smith", "Mr. Robert Brown", "Brown"]
+    smith, brown = s.one("name", "Smith"), s.one("name", "Brown")
+    assert out.count(smith) == 2 and out.count(brown) == 2 and "Brownian motion, brown bread." in out
+    assert [c in "aeiou" for c in brown.lower()] == [c in "aeiou" for c in "brown"]
+    for text, kind in (("call 020 7946 0958 now", "phone"), ("from 2001:0db8:85a3::8a2e:0370:7334.", "ip6"), ("at 12:30:45 use std::vector or a::b", None)):
+        assert [k for k, _, _ in pii.find(text)] == ([kind] if kind else [])
+
+
+def test_the_key_is_the_sessions(spark):
+    docs = spark.createDataFrame([(1, "from 97.51.17.173")], "doc_id long, text string")
+    spark.conf.set(pii.KEY_SETTING, "one")
+    first = pii.apply(docs).first().text
+    assert first == pii.apply(docs, b"one").first().text != pii.apply(docs, b"two").first().text
+    spark.conf.unset(pii.KEY_SETTING)
+    assert pii.session_key(spark) == pii.session_key(spark) != b"one"
+
+
+def test_query_over_a_table(spark, tmp_path):
+    rows = [(i, f"note {i} to user{i}@mail.example.com" if i % 3 else None, "x", "s", 1) for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: r for r in pii.pii_query(spark, str(tmp_path)).collect()}
+    for i, text, *_ in rows:
+        assert found[i].text == (pii.replace(text, pii.Surrogates(pii.session_key(spark)))[0] if text else None)
+        assert found[i].n_entities == (1 if text else 0) and found[i].kinds == ("email" if text else "")
