@@ -8,8 +8,8 @@ count once, however many they are, and a line that documents share is not their
 ``max_documents`` distinct documents of the host hold it. Near copies are documents of their own.
 
 Defined results: a null or empty text has no words and fails; a null source is a host of its own; repeated rows get equal
-verdicts each; ids may be null or repeated, since documents are joined by a digest of id, source and text. Other columns
-don't matter, except that ``documents`` keeps them.
+verdicts each; ids may be null or repeated, since documents are joined by a digest of id, source and text. A text of any
+length is one row with its distinct lines. Other columns don't matter, whatever their names; ``apply`` keeps them.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import checkpointed, free_shuffles, slices, table
+from readloom.llm.common import checkpointed, free_shuffles, slices, table, unused
 
 MAX_DOCUMENTS = 30
 MIN_WORDS = 10
@@ -170,28 +170,30 @@ def verdicts(
     )
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        texts, gone = batch.column("text").to_pylist(), batch.column("removed").to_pylist()
-        cut = []
-        for text, keys in zip(texts, gone, strict=True):
-            if text and keys:
-                drop = set(keys)
-                text = "\n".join(x for x in text.split("\n") if line_key(x.encode()) not in drop)
-            cut.append(text)
-        at = batch.schema.get_field_index("text")
-        yield batch.set_column(at, batch.schema.field(at), pa.array(cut, batch.schema.field(at).type)).drop_columns(["removed"])
+def _cut(removed: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts, gone = batch.column("text").to_pylist(), batch.column(removed).to_pylist()
+            cut = []
+            for text, keys in zip(texts, gone, strict=True):
+                if text and keys:
+                    drop = set(keys)
+                    text = "\n".join(x for x in text.split("\n") if line_key(x.encode()) not in drop)
+                cut.append(text)
+            at = batch.schema.get_field_index("text")
+            yield batch.set_column(at, batch.schema.field(at), pa.array(cut, batch.schema.field(at).type)).drop_columns([removed])
+
+    return run
 
 
 def apply(documents: DataFrame, **limits: int) -> DataFrame:
     """The kept documents, without the lines removed; n_chars follows the text. Other columns pass unchanged."""
-    columns = documents.columns
-    found = checkpointed(verdicts(documents, **limits).where("kept").groupBy("row_key").agg(F.first("removed").alias("removed")))
+    columns, row_key, removed = documents.columns, unused(documents, "row_key"), unused(documents, "removed")
+    found = checkpointed(verdicts(documents, **limits).where("kept").groupBy("row_key").agg(F.first("removed").alias(removed)).withColumnRenamed("row_key", row_key))
     free_shuffles(documents.sparkSession)  # before the texts shuffle
-    keyed = documents.select("doc_id", "text", "source", *[c for c in columns if c not in ("doc_id", "text", "source")])
     key = F.unhex(F.md5(F.concat(_id_part(), F.coalesce(F.col("text").cast("binary"), F.lit(b"")))))
-    joined = keyed.withColumn("row_key", key).join(found, "row_key").drop("row_key")
-    cut = joined.mapInArrow(_cut, joined.drop("removed").schema)
+    joined = documents.withColumn(row_key, key).join(found, row_key).select(*columns, removed)
+    cut = joined.mapInArrow(_cut(removed), documents.schema)
     if "n_chars" in columns:
         cut = cut.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0).cast("long")))
     return cut.select(*columns)
@@ -222,13 +224,10 @@ WITH d AS (
 ), k AS (
   SELECT doc_id, source, len(lw) AS n, md5(translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS key
   FROM l WHERE len(lw) > 0
-), least AS (
-  SELECT doc_id, min(key) AS least FROM k GROUP BY doc_id
-), held AS (
-  SELECT DISTINCT doc_id, source, key FROM k
+), whole AS (
+  SELECT doc_id, md5(translate(array_to_string(words, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS content FROM w
 ), freq AS (
-  SELECT source, key FROM held JOIN least USING (doc_id) GROUP BY source, key
-  HAVING count(DISTINCT least) > {MAX_DOCUMENTS} AND 2 * count(DISTINCT least) >= count(*)
+  SELECT source, key FROM k JOIN whole USING (doc_id) GROUP BY source, key HAVING count(DISTINCT content) > {MAX_DOCUMENTS}
 ), gone AS (
   SELECT doc_id, sum(n) AS removed_words FROM k JOIN freq ON k.key = freq.key AND k.source IS NOT DISTINCT FROM freq.source GROUP BY doc_id
 ), base AS (
