@@ -2,14 +2,16 @@
 
 A text is made canonical: lower case, copyright lines gone, spellings unified, everything but letters and digits one
 space. Its digest is looked up among those of known licences and notices by a hash join; so is that of each of its lines,
-since notices stand alone in documents. The table of known texts is a constant of a few rows, hence broadcast.
+since notices stand alone in documents.
 
 Whole licences (``licenses``, and the longer of ``KNOWN``) are looked up by a second digest as well, of the text without its
 copyright lines, rights line and list numbers; of those lines that begin with "copyright" only such go as name a holder or
-year. Their titles and appendices may be there or not.
+year. Their titles and appendices may be there or not. Both digests of a text meet the known ones in one join each. The
+known digests are broadcast: the built-in table has some dozens of rows, one passed by the caller ``MAX_KNOWN`` at most.
 
 All is DataFrame functions. Defined results: null counts as empty, whose canonical form is empty and matches nothing;
-repeated rows and null ids stand for themselves; extra columns are ignored.
+repeated rows and null ids stand for themselves; a text of any length is one row, its lines one array; input columns with
+the names of results give way to them, others pass.
 """
 
 from __future__ import annotations
@@ -20,7 +22,10 @@ from importlib.resources import files
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import table
+from readloom.llm.common import table, unused
+
+MAX_KNOWN = 1_000
+OUTPUTS = ("text_digest", "license", "line_licenses", "n_license_lines")
 
 #: Spellings that mean the same, in lower case: fixed values.
 SPELLINGS = (
@@ -129,17 +134,27 @@ def known_licenses(spark: SparkSession, texts=KNOWN) -> DataFrame:
 def scan(documents: DataFrame, known: DataFrame | None = None, text: str = "text") -> DataFrame:
     """``documents`` with text_digest, license (of the whole text, or null), line_licenses (names of the lines' licences,
     sorted, by commas) and n_license_lines."""
-    whole = whole_licenses() if known is None else {}
-    known = known_licenses(documents.sparkSession) if known is None else known
-    names = F.create_map(*[F.lit(x) for r in known.collect() for x in (r.digest, r.license)])  # a few rows
-    digests = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.md5(canonical(x)))
-    found = documents.withColumn("text_digest", F.md5(canonical(F.col(text))))
-    found = found.join(F.broadcast(known.withColumnRenamed("digest", "text_digest")), "text_digest", "left")
-    if whole:
-        wholes = F.create_map(*[F.lit(x) for row in whole.items() for x in row])  # some dozens
-        found = found.withColumn("license", F.coalesce("license", F.try_element_at(wholes, F.md5(body(F.col(text))))))
-    found = found.withColumn("_lines", F.filter(F.transform(digests, lambda d: F.try_element_at(names, d)), lambda n: n.isNotNull()))
-    return found.withColumns({"line_licenses": F.concat_ws(",", F.array_sort(F.array_distinct("_lines"))), "n_license_lines": F.size("_lines").cast("long")}).drop("_lines")
+    spark = documents.sparkSession
+    wholes = spark.createDataFrame(list(whole_licenses().items()) if known is None else [], "body_digest string, whole string")
+    rows = (known_licenses(spark) if known is None else known).limit(MAX_KNOWN + 1).collect()
+    if len(rows) > MAX_KNOWN:
+        raise ValueError(f"more than {MAX_KNOWN} known digests")
+    known = spark.createDataFrame([(r.digest, r.license) for r in rows], "digest string, known string").dropDuplicates(["digest"])
+    names = F.create_map(*[F.lit(x) for r in rows for x in (r.digest, r.license)]) if rows else F.create_map().cast("map<string,string>")
+    documents = documents.drop(*[c for c in OUTPUTS if c != text])
+    digest, body_digest, lines = (unused(documents, x) for x in ("digest", "body_digest", "lines"))
+    found = documents.withColumns({digest: F.md5(canonical(F.col(text))), body_digest: F.md5(body(F.col(text)))})
+    found = found.join(F.broadcast(known.select(F.col("digest").alias(digest), F.col("known").alias(f"{digest}_known"))), digest, "left")
+    found = found.join(F.broadcast(wholes.select(F.col("body_digest").alias(body_digest), F.col("whole").alias(f"{body_digest}_known"))), body_digest, "left")
+    of_lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.try_element_at(names, F.md5(canonical(x))))
+    found = found.withColumn(lines, F.array_compact(of_lines))
+    results = {
+        "text_digest": F.col(digest),
+        "license": F.coalesce(f"{digest}_known", f"{body_digest}_known"),
+        "line_licenses": F.concat_ws(",", F.array_sort(F.array_distinct(lines))),
+        "n_license_lines": F.size(lines).cast("long"),
+    }
+    return found.select(*documents.columns, *[c.alias(n) for n, c in results.items()])
 
 
 def license_query(spark: SparkSession, sf_dir: str) -> DataFrame:
