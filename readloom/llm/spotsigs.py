@@ -2,14 +2,15 @@
 
 A text is lower-cased and split into runs of letters and digits. Words of ``ANCHORS`` are anchors, all others content. A
 spot is a content word right after one or more anchors; its signature is these anchors and the chain of ``CHAIN`` content
-words that starts there, as eight hex digits. The set of signatures, sorted, is the fingerprint; likeness is the Jaccard
+words that starts there, as sixteen hex digits. The set of signatures, sorted, is the fingerprint; likeness is the Jaccard
 coefficient of two sets, and sets whose lengths alone keep it below a threshold are not compared. A text without a spot
 has its own digest as only signature; an empty one has none, and two empty sets have likeness 1.
 
 All is DataFrame functions. ``with_next`` gives each row the text and signatures of the next document by id: bounds from
 mergeable quantile sketches deal the ids into ordered buckets of about ``BUCKET_ROWS`` rows, the least row of each bucket
 visits the bucket before it as well, and a window within the bucket looks one row ahead. So texts shuffle once and no task
-gets more than its buckets, whatever the ids' distribution.
+gets more than its buckets, whatever the ids' distribution. Beyond ``MAX_BUCKETS`` times ``BUCKET_ROWS`` rows buckets grow
+(so many bounds are what the driver and the plan hold at most); a bucket is sorted and read through once, with spill.
 
 Defined results: null text counts as empty; a null id sorts first; of rows with equal ids the lesser text comes first; the
 document after the last is the first; a sole document follows itself. Extra columns are left out.
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from readloom.llm.common import table
 
 CHAIN = 3
+DIGITS = 16
 BUCKET_ROWS = 128
 MAX_BUCKETS = 90_000
 
@@ -48,10 +50,10 @@ def with_signatures(df: DataFrame, text: str = "text", into: str = "signatures",
     df = df.withColumn(content, F.transform(marked, lambda w: F.substring_index(w, "~", -1)))
     indexes = F.when(F.size(marked) >= chain, F.sequence(F.lit(0), F.size(marked) - chain)).otherwise(F.array().cast("array<int>"))
     df = df.withColumn(spots, F.filter(indexes, lambda i: F.contains(F.get(marked, i), F.lit("~"))))
-    signature = lambda i: F.substring(F.md5(F.concat_ws(" ", F.get(marked, i), *[F.get(content, i + k) for k in range(1, chain)])), 1, 8)
+    signature = lambda i: F.substring(F.md5(F.concat_ws(" ", F.get(marked, i), *[F.get(content, i + k) for k in range(1, chain)])), 1, DIGITS)
     found = F.array_sort(F.array_distinct(F.transform(spots, signature)))
     df = df.withColumn(into, found).drop(marked, spots, content)
-    alone = F.when(F.length(text) > 0, F.array(F.substring(F.md5(text), 1, 8))).otherwise(F.array().cast("array<string>"))
+    alone = F.when(F.length(text) > 0, F.array(F.substring(F.md5(text), 1, DIGITS))).otherwise(F.array().cast("array<string>"))
     return df.withColumn(into, F.when(F.size(into) > 0, F.col(into)).otherwise(alone))
 
 
@@ -144,10 +146,10 @@ def _oracle_signatures(source: str, out: str) -> str:
   SELECT doc_id, ws, pos, w, coalesce(lag(pos) OVER by_doc, 0) AS before{following}
   FROM {out}_p WHERE w <> '' AND w NOT IN ({anchors}) WINDOW by_doc AS (PARTITION BY doc_id ORDER BY pos)
 ), {out}_s AS (
-  SELECT doc_id, list_sort(list(DISTINCT substr(md5(array_to_string(list_slice(ws, before + 1, pos - 1), '~') || '~' || w || ' ' || {chain}), 1, 8))) AS sigs
+  SELECT doc_id, list_sort(list(DISTINCT substr(md5(array_to_string(list_slice(ws, before + 1, pos - 1), '~') || '~' || w || ' ' || {chain}), 1, {DIGITS}))) AS sigs
   FROM {out}_c WHERE pos - before > 1 AND w{CHAIN - 1} IS NOT NULL GROUP BY doc_id
 ), {out} AS (
-  SELECT a.doc_id, CASE WHEN sigs IS NOT NULL THEN sigs WHEN length(text) > 0 THEN [substr(md5(text), 1, 8)] ELSE CAST([] AS VARCHAR[]) END AS sigs
+  SELECT a.doc_id, CASE WHEN sigs IS NOT NULL THEN sigs WHEN length(text) > 0 THEN [substr(md5(text), 1, {DIGITS})] ELSE CAST([] AS VARCHAR[]) END AS sigs
   FROM {out}_w a LEFT JOIN {out}_s USING (doc_id)
 )"""
 
