@@ -34,6 +34,7 @@ from readloom.llm.common import Remembered, checkpointed, slices, table
 CAPACITY = 2048
 SHARD_PIECES = 20_000
 CACHE_WORDS = 100_000
+MAX_TASKS = 10_000
 END_ID = b"\0\0\0\0"
 
 #: The word pattern of the tokenizer file: a fixed value.
@@ -156,7 +157,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIE
     counts = totals.where(F.col("length") < capacity).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     lead = F.pmod(F.col("shard") - F.col("length"), F.lit(shards))
     counts = counts.withColumn("n", F.greatest(F.lit(0), F.ceil((F.col("n") - lead) / shards)).cast("int")).where("n > 0")
-    packed = counts.groupBy("shard").applyInPandas(_pack_shard(capacity), "shard int, length int, slot long, own long, offset long")
+    # a number of partitions of one's own, else adaptive execution takes these small rows for one task's work
+    packed = counts.repartition(min(shards, MAX_TASKS), "shard").groupBy("shard").applyInPandas(_pack_shard(capacity), "shard int, length int, slot long, own long, offset long")
     packed = packed.withColumn("sequence_id", F.col("own") * shards + F.col("shard")).drop("own")
     partial = ranked.where(F.col("length") < capacity).join(packed, ["shard", "length", "slot"])
     whole = ranked.where(F.col("length") == capacity).select("*", F.lit(0).cast("long").alias("offset"), (-1 - F.col("rank")).alias("sequence_id"))
