@@ -11,8 +11,8 @@ always meet under the key of their minimizer. A run's context is the bytes its w
    refined by the bucket identifiers at a later offset, and the refined identifiers are used again for the next, doubled
    depth, up to LENGTH; buckets of one suffix are final and sort no more. Windows left in a bucket of two or more are
    repeated.
-3. Keys with over ``HOT_CONTEXTS`` digests never meet in one task: there each window is counted by its 128-bit digest, by
-   a combining aggregate.
+3. Keys with over ``HOT_BYTES`` of contexts never meet in one task: there each window is counted by its 128-bit digest, by
+   a combining aggregate. So what is sorted at once has a bound in bytes, ``BLOCK_BYTES`` and one such key's.
 4. Repeated windows give spans by text; overlapping spans merge; the text is cut.
 
 Documents are held by digest of their text, so equal ones, whatever their ids, share their spans. Two bit filters of
@@ -34,11 +34,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import free_shuffles, scratch_path, slices, table
+from readloom.llm.common import free_shuffles, remove, scratch_path, slices, table
 
 LENGTH = 400
 GRAM = 64
-HOT_CONTEXTS = 20_000
+HOT_BYTES = 6 << 20
 CORE_SHARE = 6
 MAX_FILTER_BITS = 27
 BLOCK_BYTES = 1 << 20
@@ -124,14 +124,16 @@ def _counts(length: int, gram: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = _Minimizers(length, gram)
         for batch in slices(batches):
-            keys, digests, cores = [], [], []
+            keys, digests, cores, sizes = [], [], [], []
             for text in batch.column(0).to_pylist():
                 data = (text or "").encode()
                 for key, first, last, place in find.runs(data):
                     keys.append(key)
                     digests.append(xxhash.xxh3_128_digest(data[_windows(length, first, last)]))
-                    cores.append([c for c, _, _ in _cores(length, block, data, first, last, place)])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(digests, pa.binary()), pa.array(cores, pa.list_(pa.int64()))], ["key", "digest", "cores"])
+                    own = _cores(length, block, data, first, last, place)
+                    cores.append([c for c, _, _ in own])
+                    sizes.append(sum(b - a + length for _, a, b in own))  # what its blocks take when they meet those of the key
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(digests, pa.binary()), pa.array(cores, pa.list_(pa.int64())), pa.array(sizes, pa.int32())], ["key", "digest", "cores", "bytes"])
 
     return run
 
@@ -164,7 +166,7 @@ _CONTEXTS = "key long, digest binary, a long, context binary"
 
 def _packing_words(texts: DataFrame) -> bytes:
     """A dictionary for packing contexts, from a few texts; it has no bearing on results."""
-    sample = [t[:20_000].encode() for (t,) in texts.where("text is not null").limit(DICTIONARY_TEXTS).collect()]
+    sample = [t.encode() for (t,) in texts.where("text is not null").select(F.substring("text", 1, 20_000)).limit(DICTIONARY_TEXTS).collect()]
     pieces = [t[i : i + 600] for t in sample for i in range(0, len(t), 600)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, pieces).as_bytes()
@@ -345,16 +347,17 @@ def _window_digests(length: int, words: bytes):
     return run
 
 
-def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
-    """(text_key, spans array<struct<a, b>>) of the texts with repeated strings; spans overlap or not, in any order."""
+def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_bytes: int = HOT_BYTES) -> DataFrame:
+    """(text_key, spans array<struct<a, b>>) of the texts with repeated strings; spans overlap or not, in any order. What it
+    reads is a table in the shared folder; those made on the way are removed."""
     spark, block = documents.sparkSession, max(1, length // CORE_SHARE)
     texts = documents.select("text")
-    seen = texts.mapInArrow(_counts(length, gram, block), "key long, digest binary, cores array<long>").groupBy("key", "digest", "cores").agg(F.count(F.lit(1)).alias("n"))
+    seen = texts.mapInArrow(_counts(length, gram, block), "key long, digest binary, cores array<long>, bytes int").groupBy("key", "digest", "cores", "bytes").agg(F.count(F.lit(1)).alias("n"))
     keys_at, seen_at, found_at, extra_at = (scratch_path(spark, f"suffix-{x}") for x in ("keys", "digests", "contexts", "spans"))
     seen.write.parquet(seen_at)
     seen = spark.read.parquet(seen_at)
     free_shuffles(spark)
-    seen.groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).where("n > 1").write.parquet(keys_at)
+    seen.groupBy("key").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).where("n > 1").write.parquet(keys_at)
     per_key = spark.read.parquet(keys_at)
     share = spark.sparkContext.broadcast
     cores_at = scratch_path(spark, "suffix-cores")
@@ -365,7 +368,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     words = _packing_words(texts)
     # contexts go from the scan into one shuffle
     shown = texts.mapInArrow(_found(length, gram, block, _Shared(share(several), bits), words), _CONTEXTS)
-    hot_keys = per_key.where(F.col("kinds") > hot_contexts).select("key")  # one for each hot_contexts contexts at most
+    hot_keys = per_key.where(F.col("bytes") > hot_bytes).select("key")  # one for each hot_bytes of contexts at most
     n_hot = hot_keys.count()
     hot_keys = F.broadcast(hot_keys) if n_hot <= MAX_BROADCAST_KEYS else hot_keys
     cool = shown.join(hot_keys, "key", "left_anti") if n_hot else shown
@@ -387,7 +390,12 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     places = found.select("digest", "text_key", "first", "last").distinct()
     whole = seen.where("n > 1").select("digest").join(places, "digest").select("text_key", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
     part = spans.join(places, "digest").select("text_key", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
-    return whole.unionByName(part).groupBy("text_key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    spans_at = scratch_path(spark, "suffix-repeated")
+    whole.unionByName(part).groupBy("text_key").agg(F.collect_set(F.struct("a", "b")).alias("spans")).write.option("compression", "zstd").parquet(spans_at)
+    for path in (keys_at, seen_at, cores_at, extra_at, found_at):
+        remove(spark, path)
+    free_shuffles(spark)
+    return spark.read.schema("text_key binary, spans array<struct<a: long, b: long>>").parquet(spans_at)
 
 
 class _Shared:

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pytest
+
 from readloom.llm import license_scan, quality_rules as qr, queries, spotsigs
 
 
@@ -31,6 +33,21 @@ def test_quality_rules(spark):
     assert qr.apply(docs.limit(0)).count() == 0 and qr.apply(docs).columns == docs.columns
 
 
+def test_quality_rules_keep_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k l", "s", 5, "x"), (2, "w " * 300_000, "s", 6, "y")], "doc_id long, text string, source string, row_key int, removed string")
+    out = qr.apply(docs)
+    assert out.columns == docs.columns and [tuple(r) for r in out.collect()] == [(1, "a b c d e f g h i j k l", "s", 5, "x")]
+
+
+def test_a_line_counts_whatever_its_hash(spark):
+    """The line of least hash of every document that holds it is removed as any other."""
+    rng = random.Random(11)
+    line = min((f"one two three {i}" for i in range(5000)), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    rows = [(i, line + "\n" + " ".join(f"w{rng.randrange(10**6)}" for _ in range(40)), "h") for i in range(60)]
+    found = qr.verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.removed_words for r in found} == {4}
+
+
 def test_lines_of_a_template_are_removed(spark):
     rng = random.Random(5)
     body = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
@@ -59,8 +76,8 @@ def fingerprint(text):
     for i in range(len(content) - spotsigs.CHAIN + 1):
         if content[i][0]:
             chain = "~".join([*content[i][0], content[i][1]]) + " " + " ".join(w for _, w in content[i + 1 : i + spotsigs.CHAIN])
-            out.add(hashlib.md5(chain.encode()).hexdigest()[:8])
-    return out or ({hashlib.md5(text.encode()).hexdigest()[:8]} if text else set())
+            out.add(hashlib.md5(chain.encode()).hexdigest()[:16])
+    return out or ({hashlib.md5(text.encode()).hexdigest()[:16]} if text else set())
 
 
 def jaccard(a, b):
@@ -110,6 +127,20 @@ def test_license_scan(spark):
     assert found[4].n_license_lines == 0 and found[5].license is None
 
 
+def test_license_scan_of_odd_tables(spark):
+    mit = license_scan.KNOWN[0][1]
+    rows = [(1, mit, "own", "d"), (1, mit, "own", "d"), (None, "x" * 2_000_000 + "\nLicensed under CC BY 4.0.", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, license string, digest string")
+    out = license_scan.scan(docs)
+    assert out.columns == ["doc_id", "text", "digest", *license_scan.OUTPUTS]
+    assert sorted((str(r.doc_id), r.license, r.digest, r.line_licenses) for r in out.collect()) == [("1", "MIT", "d", "")] * 2 + [("None", None, None, "CC-BY-4.0")]
+    assert license_scan.scan(docs.limit(0)).count() == 0
+    none = license_scan.scan(docs, spark.createDataFrame([], "digest string, license string"))
+    assert {r.license for r in none.collect()} == {None}
+    with pytest.raises(ValueError):
+        license_scan.scan(docs, spark.range(license_scan.MAX_KNOWN + 1).selectExpr("string(id) as digest", "'x' as license"))
+
+
 def test_whole_licenses(spark):
     import textwrap
     from importlib.resources import files

@@ -40,11 +40,11 @@ def corpus(seed):
     return texts + [texts[10]] * 5 + texts[20:24]
 
 
-@pytest.mark.parametrize(("seed", "length", "gram", "hot"), [(1, 50, 16, 20_000), (2, 40, 8, 20_000), (3, 50, 16, 1)])
+@pytest.mark.parametrize(("seed", "length", "gram", "hot"), [(1, 50, 16, 1 << 20), (2, 40, 8, 1 << 20), (3, 50, 16, 1)])
 def test_against_brute_force(spark, seed, length, gram, hot):
     texts = corpus(seed)
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
-    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sd.digests(docs, length=length, gram=gram, hot_contexts=hot).collect()}
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sd.digests(docs, length=length, gram=gram, hot_bytes=hot).collect()}
     assert [found[i] for i in range(len(texts))] == brute(texts, length)
 
 
