@@ -1,10 +1,13 @@
 """WARC archives as a PySpark Python data source.
 
-``spark.read.format("warc")`` plans one partition for each segment of each archive file, takes predicates on record type
-and other header columns, parses a record's headers first, and skips the payload of records that don't pass, or of all
-with option ``payload=false``. Every record is a gzip member of its own, whose extra field holds its compressed size, so
-that skipping is a seek; members without that field are inflated and discarded. With ``verify=true`` payloads of response
-records are held against their digest and a mismatch fails the read.
+``spark.read.format("warc")`` reads a file or a folder of ``.warc`` and ``.warc.gz`` files, whoever wrote them: one partition
+for each file, or, where a manifest of the writer below tells record starts, for each segment of one. It takes predicates on
+record type and other header columns, parses a record's headers first, and skips the payload of records that don't pass, or
+of all with option ``payload=false``. A gzip member that tells its compressed size in the extra field "sl", as the writer's
+do, is skipped by a seek, as are plain records; other members are inflated and discarded. A member may hold any number of
+records. Header names are read in any case, folded lines are joined, bytes that are no UTF-8 are replaced. The payload of an
+HTTP record is its body, of others the block. With ``verify=true`` payloads of response records are held against their
+SHA-1 digest, and a mismatch fails the read.
 
 ``df.write.format("warc")`` writes a file for each task and, on commit, a manifest with the files of the tasks that
 succeeded and with segment starts; the files of lost or repeated tasks are not in it. Paths are opened with pyarrow's file
@@ -12,7 +15,8 @@ systems, by their scheme.
 
 Deduplication: of records with equal payloads of at least ``min_payload`` bytes, that with the largest id is a response,
 the others revisit it. Defined results: a null payload is empty; rows repeated with the largest id are all responses; null
-ids are least; a null URL leaves out its header; an empty table makes an archive without records.
+ids are least; a null URL leaves out its header; an empty table makes an archive without records; payloads may have any
+length that a row can.
 """
 
 from __future__ import annotations
@@ -41,7 +45,10 @@ BATCH_BYTES = 4 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 URN = "urn:record:"
-SCHEMA = "record_id long, record_type string, target_uri string, payload_digest string, payload_length long, refers_to long, payload binary"
+SCHEMA = (
+    "record_id string, record_type string, target_uri string, date string, content_type string, payload_digest string, payload_length long, "
+    "refers_to string, payload binary"
+)
 _HEADERS = SCHEMA.removesuffix(", payload binary")
 
 
@@ -55,15 +62,15 @@ def base32_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(record_id: int | None, kind: str, uri: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(record_id: str, kind: str, uri: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
     """One WARC record, not compressed; a revisit has no payload."""
     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<{URN}{'' if record_id is None else record_id}>"), ("WARC-Date", DATE)]
+    fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<{record_id}>"), ("WARC-Date", DATE)]
     if uri is not None:
         fields.append(("WARC-Target-URI", quote(uri, safe="%/:=&?~#+!$,;'@()*[]")))
     fields += [("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Payload-Length", str(len(payload)))]
     if kind == "revisit":
-        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{URN}{refers_to}>")]
+        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{refers_to}>")]
     else:
         body += payload
     fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(body)))]
@@ -72,10 +79,11 @@ def record(record_id: int | None, kind: str, uri: str | None, payload: bytes, di
 
 
 def member(raw: bytes) -> bytes:
-    """A gzip member with its own size in the extra field "sl"."""
+    """A gzip member with its own size in the extra field "sl", if 32 bits hold it."""
     deflate = zlib.compressobj(1, zlib.DEFLATED, -15)
     packed = deflate.compress(raw) + deflate.flush()
-    head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHII", 12, b"sl", 8, 24 + len(packed) + 8, len(raw) & 0xFFFFFFFF)
+    size = 24 + len(packed) + 8
+    head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHII", 12, b"sl", 8, size, len(raw)) if max(size, len(raw)) < 1 << 32 else b"\x1f\x8b\x08\0\0\0\0\0\0\xff"
     return head + packed + struct.pack("<II", zlib.crc32(raw), len(raw) & 0xFFFFFFFF)
 
 
@@ -84,6 +92,7 @@ class Segment(InputPartition):
     path: str
     start: int
     end: int
+    packed: bool = True
 
 
 @dataclass
@@ -130,63 +139,137 @@ class WarcWriter(DataSourceArrowWriter):
                 fs.delete_file(f"{base}/{m.file}")
 
 
-def _number(urn: str | None) -> int | None:
-    digits = (urn or "").strip("<>").removeprefix(URN)
-    return int(digits) if digits else None
+def parse_header(head: bytes) -> dict[str, str]:
+    """Header fields by lower-case name; a line that begins with white space goes on with the one before."""
+    found, name = {}, None
+    for line in head.decode(errors="replace").replace("\r\n", "\n").split("\n")[1:]:
+        if line[:1] in (" ", "\t") and name:
+            found[name] += " " + line.strip()
+        elif ":" in line:
+            name, _, value = line.partition(":")
+            name = name.strip().lower()
+            found[name] = value.strip()
+    return found
 
 
-def parse_header(head: bytes) -> dict:
-    fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:] if ": " in x)
-    return {
-        "record_id": _number(fields.get("WARC-Record-ID")),
-        "record_type": fields.get("WARC-Type"),
-        "target_uri": fields.get("WARC-Target-URI"),
-        "payload_digest": fields.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None,
-        "payload_length": int(fields.get("WARC-Payload-Length", -1)),
-        "refers_to": _number(fields.get("WARC-Refers-To")),
-        "content_length": int(fields.get("Content-Length", 0)),
-    }
+class _Source:
+    """Bytes of a file from ``start`` to ``end``, of its gzip members one after the other if it is ``packed``."""
 
+    def __init__(self, stream, start: int, end: int, packed: bool):
+        self.stream, self.at, self.end, self.packed = stream, start, end, packed
+        self.held, self.inflate, self.next_member = b"", None, None
+        stream.seek(start)
 
-class _Members:
-    """The gzip members of a file from ``start`` to ``end``: headers first, the rest only if asked for."""
+    def _feed(self) -> bytes:
+        data = self.stream.read(min(READ_BYTES, self.end - self.at))
+        self.at += len(data)
+        return data
 
-    def __init__(self, stream, start: int, end: int):
-        self.stream, self.at, self.end = stream, start, end
+    def _more(self) -> bool:
+        """More bytes in ``held``; False at the end."""
+        if not self.packed:
+            data = self._feed()
+            self.held += data
+            return bool(data)
+        while True:
+            if self.inflate is None or self.inflate.eof:
+                first = self.inflate.unused_data if self.inflate else b""
+                while len(first) < 24 and (data := self._feed()):
+                    first += data
+                first = first.lstrip(b"\0") if first[:2] != b"\x1f\x8b" else first  # padding between members
+                if not first:
+                    return False
+                size = struct.unpack_from("<I", first, 16)[0] if first[3:4] == b"\x04" and first[12:14] == b"sl" and len(first) >= 24 else None
+                self.next_member = self.at - len(first) + size if size else None
+                self.inflate, data = zlib.decompressobj(31), first
+            else:
+                data = self._feed()
+                if not data:
+                    raise ValueError("a gzip member is cut off")
+            found = self.inflate.decompress(data)
+            if found:
+                self.held += found
+                return True
+
+    def head(self, most: int | None = None) -> bytes:
+        """What stands before the next empty line, which is taken as well; all there is, up to ``most``, if there is none."""
+        seen = 0
+        while True:
+            ends = [(i, n) for mark, n in ((b"\r\n\r\n", 4), (b"\n\n", 2)) if (i := self.held.find(mark, max(0, seen - 3))) >= 0 and (most is None or i + n <= most)]
+            if ends:
+                i, n = min(ends)
+                found, self.held = self.held[:i], self.held[i + n :]
+                self.taken = i + n
+                return found
+            seen = len(self.held)
+            if most is not None and seen >= most or not self._more():
+                n = seen if most is None else min(seen, most)
+                found, self.held, self.taken = self.held[:n], self.held[n:], n
+                return found
+
+    def read(self, n: int) -> bytes:
+        parts, need = [], n
+        while need:
+            if not self.held and not self._more():
+                raise ValueError("a record is cut off")
+            parts.append(self.held[:need])
+            self.held = self.held[need:]
+            need -= len(parts[-1])
+        return b"".join(parts)
 
-    def __iter__(self):
-        while self.at < self.end:
+    def skip(self, n: int) -> None:
+        if not self.packed and n > len(self.held):
+            self.at += n - len(self.held)
+            self.held = b""
+            if self.at > self.end:
+                raise ValueError("a record is cut off")
             self.stream.seek(self.at)
-            first = self.stream.read(min(4096, self.end - self.at))
-            size = struct.unpack_from("<I", first, 16)[0] if first[3:4] == b"\x04" and first[12:14] == b"sl" else None
-            self.inflate, self.raw, self.fed = zlib.decompressobj(31), b"", len(first)
-            self.raw += self.inflate.decompress(first)
-            while b"\r\n\r\n" not in self.raw and self._more():
-                pass
-            head, _, self.raw = self.raw.partition(b"\r\n\r\n")
-            yield head, self._rest
-            if size is None:
-                while self._more():
-                    self.raw = b""
-                self.at += self.fed - len(self.inflate.unused_data)
+            return
+        while n:
+            if not self.held and not self._more():
+                raise ValueError("a record is cut off")
+            taken = min(n, len(self.held))
+            self.held, n = self.held[taken:], n - taken
+
+    def records(self) -> Iterator[tuple[dict[str, str], int]]:
+        """(header fields, length of the block) of each record; the caller takes as much of the block as it wants, through ``block``."""
+        while True:
+            self.held = self.held.lstrip(b"\r\n")
+            if not self.held:
+                alone = self.packed and (self.inflate is None or self.inflate.eof)
+                if not self._more():
+                    return
+                if not self.held.lstrip(b"\r\n"):
+                    continue
+                self.held = self.held.lstrip(b"\r\n")
             else:
-                self.at += size
+                alone = False
+            head = self.head()
+            if not head.startswith(b"WARC/"):
+                raise ValueError(f"no record where one should begin: {head[:40]!r}")
+            fields = parse_header(head)
+            self.left = int(fields.get("content-length") or 0)
+            yield fields, self.left
+            if alone and self.next_member and self.left:  # a member of one record that tells its size
+                self.at, self.held, self.inflate = self.next_member, b"", None
+                self.stream.seek(self.at)
+            else:
+                self.skip(self.left)
 
-    def _more(self) -> bool:
-        if self.inflate.eof:
-            return False
-        data = self.stream.read(READ_BYTES)
-        self.fed += len(data)
-        self.raw += self.inflate.decompress(data)
-        return bool(data)
-
-    def _rest(self) -> bytes:
-        parts = [self.raw]
-        self.raw = b""
-        while self._more():
-            parts.append(self.raw)
-            self.raw = b""
-        return b"".join(parts)
+    def block(self, n: int | None = None) -> bytes:
+        n = self.left if n is None else min(n, self.left)
+        self.left -= n
+        return self.read(n)
+
+    def block_head(self) -> int:
+        """The length of the HTTP header that the block begins with, which is taken."""
+        self.head(self.left)
+        self.left -= self.taken
+        return self.taken
+
+
+def _urn(value: str | None) -> str | None:
+    return value.strip().strip("<>") if value else None
 
 
 class WarcReader(DataSourceReader):
@@ -199,33 +282,57 @@ class WarcReader(DataSourceReader):
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
             name = ".".join(getattr(f, "attribute", ()))
-            if isinstance(f, EqualTo | In) and name in self.names and name != "payload":
+            if isinstance(f, EqualTo | In) and name in self.names and name not in ("payload", "payload_length"):
                 self.tests.append((name, {f.value} if isinstance(f, EqualTo) else set(f.value)))
             else:
                 yield f
 
     def partitions(self) -> list[Segment]:
+        from pyarrow import fs as pafs
+
         fs, base = _file_system(self.path)
-        with fs.open_input_stream(f"{base}/{MANIFEST}") as held:
-            files = json.loads(held.read())
-        found = [Segment(f["file"], a, b) for f in files for a, b in zip(f["starts"], [*f["starts"][1:], f["size"]], strict=True)]
-        return found or [Segment("", 0, 0)]
+        if fs.get_file_info(base).type == pafs.FileType.File:
+            held = [fs.get_file_info(base)]
+        elif fs.get_file_info(f"{base}/{MANIFEST}").type == pafs.FileType.File:
+            with fs.open_input_stream(f"{base}/{MANIFEST}") as told:
+                files = json.loads(told.read())
+            return [Segment(f"{base}/{f['file']}", a, b) for f in files for a, b in zip(f["starts"], [*f["starts"][1:], f["size"]], strict=True)] or [Segment("", 0, 0)]
+        else:
+            held = sorted((f for f in fs.get_file_info(pafs.FileSelector(base, recursive=True)) if f.type == pafs.FileType.File and f.path.endswith((".warc", ".warc.gz"))), key=lambda f: f.path)
+        return [Segment(f.path, 0, f.size, f.path.endswith(".gz")) for f in held] or [Segment("", 0, 0)]
 
     def read(self, partition: Segment) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return
-        fs, base = _file_system(self.path)
-        types = {"record_id": pa.int64(), "payload_length": pa.int64(), "refers_to": pa.int64(), "payload": pa.binary()}
+        fs, _ = _file_system(self.path)
+        types = {"payload_length": pa.int64(), "payload": pa.binary()}
         rows, held = [], 0
         batch = lambda: pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], types.get(n, pa.string())) for n in self.names], self.names)
-        with fs.open_input_file(f"{base}/{partition.path}") as stream:
-            for head, rest in _Members(stream, partition.start, partition.end):
-                row = parse_header(head)
+        with fs.open_input_file(partition.path) as stream:
+            source = _Source(stream, partition.start, partition.end, partition.packed)
+            for fields, length in source.records():
+                digest = fields.get("warc-payload-digest")
+                row = {
+                    "record_id": _urn(fields.get("warc-record-id")),
+                    "record_type": fields.get("warc-type"),
+                    "target_uri": _urn(fields.get("warc-target-uri")),
+                    "date": fields.get("warc-date"),
+                    "content_type": fields.get("content-type"),
+                    "payload_digest": digest.removeprefix("sha1:") if digest else None,
+                    "refers_to": _urn(fields.get("warc-refers-to")),
+                }
                 if not all(row[name] in values for name, values in self.tests):
                     continue
-                if row["record_type"] == "response" and (self.with_payload or self.verify):
-                    payload = rest()[: row["content_length"]].partition(b"\r\n\r\n")[2]
-                    if self.verify and (base32_digest(payload) != row["payload_digest"] or len(payload) != row["payload_length"]):
+                kind, http = row["record_type"], (row["content_type"] or "").startswith("application/http")
+                told = fields.get("warc-payload-length")
+                check = self.verify and kind == "response" and (digest or "").startswith("sha1:")
+                wanted = kind != "revisit" and (self.with_payload or check)
+                if told is None or wanted:
+                    length -= source.block_head() if http else 0
+                row["payload_length"] = int(told) if told is not None else None if kind == "revisit" else length
+                if wanted:
+                    payload = source.block()
+                    if check and (base32_digest(payload) != row["payload_digest"].upper() or len(payload) != row["payload_length"]):
                         raise ValueError(f"record {row['record_id']} of {partition.path}: payload and digest differ")
                     if self.with_payload:
                         row["payload"] = payload
@@ -259,19 +366,24 @@ def register(spark: SparkSession) -> None:
 
 
 def deduplicated(pages: DataFrame, min_payload: int = 0) -> DataFrame:
-    """The rows to write for (page_id, url, html). A payload shared by many pages is found by a combining aggregate; the join back is one that adaptive execution splits where a digest is hot."""
-    rows = pages.select(F.col("page_id").alias("record_id"), F.col("url").alias("target_uri"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
+    """The rows to write for (page_id, url, html).
+
+    A combining aggregate finds the digests that two rows or more have. Only these meet the rows again, in a join that
+    adaptive execution broadcasts where they are few, and splits where one of them is hot.
+    """
+    rows = pages.select(F.col("page_id").alias("id"), F.col("url").alias("target_uri"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    last = rows.groupBy("digest").agg(F.max("record_id").alias("last"))
-    rows = rows.join(last, "digest")
-    revisit = (F.length("payload") >= min_payload) & F.col("last").isNotNull() & ~F.col("last").eqNullSafe(F.col("record_id"))
+    last = rows.groupBy("digest").agg(F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    rows = rows.join(last, "digest", "left")
+    revisit = (F.length("payload") >= min_payload) & F.col("last").isNotNull() & ~F.col("last").eqNullSafe(F.col("id"))
+    urn = lambda c: F.concat(F.lit(URN), F.coalesce(F.col(c).cast("string"), F.lit("")))
     return rows.select(
-        "record_id",
+        urn("id").alias("record_id"),
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         "target_uri",
         "payload",
         base32(F.col("digest")).alias("payload_digest"),
-        F.when(revisit, F.col("last")).alias("refers_to"),
+        F.when(revisit, urn("last")).alias("refers_to"),
     )
 
 
@@ -300,11 +412,11 @@ def warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_archive(deduplicated(table(spark, sf_dir, "pages")), path)
     found = read_archive(spark, path, payload="false", verify="true")
     return found.select(
-        F.col("record_id").alias("page_id"),
+        F.substring_index("record_id", ":", -1).try_cast("long").alias("page_id"),
         F.col("payload_length").alias("payload_bytes"),
         "payload_digest",
         "record_type",
-        "refers_to",
+        F.substring_index("refers_to", ":", -1).try_cast("long").alias("refers_to"),
     )
 
 
