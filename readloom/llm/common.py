@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import tempfile
 import uuid
@@ -39,8 +40,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, below one of this application's that goes when the driver ends."""
+    root = f"{shared_dir(spark).rstrip('/')}/scratch-{spark.sparkContext.applicationId}"
+    if root not in _ROOTS:
+        _ROOTS.add(root)
+        atexit.register(_forget, spark.sparkContext._jvm, root)
+    return f"{root}/{what}-{uuid.uuid4().hex}"
+
+
+_ROOTS: set[str] = set()
+
+
+def _forget(jvm, root: str) -> None:
+    from py4j.protocol import Py4JError
+
+    try:
+        at = jvm.org.apache.hadoop.fs.Path(root)
+        at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+    except (OSError, Py4JError):  # the JVM has ended before
+        pass
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
