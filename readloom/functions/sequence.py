@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: So many alternatives at most are searched as patterns.
+MAX_PATTERNS = 100
+
 BASES = ("A", "C", "G", "T")
 
 
@@ -44,24 +51,40 @@ def header_count(header: str, template: str = "read_{id}_{count}") -> Column:
     return F.coalesce(grouped.try_cast("long"), F.lit(1).cast("long"))
 
 
-def window_mismatches(seq: str, adapter: str, width: int, start: Column) -> Column:
+def window_mismatches(seq: Column, adapter: str, width: int, start: Column) -> Column:
     """Mismatches of the adapter's first ``width`` bases with the window at 0-based ``start``, as a sum of comparisons."""
-    terms = [F.when(F.substring(F.col(seq), start + k + 1, F.lit(1)) != adapter[k], 1).otherwise(0) for k in range(width)]
+    terms = [F.when(F.substring(seq, start + k + 1, F.lit(1)) != adapter[k], 1).otherwise(0) for k in range(width)]
     return sum(terms[1:], terms[0])
 
 
+def _leftmost(seq: Column, core: str, mismatches: int) -> Column:
+    """Where the leftmost window starts (1-based) that differs from ``core`` in as many places at most; 0 if none does."""
+    open_places = itertools.combinations(range(len(core)), mismatches)
+    return F.regexp_instr(seq, F.lit("(?s)" + "|".join("".join("." if i in at else re.escape(c) for i, c in enumerate(core)) for at in open_places)))
+
+
 def best_adapter_match(seq: str, adapter: str, min_overlap: int = 10, max_mismatches: int = 1) -> Column:
     """Struct (mm, pos) of the best window with at most ``max_mismatches``: fewest mismatches, then leftmost; else null.
 
     Mismatches never fall as a match grows, so the best match has the least length allowed; adapters shorter than that
-    never match. The search is local to the row.
+    never match. The search is local to the row, and the sequence is bound once, however it was derived. Few mismatches are
+    patterns, tried from none on; many are counted window by window.
     """
     if len(adapter) < min_overlap:
         return F.lit(None).cast("struct<mm:int,pos:int>")
-    starts = F.sequence(F.lit(0), F.length(seq) - min_overlap)
-    scored = F.transform(starts, lambda p: F.struct(window_mismatches(seq, adapter, min_overlap, p).cast("int").alias("mm"), p.cast("int").alias("pos")))
-    best = F.array_min(F.filter(scored, lambda s: s["mm"] <= max_mismatches))
-    return F.when(F.length(seq) >= min_overlap, best)
+    core, most = adapter[:min_overlap], min(max_mismatches, min_overlap)
+    found_at = lambda mm, at: F.struct(F.lit(mm).cast("int").alias("mm"), (at - 1).cast("int").alias("pos"))
+
+    def by_pattern(x: Column) -> Column:
+        return F.coalesce(*[F.when(_leftmost(x, core, mm) > 0, found_at(mm, _leftmost(x, core, mm))) for mm in range(most + 1)])
+
+    def by_window(x: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.length(x) - min_overlap)
+        scored = F.transform(starts, lambda p: F.struct(window_mismatches(x, adapter, min_overlap, p).cast("int").alias("mm"), p.cast("int").alias("pos")))
+        return F.when(F.length(x) >= min_overlap, F.array_min(F.filter(scored, lambda s: s["mm"] <= max_mismatches)))
+
+    search = by_pattern if sum(math.comb(min_overlap, mm) for mm in range(most + 1)) <= MAX_PATTERNS else by_window
+    return F.get(F.transform(F.array(F.col(seq)), search), F.lit(0))
 
 
 def trim_at_adapters(seq: str, adapters: list[str]) -> Column:

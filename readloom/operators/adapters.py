@@ -61,8 +61,10 @@ def all_adapters() -> list[str]:
 
 def matches(reads: DataFrame, adapter: str, min_overlap: int = 10, max_mismatches: int = 1) -> DataFrame:
     """Reads that hold the adapter, with mm, pos and variant, the bases matched. Row-local: nothing shuffles."""
-    found = reads.withColumn("seq", F.upper("seq")).withColumn("_m", best_adapter_match("seq", adapter.upper(), min_overlap, max_mismatches))
-    found = found.where("_m is not null").withColumns({"mm": F.col("_m.mm"), "pos": F.col("_m.pos")}).drop("_m")
+    upper = reads.withColumn("seq", F.upper("seq"))
+    # a generator of none or one row, so that no filter is pushed below the search and derives the read again
+    match = F.array_compact(F.array(best_adapter_match("seq", adapter.upper(), min_overlap, max_mismatches)))
+    found = upper.select("*", F.inline(match))
     return found.withColumn("variant", F.substring("seq", F.col("pos") + 1, F.lit(min_overlap)))
 
 
