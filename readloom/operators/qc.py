@@ -16,11 +16,19 @@ def length_histogram(reads: DataFrame) -> DataFrame:
     return reads.groupBy(F.length("seq").alias("len")).agg(F.sum("cnt").alias("n"), F.min("ordinal").alias("first_ordinal"))
 
 
+def ends(counted: DataFrame) -> DataFrame:
+    """Rows of (_n, _i), place i of the n of a read, once from the 5' end and once from the 3' end, as (end, pos)."""
+    both = F.array(F.struct(F.lit("5p").alias("end"), F.col("_i").alias("pos")), F.struct(F.lit("3p").alias("end"), (F.col("_n") - 1 - F.col("_i")).alias("pos")))
+    return counted.withColumn("_e", F.explode(both)).select("_e.end", "_e.pos", *[c for c in counted.columns if c not in ("_n", "_i")])
+
+
 def bases_from_ends(reads: DataFrame) -> DataFrame:
-    """(end, pos, symbol, cnt): each base once from the 5' end and once from the 3' end, of one scan."""
+    """(end, pos, symbol, cnt): the bases at each place from the 5' end and from the 3' end, with the reads that have them.
+
+    One scan; what is counted is places of reads of one length, of which there are few, before either end is told.
+    """
     found = reads.select("cnt", F.length("seq").alias("_n"), F.posexplode(symbols("seq")).alias("_i", "symbol"))
-    ends = F.array(F.struct(F.lit("5p").alias("end"), F.col("_i").alias("pos")), F.struct(F.lit("3p").alias("end"), (F.col("_n") - 1 - F.col("_i")).alias("pos")))
-    return found.select("cnt", "symbol", F.explode(ends).alias("e")).select("e.end", "e.pos", "symbol", "cnt")
+    return ends(found.groupBy("_n", "_i", "symbol").agg(F.sum("cnt").alias("cnt")))
 
 
 def base_counts(reads: DataFrame) -> DataFrame:

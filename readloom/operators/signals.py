@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from readloom.operators.qc import bases_from_ends
+from readloom.operators.qc import bases_from_ends, ends
 
 MIN_LENGTH = 20
 
@@ -44,9 +44,8 @@ def composition_maps(parts: DataFrame) -> DataFrame:
 
 def dinucleotides(reads: DataFrame) -> DataFrame:
     """(end, pos, pair, n, freq) of neighbouring bases; from the 3' end, position i is the pair that ends i bases before the end."""
-    found = usable(reads).select("seq", F.length("seq").alias("_n"), F.explode(F.sequence(F.lit(0), F.length("seq") - 2)).alias("_i"))
-    ends = F.array(F.struct(F.lit("5p").alias("end"), F.col("_i").alias("pos")), F.struct(F.lit("3p").alias("end"), (F.col("_n") - 2 - F.col("_i")).alias("pos")))
-    found = found.select(F.substring("seq", F.col("_i") + 1, F.lit(2)).alias("pair"), F.explode(ends).alias("e")).select("e.end", "e.pos", "pair")
-    counted = found.groupBy("end", "pos", "pair").agg(F.count(F.lit(1)).alias("n"))
-    counted = counted.join(F.broadcast(length_cap(reads))).where("pos < cap - 1").drop("cap")
+    found = usable(reads).select("seq", (F.length("seq") - 1).alias("_n"), F.explode(F.sequence(F.lit(0), F.length("seq") - 2)).alias("_i"))
+    found = found.select("_n", "_i", F.substring("seq", F.col("_i") + 1, F.lit(2)).alias("pair")).groupBy("_n", "_i", "pair").agg(F.count(F.lit(1)).alias("n"))
+    counted = ends(found).groupBy("end", "pos", "pair").agg(F.sum("n").alias("n"))
+    counted = counted.join(F.broadcast(length_cap(reads))).where("pos < cap - 1").drop("cap")  # one row
     return counted.withColumn("freq", F.col("n") / F.sum("n").over(Window.partitionBy("end", "pos")))
