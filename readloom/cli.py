@@ -5,39 +5,53 @@ from __future__ import annotations
 import argparse
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.operators import adapters, alignment, architecture, checks, extract, segment, signals
+from readloom.operators import alignment, architecture, checks, decision, extract, segment, seqspec
 from readloom.plans import report
-from readloom.sources import collapsed
+from readloom.sources import aligner, collapsed, specifications
 from readloom.sources.sequence_files import FORMATS, check_readable, read_architectures, read_sam, read_sequences
 
 
 def load(spark: SparkSession, path: str, kind: str, template: str, limit: int | None = None) -> DataFrame:
+    """Reads of a file or folder; ``limit`` is of records in all, in order of file and place."""
     check_readable(path)
-    options = {} if limit is None else {"maxRecords": str(limit)}
+    options = {} if limit is None else {"maxRecords": str(limit)}  # no file gives more
     found = read_sequences(spark, path, kind, **options)
+    found = found if limit is None else extract.head(found, limit)
     if kind == "collapsed":
         return collapsed.with_counts(found.withColumnRenamed("read_id", "header"), template).withColumnRenamed("header", "read_id")
     return (found if kind == "fastq" else found.drop("qual")).withColumn("cnt", F.lit(1).cast("long"))
 
 
-def detect(reads: DataFrame, layouts: DataFrame) -> tuple[str, list[tuple[str, int, int]], list[str]]:
-    """(name, segments, adapters) of the layout: a known match, else the best path, else an adapter in a tenth of reads."""
-    parts = signals.composition(reads)
-    best = architecture.best_match(architecture.evaluate(layouts, parts, signals.entropy(parts))).first()
-    if best:
-        held = layouts.where(F.col("priority") == best.priority)
-        rows = architecture.segments(held).orderBy("k").collect()
-        return best["name"], [(r.type, r.s, r.e) for r in rows], held.first().adapters
-    found = segment.path_segments(segment.best_paths(segment.emissions(segment.global_entropies(reads))))
-    rows = found.orderBy("k").collect()
-    scan = segment.needs_adapter_scan(found).first()
-    if not rows or scan.scan:
-        hit = adapters.best_contained(reads).first()
-        return ("adapter_scan", [("rpf", 0, -1)], [hit.seq]) if hit else ("whole_reads", [("rpf", 0, -1)], [])
-    return "de_novo", [(r.type, r.s, r.e) for r in rows], []
+def extracted(reads: DataFrame, decided: decision.Decision) -> DataFrame:
+    """The fragments; none where no RPF segment was found."""
+    if decided.rpf is None:
+        return reads.limit(0)
+    return extract.extract(reads, *decided.rpf, adapters=decided.adapters)
+
+
+def run_extract(reads: DataFrame, layouts: DataFrame, output: str, kind: str, specified: bool) -> None:
+    """Fragments to the folder ``output``, and its reports beside it."""
+    decided = decision.decide(reads, layouts)
+    kept = extracted(reads, decided)
+    kept = kept.orderBy(*[c for c in ("file", "ordinal") if c in kept.columns])
+    text = extract.as_fastq(kept) if "qual" in kept.columns else extract.as_fasta(kept)
+    seen = Observation("fragments")
+    text.select("record").observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").text(output)
+    base = output.rstrip("/")
+    entropies = [r.h for r in segment.global_entropies(reads).orderBy("pos").collect()]
+    spec = None
+    if specified:
+        spec = seqspec.specification(reads, decided, reads.select("ordinal", F.col("read_id").alias("header")), layouts)
+        Path(f"{base}.seqspec.yaml").write_text(seqspec.to_yaml(spec))
+        fasta = seqspec.adapter_fasta(reads.sparkSession.createDataFrame([(i, f"adapter_{i + 1}", a) for i, a in enumerate(decided.adapters)], "idx int, name string, seq string")).orderBy("idx").collect()
+        if fasta:
+            Path(f"{base}.adapters.fa").write_text("\n".join(r.record for r in fasta) + "\n")
+    Path(f"{base}.layout.txt").write_text(report.layout_report(decided.name, decided.segments, entropies))
+    Path(f"{base}.report.html").write_text(report.html_report(decided.name, decided.segments, entropies, decided.trace))
+    report.write_report(decision.report(decided, seen.get["n"], spec), f"{base}.report.{kind}", kind)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -54,11 +68,16 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("-m", "--min-overlap", type=int, default=10)
         p.add_argument("-M", "--max-mismatches", type=int, default=1)
         p.add_argument("--architectures")
+        p.add_argument("--seqspec-dir", help="a folder of specifications whose layouts are tried as well")
+        p.add_argument("--seqspec", action="store_true", help="write a specification of what is extracted")
+        p.add_argument("--report", choices=("json", "csv"), default="json")
         p.add_argument("--sam", required=name in ("align-detect", "decide-trim"))
+        p.add_argument("--log", help="the aligner's log")
     a = parser.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     reads = load(spark, a.input, a.format, a.count_pattern, a.max_reads)
     layouts = read_architectures(spark, a.architectures) if a.architectures else architecture.builtin(spark)
+    layouts = specifications.with_specifications(layouts, a.seqspec_dir) if a.seqspec_dir else layouts
     write = lambda path, text: Path(path).write_text(text)
     if a.command in ("check", "check-cleanliness"):
         rows = checks.basic_suite(reads) if a.command == "check" else checks.check_suite(reads)
@@ -69,20 +88,19 @@ def main(argv: list[str] | None = None) -> int:
             parser.error("an adapter has letters of ACGTN")
         write(a.output, report.adapter_report(reads, a.adapter, a.min_overlap, a.max_mismatches))
     elif a.command == "extract":
-        name, segments, cut = detect(reads, layouts)
-        rpf = next(((s, e) for k, s, e in segments if k == "rpf"), (0, -1))
-        kept = extract.extract(reads, *rpf, adapters=cut)
-        text = extract.as_fastq(kept) if "qual" in kept.columns else extract.as_fasta(kept)
-        text.orderBy("ordinal").select("record").write.mode("overwrite").text(a.output)
-        write(f"{a.output.rstrip('/')}.layout.txt", report.layout_report(name, segments, [r.h for r in segment.global_entropies(reads).orderBy("pos").collect()]))
+        run_extract(reads, layouts, a.output, a.report, a.seqspec)
     else:
-        trims = alignment.global_consensus(alignment.per_length(alignment.clips(read_sam(spark, a.sam))))
+        per = alignment.per_length(alignment.clips(read_sam(spark, a.sam)))
+        trims = alignment.global_consensus(per)
         if a.command == "decide-trim":
-            name, segments, _ = detect(reads, layouts)
-            start = next((s for k, s, _ in segments if k == "rpf"), 0)
-            own = spark.createDataFrame([(0, start, name not in ("de_novo", "whole_reads"))], "id int, arch5 int, matched boolean")
-            trims = alignment.decide_trim(own, trims.withColumn("id", F.lit(0)))
-        report.write_report(trims.first(), a.output)
+            decided = decision.decide(reads, layouts)
+            own = spark.createDataFrame([(0, (decided.rpf or (0, -1))[0], decided.layout is not None)], "id int, arch5 int, matched boolean")
+            report.write_report(alignment.decide_trim(own, trims.withColumn("id", F.lit(0))).first(), a.output, a.report)
+        elif a.log:
+            held = alignment.alignment_report(aligner.read_log(spark, a.log).first(), trims.first(), per.orderBy("read_len").collect())
+            report.write_report(held, a.output, a.report)
+        else:
+            report.write_report(trims.first(), a.output, a.report)
     return 0
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readloom.functions.sequence import best_adapter_match
@@ -59,6 +59,11 @@ def all_adapters() -> list[str]:
     return sorted({s for _, s in KNOWN_ADAPTERS}, key=lambda s: (-len(s), s))
 
 
+def by_length(adapters: DataFrame) -> DataFrame:
+    """(place, seq): the distinct sequences of ``adapters``, longest first, then by letters. A table of adapters is short."""
+    return adapters.select("seq").distinct().withColumn("place", F.row_number().over(Window.orderBy(F.length("seq").desc(), "seq")) - 1).select("place", "seq")
+
+
 def matches(reads: DataFrame, adapter: str, min_overlap: int = 10, max_mismatches: int = 1) -> DataFrame:
     """Reads that hold the adapter, with mm, pos and variant, the bases matched. Row-local: nothing shuffles."""
     upper = reads.withColumn("seq", F.upper("seq"))
@@ -87,6 +92,6 @@ def containment_counts(reads: DataFrame, adapters: tuple = KNOWN_ADAPTERS[:SCANN
 
 
 def best_contained(reads: DataFrame) -> DataFrame:
-    """One row (seq, n, total) if the most frequent known adapter is in more than a tenth of the reads, else none."""
-    best = containment_counts(reads).agg(F.max_by(F.struct("seq", "n", "total"), F.struct("n", -F.col("idx"))).alias("b"))
+    """One row (idx, seq, n, total) if the most frequent known adapter is in more than a tenth of the reads, else none."""
+    best = containment_counts(reads).agg(F.max_by(F.struct("idx", "seq", "n", "total"), F.struct("n", -F.col("idx"))).alias("b"))
     return best.select("b.*").where(F.col("n") > SCAN_SHARE * F.col("total"))

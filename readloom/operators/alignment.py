@@ -69,3 +69,19 @@ def decide_trim(architecture: DataFrame, alignment: DataFrame) -> DataFrame:
     found = found.withColumn("method", method)
     value = F.when(F.col("method").isin("agreement", "architecture_dominant"), a).when(F.col("method") == "alignment_dominant", b).otherwise(F.when(F.col("matched"), a).otherwise(b))
     return found.select("id", "method", value.alias("final5"), F.lit(0).alias("final3"), F.when(F.col("method") == "agreement", 0.9).otherwise(0.7).alias("confidence"))
+
+
+def alignment_report(counters, trims, per_length: list, output_files: list[str] = ()) -> dict:
+    """The aligner's counters, the trims and their recommendations by length, as plain values."""
+    aligned = counters.unique_reads + counters.multi_reads
+    return {
+        "input_reads": counters.input_reads,
+        "aligned_reads": aligned,
+        "unmapped_reads": counters.unmapped_reads,
+        "alignment_rate": aligned / counters.input_reads if counters.input_reads else 0.0,
+        "uniquely_aligned": counters.unique_reads,
+        "multimapping_reads": counters.multi_reads,
+        "trim_recommendations": {"detected": trims.detected, "recommended_5prime_trim": trims.trim5, "recommended_3prime_trim": trims.trim3, "consensus_level": trims.level},
+        "per_length_analysis": {str(r.read_len): {"n_reads": r.n_reads, "trim5": r.trim5, "trim3": r.trim3, "mean5": r.mean5, "mean3": r.mean3, "cleaned": r.cleaned} for r in per_length},
+        "output_files": list(output_files),
+    }

@@ -10,6 +10,11 @@ from readloom.functions.sequence import trim_at_adapters
 MIN_LENGTH = 20
 
 
+def head(reads: DataFrame, n: int) -> DataFrame:
+    """The first n reads, in order of file, if told, and place."""
+    return reads.orderBy(*[c for c in ("file", "ordinal") if c in reads.columns]).limit(n)
+
+
 def sliced(reads: DataFrame, start: int, end: int = -1) -> DataFrame:
     """Sequence and quality from ``start`` to ``end`` (0-based, -1: the read's end)."""
     cut = lambda c: F.substring(c, F.lit(start + 1), F.length(c) - start if end < 0 else F.lit(end - start))

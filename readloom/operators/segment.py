@@ -93,6 +93,21 @@ def bin_votes(found: DataFrame) -> DataFrame:
     return best.join(F.broadcast(holders), "umi_len")
 
 
+def scaled_segments(reads: DataFrame, min_bin: int = MIN_BIN) -> DataFrame:
+    """(bin, k, type, s, e) of each length bin, and of all reads as bin 0, by one job of paths."""
+    entropies = bin_entropies(reads, min_bin).unionByName(global_entropies(reads))
+    return path_segments(best_paths(emissions(entropies)))
+
+
+def decided_segments(found: DataFrame, bins: DataFrame) -> DataFrame:
+    """(k, type, s, e, bin) of ``scaled_segments`` that speak for all: of two length bins (len, n) or more, those of the
+    representative of the majority of bins; without one, those of all reads, bin 0."""
+    vote = bin_votes(found.where("bin > 0")).select("representative")
+    told = bins.agg((F.count(F.lit(1)) > 1).alias("several")).join(F.broadcast(vote), how="left")  # one row each
+    told = told.select(F.when(F.col("several"), F.col("representative")).alias("bin")).select(F.coalesce("bin", F.lit(0)).alias("bin"))
+    return found.join(F.broadcast(told), "bin").select("k", "type", "s", "e", "bin")
+
+
 def needs_adapter_scan(found: DataFrame, max_umi: int = 40) -> DataFrame:
     """(bin, scan): no RPF segment, or a first segment that is a UMI ending beyond ``max_umi``."""
     head = F.min_by(F.struct("type", "e"), "k")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from readloom.functions import sequence as fn
 from readloom.operators import adapters, alignment, architecture, checks, extract, qc, segment, seqspec, signals
-from readloom.sources import collapsed
+from readloom.sources import aligner, collapsed, specifications
 from readloom.sources.tables import ALIGNMENTS_SQL, FRAMED_SQL, READS_SQL, alignments, framed_reads, reads, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,7 +71,7 @@ _add(
     f"{R}, {HEADERS} SELECT ordinal, CAST(CASE WHEN ordinal % 3 <> 0 AND ordinal % 7 = 0 THEN 1 ELSE CAST(replace(substr(header, 6), '_', '') AS BIGINT) END AS BIGINT) AS grouped, "
     "CAST(CASE WHEN ordinal % 3 = 0 THEN 500 WHEN ordinal % 7 = 0 THEN 1 ELSE CAST(split_part(header, '_', 3) AS INT) END AS BIGINT) AS cnt FROM headers",
 )
-_add("s08_head_sample", lambda s, d: reads(s, d).orderBy("ordinal").limit(5000).select("ordinal", "seq"), f"{R} SELECT ordinal, seq FROM reads ORDER BY ordinal LIMIT 5000")
+_add("s08_head_sample", lambda s, d: extract.head(reads(s, d), 5000).select("ordinal", "seq"), f"{R} SELECT ordinal, seq FROM reads ORDER BY ordinal LIMIT 5000")
 KNOWN = "known(idx, name, seq) AS (VALUES " + ", ".join(f"({i}, {_q(n)}, {_q(s)})" for i, (n, s) in enumerate(adapters.KNOWN_ADAPTERS)) + ")"
 _add("s09_known_adapters", lambda s, d: adapters.known_adapters(s).withColumn("n", F.length("seq")), f"WITH {KNOWN} SELECT idx, name, seq, length(seq) AS n FROM known")
 ARCH = "arch(priority, name, rpf_start, rpf_end, us, ue) AS (VALUES " + ", ".join(f"({i}, '{a[0]}', {a[5]}, {a[6]}, {a[2][0][0] if a[2] else 'NULL'}, {a[2][0][1] if a[2] else 'NULL'})" for i, a in enumerate(architecture.BUILTIN)) + ")"
@@ -111,6 +111,36 @@ _add(
     f"{R} SELECT ordinal, CAST(copy AS BIGINT) AS copy, concat('@r', ordinal, '_copy_', copy) AS header, seq, repeat('I', length(seq)) AS qual FROM reads, unnest(range(1, cnt)) t(copy) ORDER BY ordinal, copy LIMIT 3000",
 )
 
+# adapters and layouts that a table tells, so that the queries on them read one
+
+TAILS = "tails AS (SELECT ordinal, substr(seq, length(seq) - CAST(5 + ordinal % 4 AS INT)) AS seq FROM reads WHERE ordinal % 4 = 0)"
+
+
+def _tails(spark, d):
+    """What looks like an adapter at the end of a read."""
+    o = F.col("ordinal")
+    return reads(spark, d).where(o % 4 == 0).select("ordinal", F.substring(F.col("seq"), (F.length("seq") - (5 + o % 4)).cast("int"), F.lit(20)).alias("seq"))
+
+
+TOLD = """told AS (SELECT CAST(n_nationkey AS INT) AS priority, concat('kit_', lower(n_name)) AS name, CASE WHEN n_nationkey % 3 = 0 THEN CAST(4 + n_nationkey % 5 AS INT) END AS u, CASE WHEN n_nationkey % 4 = 0 THEN CAST(n_nationkey % 7 AS INT) END AS b0,
+  concat(substr('AGATCGGAAGAGC', 1, CAST(10 + n_nationkey % 3 AS INT)), substr('ACGT', CAST(1 + n_nationkey % 4 AS INT), 1)) AS adapter, CAST(n_nationkey % 6 AS INT) AS rpf_start, CASE WHEN n_nationkey % 5 = 0 THEN 30 ELSE CAST(-(n_nationkey % 3) AS INT) END AS rpf_end FROM nation)"""
+
+
+def _told(spark, d):
+    """A layout for each nation."""
+    k = F.col("n_nationkey").cast("int")
+    span = lambda s, e: F.array(F.struct(s.cast("int").alias("s"), e.cast("int").alias("e")))
+    none = F.array().cast("array<struct<s:int,e:int>>")
+    adapter = F.concat(F.substring(F.lit("AGATCGGAAGAGC"), F.lit(1), (10 + k % 3).cast("int")), F.substring(F.lit("ACGT"), (1 + k % 4).cast("int"), F.lit(1)))
+    return table(spark, d, "nation").select(
+        k.alias("priority"), F.concat(F.lit("kit_"), F.lower("n_name")).alias("name"), F.lit("told").alias("source"),
+        F.when(k % 3 == 0, span(F.lit(0), 4 + k % 5)).otherwise(none).alias("umi"), F.when(k % 4 == 0, span(k % 7, k % 7 + 3)).otherwise(none).alias("barcode"), F.array(adapter).alias("adapters"),
+        (k % 6).alias("rpf_start"), F.when(k % 5 == 0, 30).otherwise(-(k % 3)).cast("int").alias("rpf_end"), F.lit(20).alias("exp_min"), (30 + k % 9).alias("exp_max"),
+    )
+
+
+TOLD_SEGS = "tsegs AS (SELECT priority, CAST(row_number() OVER (PARTITION BY priority ORDER BY o) - 1 AS INT) AS k, type, s, e FROM (SELECT priority, 0 AS o, 'umi' AS type, 0 AS s, u AS e FROM told WHERE u IS NOT NULL UNION ALL SELECT priority, 1, 'barcode', b0, b0 + 3 FROM told WHERE b0 IS NOT NULL UNION ALL SELECT priority, 2, 'rpf', rpf_start, CASE WHEN rpf_end > 0 THEN rpf_end ELSE -1 END FROM told))"
+
 # projections and filters
 
 MIXED = "mixed AS (SELECT ordinal, cnt, CASE WHEN ordinal % 5 = 0 THEN concat(lower(substr(seq, 1, 9)), 'N', substr(seq, 11)) ELSE seq END AS seq FROM reads)"
@@ -155,7 +185,7 @@ ENDS = """ends AS (
 )"""
 QC = f"{R}, src AS (SELECT ordinal, cnt, upper(seq) AS seq FROM reads), {ENDS}"
 SG = f"{R}, src AS (SELECT ordinal, 1 AS cnt, seq FROM reads WHERE length(seq) >= 20), {ENDS}"
-_add("f16_bases_from_ends", lambda s, d: qc.bases_from_ends(reads(s, d)).groupBy("end", "pos").agg(F.count(F.lit(1)).alias("coverage")), f'{QC} SELECT "end", pos, count(*) AS coverage FROM ends GROUP BY ALL')
+_add("f16_bases_from_ends", lambda s, d: qc.bases_from_ends(reads(s, d).withColumn("cnt", F.lit(1).cast("long"))).groupBy("end", "pos").agg(F.sum("cnt").alias("coverage")), f'{QC} SELECT "end", pos, count(*) AS coverage FROM ends GROUP BY ALL')
 _add("f17_empty_guard", lambda s, d: signals.usable(reads(s, d).where(F.length("seq") < 20)).agg(F.count(F.lit(1)).alias("sample_size")), f"{R} SELECT count(*) AS sample_size FROM reads WHERE length(seq) < 20 AND length(seq) >= 20")
 
 # aggregates
@@ -251,7 +281,7 @@ SELECT k, CASE WHEN kinds = 1 THEN first WHEN kinds / CAST(n AS DOUBLE) > 0.8e0
 )
 DIV = "dv AS (SELECT k, count(DISTINCT seq) / CAST(count(*) AS DOUBLE) AS diversity FROM (SELECT * FROM gs QUALIFY row_number() OVER (PARTITION BY k ORDER BY ordinal) <= 10) GROUP BY k)"
 _add("a25_diversity", lambda s, d: _r("diversity")(seqspec.diversity(_grouped(s, d))), f"{R}, {GROUPED}, {DIV} SELECT k, round(diversity, 6) AS diversity FROM dv")
-_add("a26_read_lengths", lambda s, d: reads(s, d).orderBy("ordinal").limit(100).agg(F.min(F.length("seq")).alias("low"), F.max(F.length("seq")).alias("high"), F.floor(F.avg(F.length("seq"))).alias("mean")), f"{R} SELECT min(length(seq)) AS low, max(length(seq)) AS high, CAST(floor(avg(length(seq))) AS BIGINT) AS mean FROM (SELECT * FROM reads ORDER BY ordinal LIMIT 100)")
+_add("a26_read_lengths", lambda s, d: seqspec.read_lengths(reads(s, d)), f"{R} SELECT min(length(seq)) AS low, max(length(seq)) AS high, CAST(floor(avg(length(seq))) AS BIGINT) AS mean FROM (SELECT * FROM reads ORDER BY ordinal LIMIT 100)")
 TYPES = "types(element, region_type) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in seqspec.REGION_TYPES.items()) + ")"
 _add("a27_annotation_stats", lambda s, d: seqspec.annotation_stats(seqspec.annotated_regions(_annotated(s, d))), f"{AN}, {ELEMENTS}, {TYPES} SELECT element, coalesce(any_value(region_type), 'unknown') AS region_type, min(n) AS min_len, max(n) AS max_len, count(*) AS occurrences FROM els LEFT JOIN types USING (element) GROUP BY element")
 STATS = "stats AS (SELECT count(*) AS n_reads, count(CASE WHEN clip5 > 0 OR clip3 > 0 THEN 1 END) AS clipped, avg(clip5) AS mean5, avg(clip3) AS mean3, max(clip5) AS max5, max(clip3) AS max3 FROM clips)"
@@ -362,18 +392,18 @@ _add("w08_binned_paths", lambda s, d: _r("score")(_binned(s, d)), f"{R}, {BINS},
 # sorts, limits and sets
 
 _add("l01_head", lambda s, d: reads(s, d).orderBy("ordinal").limit(1000).select("ordinal", "seq"), f"{R} SELECT ordinal, seq FROM reads ORDER BY ordinal LIMIT 1000")
-_add("l02_collapsed_head", lambda s, d: reads(s, d).orderBy("ordinal").limit(99).select("ordinal", "cnt"), f"{R} SELECT ordinal, cnt FROM reads ORDER BY ordinal LIMIT 99")
+_add("l02_collapsed_head", lambda s, d: collapsed.head(reads(s, d), 100).select("ordinal", "cnt"), f"{R} SELECT ordinal, cnt FROM reads ORDER BY ordinal LIMIT 99")
 _add("l03_output_cap", lambda s, d: extract.extract(reads(s, d), 6, adapters=adapters.all_adapters(), limit=200).select("ordinal", "seq"), f"{R}, c AS (SELECT ordinal, substr(seq, 7) AS seq FROM reads) SELECT ordinal, substr(seq, 1, CAST({TRIM} AS INT)) AS seq FROM c WHERE {TRIM} >= 20 ORDER BY ordinal LIMIT 200")
-_add("l04_sample_caps", lambda s, d: reads(s, d).orderBy("ordinal").limit(50).agg(F.count(F.lit(1)).alias("n"), F.max("ordinal").alias("last")), f"{R} SELECT count(*) AS n, max(ordinal) AS last FROM (SELECT ordinal FROM reads ORDER BY ordinal LIMIT 50)")
+_add("l04_sample_caps", lambda s, d: extract.head(reads(s, d), 50).agg(F.count(F.lit(1)).alias("n"), F.max("ordinal").alias("last")), f"{R} SELECT count(*) AS n, max(ordinal) AS last FROM (SELECT ordinal FROM reads ORDER BY ordinal LIMIT 50)")
 _add("l05_sorted_variants", lambda s, d: adapters.histogram(_hits(s, d), "variant").orderBy(F.desc("n"), "variant").limit(25), f"{R}, {MATCH} SELECT variant, CAST(sum(cnt) AS BIGINT) AS n FROM hits GROUP BY 1 ORDER BY n DESC, variant LIMIT 25")
-_add("l06_adapters_by_length", lambda s, d: s.createDataFrame(list(enumerate(adapters.all_adapters())), "place int, seq string"), f"WITH {KNOWN} SELECT CAST(row_number() OVER (ORDER BY length(seq) DESC, seq) - 1 AS INT) AS place, seq FROM (SELECT DISTINCT seq FROM known)")
+_add("l06_adapters_by_length", lambda s, d: adapters.by_length(_tails(s, d)), f"{R}, {TAILS} SELECT CAST(row_number() OVER (ORDER BY length(seq) DESC, seq) - 1 AS INT) AS place, seq FROM (SELECT DISTINCT seq FROM tails)")
 _add("l07_most_common", lambda s, d: qc.length_metrics(reads(s, d)).select("mode"), f"{R}, {HIST} SELECT mode FROM lm")
 _add(
     "u01_union_layouts",
-    lambda s, d: architecture.with_more(architecture.builtin(s), s.createDataFrame([(0, "own", "x", [(0, 3)], [], ["ACGTACGTAC"], 3, -1, 20, 30)], architecture.SCHEMA)).select("priority", "name"),
-    f"WITH {ARCH} SELECT priority, name FROM arch UNION ALL SELECT {len(architecture.BUILTIN)}, 'own'",
+    lambda s, d: architecture.with_more(architecture.builtin(s), _told(s, d)).select("priority", "name"),
+    f"WITH {ARCH}, {TOLD} SELECT priority, name FROM arch UNION ALL SELECT {len(architecture.BUILTIN)} + priority, name FROM told",
 )
-_add("u02_distinct_adapters", lambda s, d: adapters.known_adapters(s).select("seq").distinct(), f"WITH {KNOWN} SELECT DISTINCT seq FROM known")
+_add("u02_distinct_adapters", lambda s, d: _tails(s, d).select("seq").distinct(), f"{R}, {TAILS} SELECT DISTINCT seq FROM tails")
 _add("u03_distinct_structures", lambda s, d: _annotated(s, d).agg(F.count_distinct(F.transform(fn.header_elements("header"), lambda x: x["element"])).alias("structures"), F.count_distinct("seq").alias("seqs")), f"{AN} SELECT count(DISTINCT array_to_string(regexp_extract_all(lower(header), '([a-z_][a-z0-9_]*):', 1), ' ')) AS structures, count(DISTINCT seq) AS seqs FROM annotated")
 _add("u04_clean_and_contaminated", lambda s, d: reads(s, d).select("ordinal", "seq").unionByName(framed_reads(s, d).select("ordinal", "seq")).groupBy(F.length("seq").alias("len")).agg(F.count(F.lit(1)).alias("n")), f"{FR} SELECT length(seq) AS len, count(*) AS n FROM (SELECT seq FROM reads UNION ALL SELECT seq FROM framed) GROUP BY 1")
 
@@ -389,10 +419,8 @@ _add("r09_umi_profile", lambda s, d: _evaluated(s, d).select("priority", "umi_sc
 _add("r10_adapter_score", lambda s, d: _evaluated(s, d).select("priority", "adapter_score"), f"{FE} SELECT priority, adapter_score FROM evald")
 _add("r11_layout_score", lambda s, d: _r("score")(_evaluated(s, d)).select("priority", "score"), f"{FE} SELECT priority, round(score, 6) AS score FROM evald")
 _add("r12_best_layout", lambda s, d: _r("score")(architecture.best_match(_evaluated(s, d))).select("priority", "name", "score"), f"{FE} SELECT priority, name, round(score, 6) AS score FROM evald WHERE score >= 0.8e0 ORDER BY evald.score DESC, priority LIMIT 1")
-BARCODES = "bcs(priority, s, e) AS (VALUES " + ", ".join(f"({i}, {s0}, {e0})" for i, a in enumerate(architecture.BUILTIN) for s0, e0 in a[3]) + ")"
-SEGS = f"asegs AS (SELECT priority, CAST(row_number() OVER (PARTITION BY priority ORDER BY o) - 1 AS INT) AS k, type, s, e FROM (SELECT priority, 0 AS o, 'umi' AS type, us AS s, ue AS e FROM arch WHERE us IS NOT NULL UNION ALL SELECT priority, 1, 'barcode', s, e FROM bcs UNION ALL SELECT priority, 2, 'rpf', rpf_start, CASE WHEN rpf_end > 0 THEN rpf_end ELSE -1 END FROM arch))"
-_add("r13_layout_segments", lambda s, d: architecture.segments(architecture.builtin(s)), f"WITH {ARCH}, {BARCODES}, {SEGS} SELECT priority, k, type, s, e FROM asegs")
-_add("r14_trim_recommendation", lambda s, d: architecture.trim_recommendation(architecture.segments(architecture.builtin(s))), f"WITH {ARCH}, {BARCODES}, {SEGS} SELECT priority, coalesce(min(CASE WHEN type = 'rpf' THEN s END), 0) AS trim5, 0 AS trim3 FROM asegs GROUP BY priority")
+_add("r13_layout_segments", lambda s, d: architecture.segments(_told(s, d)), f"WITH {TOLD}, {TOLD_SEGS} SELECT priority, k, type, s, e FROM tsegs")
+_add("r14_trim_recommendation", lambda s, d: architecture.trim_recommendation(architecture.segments(_told(s, d))), f"WITH {TOLD} SELECT priority, rpf_start AS trim5, 0 AS trim3 FROM told")
 PSEG = "psegs AS (SELECT bin, CAST(row_number() OVER (PARTITION BY bin ORDER BY o) - 1 AS INT) AS k, type, s, e FROM (SELECT bin, 0 AS o, 'umi' AS type, 0 AS s, i AS e FROM best UNION ALL SELECT bin, 1, 'rpf', i, j FROM best UNION ALL SELECT bin, 2, 'adapter', j, n FROM best) WHERE e > s)"
 _add("r15_de_novo_segments", lambda s, d: segment.path_segments(_binned(s, d)), f"{R}, {BINS}, {_paths_sql('bem')}, {PSEG} SELECT bin, k, type, s, e FROM psegs")
 _add("r16_safety_net", lambda s, d: segment.needs_adapter_scan(segment.path_segments(_binned(s, d))), f"{R}, {BINS}, {_paths_sql('bem')}, {PSEG} SELECT bin, count(CASE WHEN type = 'rpf' THEN 1 END) = 0 OR bool_or(k = 0 AND type = 'umi' AND e > 40) AS scan FROM psegs GROUP BY bin")
@@ -407,8 +435,77 @@ _add(
 )
 _add(
     "r21_segment_types",
-    lambda s, d: architecture.segments(architecture.builtin(s)).select("type").distinct().select("type", *[c.alias(n) for c, n in zip(seqspec.segment_types(F.col("type")), ("region_type", "sequence_type"))]),
-    "SELECT * FROM (VALUES ('umi', 'umi', 'random'), ('barcode', 'barcode', 'onlist'), ('rpf', 'cdna', 'joined')) t(type, region_type, sequence_type)",
+    lambda s, d: architecture.segments(_told(s, d)).select("type").distinct().select("type", *[c.alias(n) for c, n in zip(seqspec.segment_types(F.col("type")), ("region_type", "sequence_type"))]),
+    f"WITH {TOLD}, {TOLD_SEGS} SELECT DISTINCT type, CASE type WHEN 'rpf' THEN 'cdna' ELSE type END AS region_type, CASE type WHEN 'umi' THEN 'random' WHEN 'barcode' THEN 'onlist' ELSE 'joined' END AS sequence_type FROM tsegs",
+)
+
+# the decision by length bins, and specifications
+
+DECIDED_BINS = f"""{SG}, {COMP}, {EMIT}, {BINS}, allem AS (SELECT bin, pos, e_umi, e_rpf, e_adapter FROM bem UNION ALL SELECT 0, pos, e_umi, e_rpf, e_adapter FROM em), {_paths_sql('allem')}, {PSEG},
+per_bin AS (SELECT bin, coalesce(max(CASE WHEN type = 'umi' THEN e - s END), 0) AS umi_len, coalesce(max(CASE WHEN type = 'rpf' THEN s END), 0) AS rpf_start FROM psegs WHERE bin > 0 GROUP BY bin),
+ballot AS (SELECT umi_len, rpf_start, count(*) AS votes, min(bin) AS first FROM per_bin GROUP BY ALL), winner AS (SELECT *, (SELECT count(*) FROM per_bin) AS n FROM ballot ORDER BY votes DESC, first LIMIT 1),
+speaks AS (SELECT (SELECT min(bin) FROM per_bin p, winner w WHERE p.umi_len = w.umi_len AND 2 * w.votes > w.n AND (SELECT count(*) FROM (SELECT length(seq) FROM reads GROUP BY 1 HAVING count(*) > 20)) > 1) AS bin)"""
+_add("x01_decided_segments", lambda s, d: segment.decided_segments(segment.scaled_segments(reads(s, d), 20), segment.length_bins(reads(s, d), 20)), f"{DECIDED_BINS} SELECT k, type, s, e, bin FROM psegs WHERE bin = (SELECT coalesce(bin, 0) FROM speaks)")
+
+
+def _specs(spark, d):
+    """YAML texts of the regions, one for each nation, with lines that cleaning drops."""
+    region = lambda r: F.concat(
+        F.lit("- region_id: "), r["region_id"], F.lit("\n  region_type: "), r["kind0"], F.when(r["idx"] == 3, "\n  sequence: ACGTACGT").otherwise(""),
+        F.lit("\n  min_len: "), r["min_len"].cast("string"), F.lit("\n  max_len: "), r["max_len"].cast("string"), F.lit("\n  !!python/none x\n"),
+    )
+    held = _regions(spark, d).groupBy("spec").agg(F.array_sort(F.collect_list(F.struct("idx", "region_id", "kind0", "min_len", "max_len"))).alias("rs"))
+    text = F.concat(F.lit("assay_id: a"), F.col("spec").cast("string"), F.lit("\nkind: !!python/object/apply:x\nsequence_spec:\n"), F.array_join(F.transform("rs", region), ""))
+    return held.select(F.concat(F.lit("f"), F.lpad(F.col("spec").cast("string"), 2, "0"), F.when(F.col("spec") % 2 == 0, ".yaml").otherwise(".yml")).alias("file"), F.when(F.col("spec") == 7, "a: [").otherwise(text).alias("text"))
+
+
+SPECS = f"""{REGIONS}, kinds AS (SELECT *, CASE idx WHEN 0 THEN 'umi' WHEN 1 THEN 'barcode' WHEN 3 THEN 'adapter' WHEN 4 THEN 'unknown' ELSE CASE WHEN kind0 = 'cdna' THEN 'rpf' ELSE 'unknown' END END AS kind, CASE WHEN idx = 3 THEN greatest(min_len, max_len, 8) ELSE max_len END AS n FROM regions WHERE spec <> 7),
+placed AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY spec ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM kinds)"""
+_add("s12_specifications", lambda s, d: specifications.layouts(specifications.parsed(_specs(s, d))).select("priority", "name", "source", F.col("umi")[0]["e"].alias("umi_end"), F.col("barcode")[0]["s"].alias("barcode_start"), F.col("adapters")[0].alias("adapter"), "exp_min", "exp_max"), f"""WITH {SPECS}, per_spec AS (
+SELECT spec, max(CASE WHEN kind = 'umi' THEN start + n END) AS umi_end, max(CASE WHEN kind = 'barcode' THEN start END) AS barcode_start, coalesce(min(CASE WHEN kind = 'rpf' THEN min_len END), 20) AS exp_min, coalesce(max(CASE WHEN kind = 'rpf' THEN max_len END), 40) AS exp_max FROM placed GROUP BY spec)
+SELECT CAST(row_number() OVER (ORDER BY spec % 2, lpad(CAST(spec AS VARCHAR), 2, '0')) - 1 AS INT) AS priority, concat('a', spec) AS name, 'Unknown' AS source, CAST(umi_end AS INT) AS umi_end, CAST(barcode_start AS INT) AS barcode_start, 'ACGTACGT' AS adapter, CAST(exp_min AS INT) AS exp_min, CAST(exp_max AS INT) AS exp_max FROM per_spec""")
+_add("s14_yaml_cleaning", lambda s, d: _regions(s, d).select("spec", "idx", specifications.cleaned_yaml(F.concat(F.lit("a: 1\n  !!tag x\n"), "region_id", F.lit("\nb: !!python/object/apply:z\nc"))).alias("text")), f"WITH {REGIONS} SELECT spec, CAST(idx AS INT) AS idx, concat('a: 1', chr(10), region_id, chr(10), 'c') AS text FROM regions")
+_add(
+    "s21_aligner_input",
+    lambda s, d: aligner.aligner_input(reads(s, d).select("ordinal", F.col("read_id").cast("string").alias("header"), "seq", "cnt"), "collapsed", 2000).unionByName(aligner.aligner_input(reads(s, d).select("ordinal", F.col("read_id").cast("string").alias("header"), "seq", "qual"), "fastq").where("ordinal % 10 = 0")),
+    f"{R} (SELECT ordinal, concat('@', read_id, '_copy_', copy) AS header, seq, repeat('I', length(seq)) AS qual FROM reads, unnest(range(1, cnt + 1)) t(copy) ORDER BY ordinal, copy LIMIT 2000) UNION ALL SELECT ordinal, concat('@', read_id), seq, qual FROM reads WHERE ordinal % 10 = 0",
+)
+
+
+def _consensus_sql(pieces: str, key: str) -> str:
+    """CTE agreed (key, consensus) of the CTE ``pieces`` (key, ordinal, seq)."""
+    return f"""cper AS (SELECT {key}, count(*) AS n, count(DISTINCT seq) AS kinds, arg_min(seq, ordinal) AS first FROM {pieces} GROUP BY {key}),
+cb AS (SELECT {key}, i, substr(seq, CAST(i AS INT), 1) AS b, count(*) AS m, min(ordinal) AS seen FROM {pieces}, unnest(range(1, length(seq) + 1)) t(i) GROUP BY ALL),
+ct AS (SELECT {key}, i, b, m, sum(m) OVER (PARTITION BY {key}, i) AS total FROM cb QUALIFY row_number() OVER (PARTITION BY {key}, i ORDER BY m DESC, seen) = 1),
+cl AS (SELECT {key}, string_agg(CASE WHEN m / CAST(total AS DOUBLE) > 0.7e0 THEN b ELSE 'N' END, '' ORDER BY i) AS letters FROM ct JOIN cper USING ({key}) WHERE i <= length(first) GROUP BY {key}),
+agreed AS (SELECT {key}, CASE WHEN kinds = 1 THEN first WHEN kinds / CAST(n AS DOUBLE) > 0.8e0 THEN repeat('N', length(first)) ELSE letters END AS consensus FROM cper JOIN cl USING ({key}))"""
+
+
+HEAD = "heads AS (SELECT ordinal, seq FROM reads ORDER BY ordinal LIMIT 50)"
+_add(
+    "g02_layout_regions",
+    lambda s, d: seqspec.layout_regions(_told(s, d), reads(s, d)),
+    f"""{R}, {TOLD}, {HEAD}, ranges AS (SELECT priority, 0 AS o, 'umi' AS kind, 0 AS s, u AS e FROM told WHERE u IS NOT NULL UNION ALL SELECT priority, 1, 'barcode', b0, b0 + 3 FROM told WHERE b0 IS NOT NULL),
+gp AS (SELECT priority * 10 + o AS k, ordinal, substr(seq, s + 1, e - s) AS seq FROM heads, ranges WHERE e <= length(seq)), {_consensus_sql("gp", "k")}, every_one AS (
+SELECT priority, o, concat(kind, '_1') AS region_id, kind AS region_type, CASE WHEN kind = 'umi' OR consensus IS NULL THEN 'random' ELSE 'onlist' END AS sequence_type, CASE kind WHEN 'umi' THEN 'UMI 1' ELSE 'Sample Barcode 1' END AS name, CASE kind WHEN 'umi' THEN coalesce(consensus, repeat('N', e - s)) ELSE consensus END AS sequence, e - s AS min_len, e - s AS max_len FROM ranges LEFT JOIN agreed ON k = priority * 10 + o
+UNION ALL SELECT priority, 2, 'adapter_1', CASE WHEN contains(adapter, 'AGATCGG') THEN 'illumina_p7' ELSE 'custom_primer' END, 'fixed', 'Adapter 1', adapter, length(adapter), length(adapter) FROM told
+UNION ALL SELECT priority, 3, 'rpf_sequence', 'cdna', 'joined', 'Ribosome Protected Fragment', NULL, 20, CAST(30 + priority % 9 AS INT) FROM told)
+SELECT priority, CAST(row_number() OVER (PARTITION BY priority ORDER BY o) - 1 AS INT) AS idx, region_id, region_type, sequence_type, name, sequence, CAST(min_len AS INT) AS min_len, CAST(max_len AS INT) AS max_len FROM every_one""",
+)
+_add(
+    "g03_segment_regions",
+    lambda s, d: seqspec.segment_regions(segment.path_segments(_binned(s, d)), reads(s, d)),
+    f"""{R}, {BINS}, {_paths_sql('bem')}, {PSEG}, {HEAD}, gp AS (SELECT bin * 10 + k AS q, ordinal, substr(seq, CAST(s AS INT) + 1, CAST(e - s AS INT)) AS seq FROM heads, psegs WHERE e <= length(seq)), {_consensus_sql("gp", "q")}
+SELECT bin, k AS idx, concat_ws('_', type, s, e) AS region_id, CASE type WHEN 'rpf' THEN 'cdna' WHEN 'adapter' THEN 'illumina_p7' ELSE type END AS region_type, CASE type WHEN 'rpf' THEN 'joined' WHEN 'adapter' THEN 'fixed' ELSE 'random' END AS sequence_type,
+CASE type WHEN 'rpf' THEN 'Rpf' WHEN 'umi' THEN 'Umi' ELSE 'Adapter' END || ' region (' || s || '-' || e || ')' AS name, consensus AS sequence, CAST(e - s AS INT) AS min_len, CAST(e - s AS INT) AS max_len FROM psegs LEFT JOIN agreed ON q = bin * 10 + k""",
+)
+_add(
+    "g04_header_regions",
+    lambda s, d: seqspec.header_regions(_annotated(s, d).select("ordinal", "header"), reads(s, d)).select("region_id", "region_type", "sequence", "min_len", "max_len", "occurrences"),
+    f"""{AN}, {ELEMENTS}, {TYPES}, first_hundred AS (SELECT ordinal, seq FROM annotated ORDER BY ordinal LIMIT 100),
+starts AS (SELECT e.ordinal, idx, element, n, coalesce(sum(n) OVER (PARTITION BY e.ordinal ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM els e JOIN first_hundred USING (ordinal)),
+gp AS (SELECT element, n, s.ordinal, substr(seq, CAST(start + 1 AS INT), n) AS seq FROM starts s JOIN first_hundred USING (ordinal) WHERE start + n <= length(seq)), full_gp AS (SELECT * FROM gp WHERE seq <> ''), {_consensus_sql("full_gp", "element")}
+SELECT concat('region_', element) AS region_id, coalesce(any_value(region_type), 'unknown') AS region_type, any_value(consensus) AS sequence, min(n) AS min_len, max(n) AS max_len, count(*) AS occurrences FROM gp LEFT JOIN agreed USING (element) LEFT JOIN types USING (element) GROUP BY element""",
 )
 
 # whole extraction

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import csv
 import html
+import io
 import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from readloom.functions.sequence import BASES
 from readloom.operators import adapters, qc
@@ -39,28 +42,36 @@ def adapter_report(reads: DataFrame, adapter: str, min_overlap: int = 10, max_mi
     rate = adapters.match_summary(reads, adapter, min_overlap, max_mismatches).first().rate
     out = [f"Adapter: {adapter}", f"Contamination rate: {rate:.2f}%", "", "Positions"]
     out += [f"{r.pos}\t{r.n}" for r in adapters.histogram(found, "pos").orderBy("pos").collect()]
+    out += ["", "Match lengths"]
+    out += [f"{r.len}\t{r.n}" for r in adapters.histogram(found.withColumn("len", F.length("variant")), "len").orderBy("len").collect()]
     out += ["", "Variants"]
     variants = adapters.histogram(found, "variant").orderBy("n", "variant", ascending=[False, True])
     return "\n".join(out + [f"{r.variant}\t{r.n}" for r in variants.collect()]) + "\n"
 
 
-def as_json(row) -> str:
-    return json.dumps(row.asDict(recursive=True), indent=2, ensure_ascii=False)
+def _plain(held) -> dict:
+    return held if isinstance(held, dict) else held.asDict(recursive=True)
 
 
-def as_csv(row) -> str:
+def as_json(held) -> str:
+    """Of a row or a dict."""
+    return json.dumps(_plain(held), indent=2, ensure_ascii=False)
+
+
+def as_csv(held) -> str:
     """A line for each value; nested ones under ``key_subkey``."""
-    out = []
-    for key, value in row.asDict(recursive=True).items():
-        out += [f"{key}_{k},{v}" for k, v in value.items()] if isinstance(value, dict) else [f"{key},{value}"]
-    return "\n".join(out) + "\n"
+    out = io.StringIO()
+    lines = csv.writer(out, lineterminator="\n")
+    for key, value in _plain(held).items():
+        lines.writerows([[f"{key}_{k}", v] for k, v in value.items()] if isinstance(value, dict) else [[key, value]])
+    return out.getvalue()
 
 
-def write_report(row, path: str, kind: str = "json") -> None:
+def write_report(held, path: str, kind: str = "json") -> None:
     if kind not in ("json", "csv"):
         raise ValueError(f"format must be json or csv, not {kind!r}")
     with open(path, "w") as out:
-        out.write(as_json(row) if kind == "json" else as_csv(row))
+        out.write(as_json(held) if kind == "json" else as_csv(held))
 
 
 def sparkline(values: Sequence[float]) -> str:

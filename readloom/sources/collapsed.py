@@ -14,6 +14,13 @@ def with_counts(records: DataFrame, template: str = "read_{id}_{count}") -> Data
     return counted.groupBy("header").agg(F.min("ordinal").alias("ordinal"), F.max_by(F.struct("seq", "cnt"), "ordinal").alias("x")).select("ordinal", "header", "x.seq", "x.cnt")
 
 
+def head(records: DataFrame, n: int) -> DataFrame:
+    """The records before the n-th: a cap of n ends the reading when the n-th header is met, before its sequence. All, if there are fewer."""
+    first = records.orderBy("ordinal").limit(n)
+    met = first.agg(F.count(F.lit(1)).alias("_met"), F.max("ordinal").alias("_last"))
+    return first.join(F.broadcast(met)).where((F.col("_met") < n) | (F.col("ordinal") < F.col("_last"))).drop("_met", "_last")  # one row
+
+
 def join_counts(sequences: DataFrame, counts: DataFrame) -> DataFrame:
     """Sequences with their counts by header, 1 where there is none."""
     return sequences.join(counts, "header", "left").withColumn("cnt", F.coalesce("cnt", F.lit(1)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from readloom import cli
 from readloom.functions import sequence as fn
-from readloom.operators import adapters, alignment, architecture, checks, extract, qc, segment, seqspec, signals
+from readloom.operators import adapters, alignment, architecture, checks, extract, qc, segment, signals
 from readloom.plans import report
 from readloom.sources import collapsed, sequence_files
 from readloom.streaming import qc as stream_qc
@@ -111,8 +111,6 @@ def test_cli(spark, tmp_path):
 def test_reports_and_documents(spark):
     assert report.sparkline([]) == "" and len(report.sparkline([1.0, 1.0])) == 2
     assert "Variable / End" in report.html_report("x", [("rpf", 0, -1)], [0.0, 0.0]) and report.segment_label("a", 1, -3).endswith("Unknown")
-    spec = seqspec.document_from_segments("p", [("umi", 0, 5), ("rpf", 5, -1)], 35, "2024-01-01")
-    assert [r["region_type"] for r in spec["library_spec"][0]["regions"]] == ["umi", "cdna"] and "assay_id: \"p\"" in seqspec.to_yaml(spec)
     assert extract.extract(make(spark, ["A" * 30, "C" * 22]), 3, limit=0).count() == 0
     assert alignment.global_consensus(spark.createDataFrame([], "read_len int, n_reads long, trim5 int, trim3 int")).first().detected is False
 
