@@ -1,8 +1,10 @@
 """Sequence files as a PySpark Python data source: FASTQ, FASTA and collapsed FASTA, plain, gzip or bzip2.
 
-``spark.read.format("sequences").option("format", "fastq").load(path)`` plans one partition for each file and yields
-(file, ordinal, read_id, seq, qual). Records have no reliable separator to split a file at (``@`` may start a quality
-line), so files are the unit of parallelism; write the result as Parquet once, and later scans split, prune and push down.
+``spark.read.format("sequences").option("format", "fastq").load(path)`` yields (file, ordinal, read_id, seq, qual), the
+ordinal growing with the place in the file. Plain FASTQ files of over ``SPLIT_BYTES`` are read in ranges of that size: a range
+begins with the first header in it, a line that starts with ``@`` two lines above one that starts with ``+`` (a quality line
+may start with ``@``, but the line two below it is a sequence), and ordinals are byte offsets there. Other files are a
+partition each; write the result as Parquet once, and later scans split, prune and push down.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 SCHEMA = "file string, ordinal long, read_id string, seq string, qual string"
 FORMATS = ("fastq", "fasta", "collapsed")
 BATCH_ROWS = 8192
+SPLIT_BYTES = 64 << 20
 
 
 def check_format(kind: str) -> str:
@@ -75,9 +78,37 @@ def fasta(lines: Iterator[str]) -> Iterator[tuple[str, str, str | None]]:
         yield header, "".join(parts), None
 
 
+def first_header(held, start: int) -> int:
+    """The offset of the first FASTQ header at or after ``start`` in a binary file; its size if there is none."""
+    held.seek(max(0, start - 1))
+    at = start if not start else start - 1 + len(held.readline())  # a line that begins before is another range's
+    lines: list[tuple[int, bytes]] = []
+    while line := held.readline():
+        lines.append((at, line))
+        at += len(line)
+        if len(lines) >= 3 and lines[-3][1].startswith(b"@") and line.startswith(b"+"):
+            return lines[-3][0]
+    return at
+
+
+def fastq_range(held, start: int, end: int, strict: bool = False) -> Iterator[tuple[int, str, str, str]]:
+    """(offset, read_id, seq, qual) of the records whose headers begin from ``start`` to before ``end``."""
+    at = first_header(held, start)
+    held.seek(at)
+    while at < end:
+        raw = [held.readline() for _ in range(4)]
+        for record in fastq(iter([x.decode() for x in raw]), strict):
+            yield at, *record
+        at += sum(map(len, raw))
+        if not raw[0].strip():
+            return
+
+
 @dataclass
 class File(InputPartition):
     path: str
+    start: int = 0
+    end: int = -1
 
 
 class SequenceReader(DataSourceReader):
@@ -91,14 +122,22 @@ class SequenceReader(DataSourceReader):
             raise FileNotFoundError(self.path)
         for path in paths:
             check_readable(path)
-        return [File(p) for p in paths]
+        out = []
+        for path in paths:
+            size = os.path.getsize(path)
+            whole = self.kind != "fastq" or self.limit >= 0 or path.endswith((".gz", ".bz2")) or size <= SPLIT_BYTES
+            out += [File(path)] if whole else [File(path, a, min(size, a + SPLIT_BYTES)) for a in range(0, size, SPLIT_BYTES)]
+        return out
 
     def read(self, partition: File) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in SCHEMA.split(", ")]
-        with open_text(partition.path) as lines:
-            records = fastq(lines, self.strict) if self.kind == "fastq" else fasta(lines)
-            records = enumerate(records if self.limit < 0 else islice(records, self.limit))
-            while rows := [(partition.path, i, *r) for i, r in islice(records, BATCH_ROWS)]:
+        with open_text(partition.path) if partition.end < 0 else open(partition.path, "rb") as held:
+            if partition.end < 0:
+                records = fastq(held, self.strict) if self.kind == "fastq" else fasta(held)
+                records = ((i, *r) for i, r in enumerate(records if self.limit < 0 else islice(records, self.limit)))
+            else:
+                records = fastq_range(held, partition.start, partition.end, self.strict)
+            while rows := [(partition.path, *r) for r in islice(records, BATCH_ROWS)]:
                 types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], names)
 

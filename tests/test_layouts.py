@@ -178,6 +178,20 @@ def test_check_suite_reads_twice(spark, tmp_path):
     assert one.total == 50 and one.fraction == 1.0 and one.mode == 30 and abs(100 * one.gc - qc.gc_summary(reads).first().gc_pct) < 1e-9
 
 
+def test_ranges_of_a_file(tmp_path, monkeypatch):
+    """Every record comes once and in order, wherever ranges cut, with quality lines that look like headers."""
+    rng = random.Random(6)
+    want = [(f"r{i} x@y", "".join(rng.choices("ACGT", k=n)), "".join(rng.choices("@+I#", k=n))) for i, n in enumerate(rng.choices(range(1, 40), k=80))]
+    path = tmp_path / "x.fastq"
+    path.write_text("".join(f"@{i}\n{s}\n+\n{q}\n" for i, s, q in want))
+    for size in (1, 7, 50, 333, 10**6):
+        monkeypatch.setattr(sequence_files, "SPLIT_BYTES", size)
+        reader = sequence_files.SequenceReader({"path": str(path)})
+        parts = reader.partitions()
+        got = [r for p in parts for b in reader.read(p) for r in zip(*(c.to_pylist() for c in b.columns))]
+        assert [r[2:] for r in got] == want and [r[1] for r in got] == sorted(r[1] for r in got) and len(parts) == max(1, -(-path.stat().st_size // size))
+
+
 def test_strict_and_layout_files(spark, tmp_path):
     (tmp_path / "x.fastq").write_text("@a\nACGT\n+\nIII\n")
     with pytest.raises(Exception, match="malformed"):
