@@ -48,7 +48,7 @@ def _known(layouts: DataFrame, best) -> Decision:
 
 def decide(reads: DataFrame, layouts: DataFrame, min_bin: int = segment.MIN_BIN) -> Decision:
     """Raises ValueError for reads that tell nothing, such as none of ``signals.MIN_LENGTH`` bases."""
-    parts = signals.composition(reads)
+    parts = signals.gathered(signals.composition(reads))
     best = architecture.best_match(architecture.evaluate(layouts, parts, signals.entropy(parts))).first()
     if best:
         return _known(layouts, best)

@@ -70,11 +70,11 @@ def length_bins(reads: DataFrame, min_bin: int = MIN_BIN) -> DataFrame:
 
 
 def bin_entropies(reads: DataFrame, min_bin: int = MIN_BIN) -> DataFrame:
-    """(bin, pos, h, max_freq) from the 5' end for each length bin, of one scan."""
-    bins = F.broadcast(length_bins(reads, min_bin).select("len"))  # a row for each length
-    held = signals.usable(reads).withColumn("len", F.length("seq")).join(bins, "len")
-    counted = held.select(F.col("len").alias("bin"), F.posexplode(F.split("seq", "")).alias("pos", "symbol")).groupBy("bin", "pos", "symbol").agg(F.count(F.lit(1)).alias("n"))
-    parts = counted.withColumn("freq", F.col("n") / F.sum("n").over(Window.partitionBy("bin", "pos")))
+    """(bin, pos, h, max_freq) from the 5' end for each length bin, of one scan: as all reads of a bin reach each of its places, what is counted there tells the bin's size."""
+    held = signals.usable(reads).select(F.length("seq").alias("bin"), F.posexplode(F.split("seq", "")).alias("pos", "symbol"))
+    counted = held.groupBy("bin", "pos", "symbol").agg(F.count(F.lit(1)).alias("n"))
+    parts = counted.withColumn("size", F.sum("n").over(Window.partitionBy("bin", "pos"))).where(F.col("size") > min_bin)
+    parts = parts.withColumn("freq", F.col("n") / F.col("size"))
     return parts.groupBy("bin", "pos").agg(F.sum(-F.col("freq") * F.log2("freq")).alias("h"), F.max("freq").alias("max_freq"))
 
 

@@ -33,6 +33,11 @@ def composition(reads: DataFrame) -> DataFrame:
     return counted.withColumn("freq", F.col("n") / F.sum("n").over(Window.partitionBy("end", "pos")))
 
 
+def gathered(parts: DataFrame) -> DataFrame:
+    """``parts``, whose rows are as many as places times symbols, computed now and once, for those that read it several times."""
+    return parts.sparkSession.createDataFrame(parts.collect(), parts.schema)
+
+
 def entropy(parts: DataFrame) -> DataFrame:
     """(end, pos, h, max_freq) of ``composition``."""
     return parts.groupBy("end", "pos").agg(F.sum(-F.col("freq") * F.log2("freq")).alias("h"), F.max("freq").alias("max_freq"))

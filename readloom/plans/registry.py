@@ -330,7 +330,7 @@ FE = f"{FS}, {FOOT}, {UMI}, {EVAL}"
 
 
 def _evaluated(s, d):
-    parts = _framed_parts(s, d)
+    parts = signals.gathered(_framed_parts(s, d))
     return architecture.evaluate(architecture.builtin(s), parts, signals.entropy(parts))
 
 
@@ -514,7 +514,7 @@ SELECT concat('region_', element) AS region_id, coalesce(any_value(region_type),
 def extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fragments of framed reads: the layout is matched on the signals, its RPF start sliced, adapters cut, short ones dropped."""
     source = framed_reads(spark, sf_dir)
-    parts = signals.composition(source)
+    parts = signals.gathered(signals.composition(source))
     layouts = architecture.builtin(spark)
     found = architecture.best_match(architecture.evaluate(layouts, parts, signals.entropy(parts))).select("priority")
     start = layouts.join(found, "priority").select("rpf_start")
