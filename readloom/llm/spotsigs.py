@@ -104,15 +104,20 @@ def similar_pairs(documents: DataFrame, threshold: float = 0.75, growth: float =
     sets = with_signatures(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).select("doc_id", "signatures")
     sets = sets.withColumn("fingerprint", F.concat_ws("", "signatures"))
     classes = sets.where(F.size("signatures") > 0).groupBy("fingerprint").agg(F.any_value("signatures").alias("s"))
+    classes = classes.withColumns({"class": F.unhex(F.md5("fingerprint")), "n": F.size("s")})
     part = lambda n: F.floor(F.log(n) / math.log(growth)).cast("int")
-    n = F.size("s")
-    probes = classes.select("fingerprint", "s", F.explode(F.slice("s", F.lit(1), (n - F.ceil(threshold * n - 1e-9) + 1).cast("int"))).alias("signature"))
-    home = probes.select(F.col("fingerprint").alias("right"), F.col("s").alias("t"), "signature", part(F.size("s")).alias("part"))
+    n = F.col("n")
+    # probes carry a class's name and length, not its set; sets go to the pairs that lengths and a signature leave
+    probes = classes.select("class", "n", F.explode(F.slice("s", F.lit(1), (n - F.ceil(threshold * n - 1e-9) + 1).cast("int"))).alias("signature"))
+    home = probes.select(F.col("class").alias("other"), F.col("n").alias("m"), "signature", part(n).alias("part"))
     # the shorter set visits its own partition and the longer ones in reach
-    roam = probes.withColumn("part", F.explode(F.sequence(part(F.size("s")), part(F.floor(F.size("s") / threshold + 1e-9)))))
-    met = roam.join(home, ["part", "signature"]).where((F.size("s") < F.size("t")) | ((F.size("s") == F.size("t")) & (F.col("fingerprint") < F.col("right"))))
-    met = met.withColumn("likeness", likeness("s", "t", threshold)).where(F.col("likeness") >= threshold)
-    pairs = met.select(F.least("fingerprint", "right").alias("left"), F.greatest("fingerprint", "right").alias("right"), "likeness").distinct()
+    roam = probes.withColumn("part", F.explode(F.sequence(part(n), part(F.floor(n / threshold + 1e-9)))))
+    longer = (n < F.col("m")) | ((n == F.col("m")) & (F.col("class") < F.col("other")))
+    met = roam.join(home, ["part", "signature"]).where(longer & (n >= threshold * F.col("m") - 1e-9)).select("class", "other").distinct()
+    one = classes.select("class", F.col("fingerprint").alias("f"), "s")
+    two = classes.select(F.col("class").alias("other"), F.col("fingerprint").alias("g"), F.col("s").alias("t"))
+    found = met.join(one, "class").join(two, "other").withColumn("likeness", likeness("s", "t", threshold)).where(F.col("likeness") >= threshold)
+    pairs = found.select(F.least("f", "g").alias("left"), F.greatest("f", "g").alias("right"), "likeness")
     return pairs, sets.select("doc_id", "fingerprint")
 
 

@@ -119,6 +119,20 @@ def test_similar_pairs_by_brute_force(spark):
     assert {(r.left, r.right) for r in pairs.collect()} == want and want and members.count() == len(texts)
 
 
+def test_fingerprints_of_odd_tables(spark):
+    """Ids that tie or are null, repeated rows, names of our own columns, a very long text, no rows."""
+    long = "the cat of dogs is red " * 40_000
+    rows = [(2, "the b c d", 1, "x"), (2, "the a c d", 2, "y"), (None, long, 3, None), (2, "the a c d", 2, "y"), (None, None, 4, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key int, signatures string")
+    found = spotsigs.with_next(docs).select("doc_id", "text", "next_text", "signatures").collect()
+    order = ["", long, "the a c d", "the a c d", "the b c d"]
+    assert sorted((r.text, r.next_text) for r in found) == sorted(zip(order, order[1:] + order[:1]))
+    assert all(r.signatures == sorted(fingerprint(r.text)) for r in found)
+    pairs, members = spotsigs.similar_pairs(docs)
+    assert pairs.count() == 0 and sorted(r.fingerprint for r in members.collect()) == sorted("".join(sorted(fingerprint(t))) for t in order)
+    assert spotsigs.with_next(docs.limit(0)).count() == 0 and spotsigs.similar_pairs(docs.limit(0))[0].count() == 0
+
+
 def test_license_scan(spark):
     mit = license_scan.KNOWN[0][1]
     rows = [(1, mit), (2, "Copyright (c) 2020 X\n\n" + mit.upper().replace("COPYRIGHT HOLDERS", "Copyright Owners").replace(",", " ,") + "\n"), (3, "text\nLicensed under CC BY-NC 4.0.\nreleased under the MIT Licence!"), (4, None), (5, "")]

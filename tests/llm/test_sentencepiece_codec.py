@@ -38,4 +38,5 @@ def test_query_columns(spark, encoder):
         ids = encoder.library.encode(t)
         want.add((i, len(ids), sha(",".join(map(str, ids))), sha(encoder.library.decode(ids) if ids else "")))
     assert found == want
+    assert codec.digests(docs.limit(0)).count() == 0
     assert {r.doc_id: list(r.ids) for r in codec.encode_ids(docs).collect()}[3] == encoder.library.encode("x")
