@@ -124,16 +124,14 @@ def _counts(length: int, gram: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = _Minimizers(length, gram)
         for batch in slices(batches):
-            keys, digests, cores, sizes = [], [], [], []
+            keys, digests, cores = [], [], []
             for text in batch.column(0).to_pylist():
                 data = (text or "").encode()
                 for key, first, last, place in find.runs(data):
                     keys.append(key)
                     digests.append(xxhash.xxh3_128_digest(data[_windows(length, first, last)]))
-                    own = _cores(length, block, data, first, last, place)
-                    cores.append([c for c, _, _ in own])
-                    sizes.append(sum(b - a + length for _, a, b in own))  # what its blocks take when they meet those of the key
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(digests, pa.binary()), pa.array(cores, pa.list_(pa.int64())), pa.array(sizes, pa.int32())], ["key", "digest", "cores", "bytes"])
+                    cores.append([c for c, _, _ in _cores(length, block, data, first, last, place)])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(digests, pa.binary()), pa.array(cores, pa.list_(pa.int64()))], ["key", "digest", "cores"])
 
     return run
 
@@ -352,23 +350,25 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     reads is a table in the shared folder; those made on the way are removed."""
     spark, block = documents.sparkSession, max(1, length // CORE_SHARE)
     texts = documents.select("text")
-    seen = texts.mapInArrow(_counts(length, gram, block), "key long, digest binary, cores array<long>, bytes int").groupBy("key", "digest", "cores", "bytes").agg(F.count(F.lit(1)).alias("n"))
+    seen = texts.mapInArrow(_counts(length, gram, block), "key long, digest binary, cores array<long>").groupBy("key", "digest", "cores").agg(F.count(F.lit(1)).alias("n"))
     keys_at, seen_at, found_at, extra_at = (scratch_path(spark, f"suffix-{x}") for x in ("keys", "digests", "contexts", "spans"))
     seen.write.parquet(seen_at)
     seen = spark.read.parquet(seen_at)
     free_shuffles(spark)
-    seen.groupBy("key").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).where("n > 1").write.parquet(keys_at)
+    seen.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").write.parquet(keys_at)
     per_key = spark.read.parquet(keys_at)
     share = spark.sparkContext.broadcast
     cores_at = scratch_path(spark, "suffix-cores")
-    cores = seen.select(F.explode("cores").alias("core")).groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    cores.select("core").write.parquet(cores_at)
-    several, bits = _bit_filter(spark.read.parquet(cores_at), "core")
+    cores = seen.select("key", F.explode("cores").alias("core")).groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key")).where("n > 1")
+    cores.write.parquet(cores_at)
+    cores = spark.read.schema("core long, n long, key long").parquet(cores_at)
+    several, bits = _bit_filter(cores, "core")
     free_shuffles(spark)
     words = _packing_words(texts)
     # contexts go from the scan into one shuffle
     shown = texts.mapInArrow(_found(length, gram, block, _Shared(share(several), bits), words), _CONTEXTS)
-    hot_keys = per_key.where(F.col("bytes") > hot_bytes).select("key")  # one for each hot_bytes of contexts at most
+    # blocks of repeated cores are what meets under a key; one key for each hot_bytes of them at most
+    hot_keys = cores.groupBy("key").agg((F.sum("n") * (block - 1 + length)).alias("bytes")).where(F.col("bytes") > hot_bytes).select("key")
     n_hot = hot_keys.count()
     hot_keys = F.broadcast(hot_keys) if n_hot <= MAX_BROADCAST_KEYS else hot_keys
     cool = shown.join(hot_keys, "key", "left_anti") if n_hot else shown
