@@ -403,7 +403,7 @@ def classes(documents: DataFrame, words: int = WORDS, threshold: int = THRESHOLD
 
     lists.select("shingle", "group", "left").join(kinds.select("group", "set_key", "n"), "group").drop("group").write.option("compression", "zstd").parquet(rows_at)
     remove(spark, lists_at)
-    open_lists = _open_lists(spark, rows_at, of)
+    open_lists = _open_lists(spark.read.schema("shingle long, left int, set_key binary, n int").parquet(rows_at), of)
     for turn in range(MAX_ROUNDS):
         # the classes of other components than that of the one drawn from the list meet it
         draw = F.xxhash64("set_key", "shingle", F.lit(turn))
@@ -415,7 +415,9 @@ def classes(documents: DataFrame, words: int = WORDS, threshold: int = THRESHOLD
         if not parts:
             break
         of, gained = _contracted(spark, of, *_links(documents, kinds, pairs, words, threshold))
-        open_lists = _open_lists(spark, rows_at, of)
+        open_lists = _open_lists(open_lists.drop("part"), of)
+        del pairs, hubs
+        free_shuffles(spark)
         if gained * ROUND_GAIN < parts:
             break
     per_part = open_lists.groupBy("shingle", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("left").alias("rest"))
@@ -440,9 +442,8 @@ def _contracted(spark: SparkSession, of: DataFrame, links: DataFrame, scratch: l
     return checkpointed(of.join(last.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("set_key", F.coalesce("top", "root").alias("root"))), last.count()
 
 
-def _open_lists(spark: SparkSession, rows_at: str, of: DataFrame) -> DataFrame:
-    """(shingle, set_key, n, left, part) of the lists that hold several components; the others leave the table for good."""
-    rows = spark.read.schema("shingle long, left int, set_key binary, n int").parquet(rows_at)
+def _open_lists(rows: DataFrame, of: DataFrame) -> DataFrame:
+    """(shingle, set_key, n, left, part) of the lists that hold several components. The others stay as they are from then on, and leave."""
     held = rows.join(of.select("set_key", F.xxhash64("root").alias("part")), "set_key")
     mixed = held.groupBy("shingle").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("shingle")
     return checkpointed(held.join(mixed, "shingle"))
