@@ -101,9 +101,10 @@ def similar_pairs(documents: DataFrame, threshold: float = 0.75, growth: float =
     ``growth``; a set meets those partitions that hold lengths within the threshold. It is looked up there by the least
     ``n - ceil(threshold n) + 1`` of its signatures, of which two sets over the threshold share one.
     """
-    sets = with_signatures(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).select("doc_id", "signatures")
+    sets = with_signatures(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     sets = sets.withColumn("fingerprint", F.concat_ws("", "signatures"))
-    classes = sets.where(F.size("signatures") > 0).groupBy("fingerprint").agg(F.any_value("signatures").alias("s"))
+    # empty texts alone have no signatures; a filter on these would be pushed below and derive them anew for each word
+    classes = sets.where(F.length("text") > 0).groupBy("fingerprint").agg(F.any_value("signatures").alias("s"))
     classes = classes.withColumns({"class": F.unhex(F.md5("fingerprint")), "n": F.size("s")})
     part = lambda n: F.floor(F.log(n) / math.log(growth)).cast("int")
     n = F.col("n")
