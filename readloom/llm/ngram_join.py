@@ -13,8 +13,10 @@ make one shingle). What is asked for is the class of each document, its componen
 4. Each group is paired with the first of its lists, and each class with the first of its group; what links is joined into
    components. In rounds, the classes of each list that still holds several components meet a newly drawn one of them, till
    a round joins few. Then the pairs of components that a list holds are formed, filtered by size and place, and expanded
-   to their classes in the list. Pairs within a component need no look, so a group of thousands of near copies costs a
-   check each, not each pair, and no link between components is missed.
+   to their classes in the list, the smaller component first, each class against the bounds of the other component. The
+   join with the classes of the larger one, in shares of ``SHARE``, looks at a parity sketch of ``SKETCH_WORDS`` words
+   too, so that a pair it tells apart never becomes a row. Pairs within a component need no look, so a group of thousands
+   of near copies costs a check each, not each pair, and no link between components is missed.
 5. Pairs are verified in two steps. Each class has a parity bitmap of twice as many bits as shingles: two sets differ in as
    many shingles at least as their bitmaps in bits, which tells most pairs apart without their sets. For the rest, a
    class's set goes once to each of its partners, in shares of ``SHARE`` for classes with many.
@@ -28,6 +30,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +47,7 @@ THRESHOLD = 75
 SKETCH_BITS = 20
 BLOCK_BITS = 14
 SHARE = 1_000
+SKETCH_WORDS = 8
 MAX_ROUNDS = 8
 ROUND_GAIN = 100
 LIST_ROWS = 1 << 16
@@ -151,8 +156,8 @@ def _ranks(texts: DataFrame, words: int) -> np.ndarray:
 
 
 def bitmap(own: np.ndarray) -> bytes:
-    """Parity by place: of 2^k bits, twice the shingles or more, each is flipped by those whose low k bits name it."""
-    k = max(6, (2 * len(own) - 1).bit_length())
+    """Parity by place: of 2^k bits, twice the shingles and ``SKETCH_WORDS`` words or more, each is flipped by those whose low k bits name it."""
+    k = (max(64 * SKETCH_WORDS, 2 * len(own)) - 1).bit_length()
     flips = np.bincount((own & np.uint64((1 << k) - 1)).astype(np.int64), minlength=1 << k)
     return np.packbits((flips & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -160,11 +165,24 @@ def bitmap(own: np.ndarray) -> bytes:
 def least_difference(a: bytes, b: bytes) -> int:
     """In how many bits two bitmaps differ; the longer one is folded to the length of the other."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    while len(x) > len(y):
+    return int(np.bitwise_count(folded(x, len(y)) ^ folded(y, len(x))).sum())
+
+
+def folded(x: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap by fewer places, of ``words`` words at most."""
+    while len(x) > words:
         x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+    return x
+
+
+_SKETCHES = ", ".join(f"s{i} long" for i in range(SKETCH_WORDS))
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(set_key, s0, ...) of (set_key, bits)."""
+    for batch in slices(batches, 4096):
+        found = np.stack([folded(np.frombuffer(x, np.int64), SKETCH_WORDS) for x in batch.column(1).to_pylist()])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in found.T)], ["set_key", *(x.split()[0] for x in _SKETCHES.split(", "))])
 
 
 _LISTS = "shingle long, group long, left int, hub long, hub_left int"
@@ -420,14 +438,7 @@ def classes(documents: DataFrame, words: int = WORDS, threshold: int = THRESHOLD
         free_shuffles(spark)
         if gained * ROUND_GAIN < parts:
             break
-    per_part = open_lists.groupBy("shingle", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("left").alias("rest"))
-    other = per_part.select("shingle", F.col("part").alias("other"), F.col("least").alias("least2"), F.col("most").alias("most2"), F.col("rest").alias("rest2"))
-    met = per_part.join(other, "shingle").where((F.col("part") < F.col("other")) & (100 * F.col("most") >= threshold * F.col("least2")) & (100 * F.col("most2") >= threshold * F.col("least")) & _reachable(F.least("rest", "rest2"), "least", "least2", threshold))
-    met = met.select("shingle", "part", "other")
-    one = open_lists.select("shingle", "part", F.col("set_key").alias("x"), F.col("n").alias("n1"), F.col("left").alias("l1"))
-    two = open_lists.select("shingle", F.col("part").alias("other"), F.col("set_key").alias("y"), F.col("n").alias("n2"), F.col("left").alias("l2"))
-    pairs = met.join(one, ["shingle", "part"]).join(two, ["shingle", "other"]).where(_reachable(F.least("l1", "l2"), "n1", "n2", threshold))
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = _left_pairs(open_lists, kinds, threshold)
     final, _ = _contracted(spark, of, *_links(documents, kinds, pairs, words, threshold))
     for path in (kinds_at, rows_at):
         remove(spark, path)
@@ -442,6 +453,27 @@ def _contracted(spark: SparkSession, of: DataFrame, links: DataFrame, scratch: l
     return checkpointed(of.join(last.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("set_key", F.coalesce("top", "root").alias("root"))), last.count()
 
 
+def _left_pairs(open_lists: DataFrame, kinds: DataFrame, threshold: int) -> DataFrame:
+    """(a, b) of the classes of different components that meet in a list and that sizes, places and sketches leave."""
+    sketches = kinds.join(open_lists.select("set_key").distinct(), "set_key", "left_semi").select("set_key", "bits").mapInArrow(_sketches, f"set_key binary, {_SKETCHES}")
+    rows = checkpointed(open_lists.join(sketches, "set_key"))
+    parts = checkpointed(rows.groupBy("shingle", "part").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("left").alias("rest")))
+    like = lambda least, most, least2, most2: (100 * F.col(most) >= threshold * F.col(least2)) & (100 * F.col(most2) >= threshold * F.col(least))
+    other = parts.select("shingle", F.col("part").alias("other"), *(F.col(c).alias(f"{c}2") for c in ("size", "least", "most", "rest")))
+    met = parts.join(other, "shingle").where((F.struct("size", "part") < F.struct(F.col("size2").alias("size"), F.col("other").alias("part"))) & like("least", "most", "least2", "most2") & _reachable(F.least("rest", "rest2"), "least", "least2", threshold))
+    met = met.select("shingle", "part", "other", "size2", "least2", "most2", "rest2")
+    side = lambda x: rows.select("shingle", "part", F.col("set_key").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "left", *(f"s{i}" for i in range(SKETCH_WORDS)))))
+    met = met.join(side("x"), ["shingle", "part"]).where(like("x_n", "x_n", "least2", "most2") & _reachable(F.least("x_left", "rest2"), "x_n", "least2", threshold)).drop("part")
+    # the classes of a large component are dealt into shares; one that meets them goes to each
+    shares = lambda size: F.ceil(F.col(size) / SHARE).cast("int")
+    met = met.withColumn("share", F.explode(F.sequence(F.lit(0), shares("size2") - 1)))
+    large = side("y").join(parts.select("shingle", "part", "size"), ["shingle", "part"]).withColumn("share", F.pmod(F.xxhash64("y"), shares("size")).cast("int")).withColumnRenamed("part", "other").drop("size")
+    apart = reduce(add, (F.bit_count(F.col(f"x_s{i}").bitwiseXOR(F.col(f"y_s{i}"))) for i in range(SKETCH_WORDS)))
+    alike = (100 + threshold) * apart <= (100 - threshold) * (F.col("x_n") + F.col("y_n"))
+    pairs = met.join(large, ["shingle", "other", "share"]).where(_reachable(F.least("x_left", "y_left"), "x_n", "y_n", threshold) & alike)
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def _open_lists(rows: DataFrame, of: DataFrame) -> DataFrame:
     """(shingle, set_key, n, left, part) of the lists that hold several components. The others stay as they are from then on, and leave."""
     held = rows.join(of.select("set_key", F.xxhash64("root").alias("part")), "set_key")

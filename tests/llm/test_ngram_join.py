@@ -152,3 +152,22 @@ def test_long_texts_are_cut_between_words(monkeypatch):
     whole = nj.Shingles()(text)
     monkeypatch.setattr(nj, "PIECE_BYTES", 997)
     assert np.array_equal(nj.Shingles()(text), whole) and len(whole) == 3002
+
+
+def test_a_large_component_and_near_copies_outside_it(spark, monkeypatch):
+    """Pairs that a sketch tells apart are never made, however many classes a component holds."""
+    rng = random.Random(21)
+    base, texts = [f"w{i}" for i in range(150)], []
+    for k in range(140):
+        copy = base[:]
+        for i in rng.sample(range(5, 75, 10), 2) if k < 80 else rng.sample(range(80, 150, 10), 4):
+            copy[i] = f"x{k}.{i}"
+        texts.append(" ".join(copy))
+    monkeypatch.setattr(nj, "MAX_ROUNDS", 0)  # all that the first hubs leave
+    made, links = [], nj._links
+    monkeypatch.setattr(nj, "_links", lambda documents, kinds, pairs, *how: (made.append(pairs.count()), links(documents, kinds, pairs, *how))[1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in nj.with_components(docs).collect()}
+    want = brute(texts)
+    assert found == want and len({x for _, x in want.values()}) > 20
+    assert made[-1] < 400, made  # 5330 places and sizes leave
