@@ -1,4 +1,6 @@
 import random
+import subprocess
+import sys
 from collections import Counter
 
 import corpus_pipeline as cp
@@ -102,3 +104,28 @@ def test_stages_against_brute_force(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, root string, bits int").write.parquet(str(tmp_path / "documents.parquet"))
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+_RETAINED = """
+import re
+import pyarrow as pa
+from readloom.llm import common, ngram_join as nj
+def anonymous():
+    return int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) >> 10
+def batches():
+    for k in range(3):
+        yield pa.record_batch([pa.array([" ".join(f"w{(i * j + k) % 9973}" for j in range(400)) for i in range(4000)])], ["text"])
+for _ in nj._sketch(5)(batches()):
+    pass
+next(common.slices(iter([])), None)  # as the next task begins
+before = anonymous()
+pa.default_memory_pool().release_unused()
+__import__("ctypes").CDLL(None).malloc_trim(0)
+print(before - anonymous())
+"""
+
+
+def test_workers_give_memory_back():
+    """A worker lives from task to task: what a task has freed must not stay with it."""
+    out = subprocess.run([sys.executable, "-c", _RETAINED], capture_output=True, text=True, check=True)
+    assert int(out.stdout) < 24, out.stdout
