@@ -171,3 +171,29 @@ def test_a_large_component_and_near_copies_outside_it(spark, monkeypatch):
     want = brute(texts)
     assert found == want and len({x for _, x in want.values()}) > 20
     assert made[-1] < 400, made  # 5330 places and sizes leave
+
+
+@pytest.mark.parametrize("kind", ["long", "binary"])
+def test_components_of_stars_and_of_the_driver(spark, kind):
+    rng = random.Random(8)
+    name = (lambda i: i) if kind == "long" else (lambda i: b"%c%03d" % (i % 2 * 200, i))
+    pairs = [(name(rng.randrange(150)), name(rng.randrange(150))) for _ in range(110)] + [(name(200 + i), name(201 + i)) for i in range(60)]
+    root = {x: x for p in pairs for x in p}
+    for _ in root:
+        for u, v in pairs:
+            root[u] = root[v] = min(root[u], root[v])
+    edges = spark.createDataFrame([*pairs, (None, name(1)), (name(2), None), (None, None)], f"u {kind}, v {kind}")
+    as_key = (lambda x: x) if kind == "long" else bytes
+    for driver_edges in (0, 40, 1000):
+        found = {as_key(r.node): as_key(r.root) for r in nj.components(edges, driver_edges).collect()}
+        assert found == {x: y for x, y in root.items() if x != y}
+    assert nj.components(edges.limit(0)).collect() == []
+
+
+def test_few_edges_take_no_rounds_of_joins(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "u long, v long")
+    spark.sparkContext.setJobGroup("few-edges", "")
+    assert nj.components(edges).count() == 300
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few-edges")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 10
