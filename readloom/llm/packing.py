@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import functools
 import re
+import sys
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,7 +35,7 @@ from readloom.llm.common import Remembered, checkpointed, slices, table
 
 CAPACITY = 2048
 SHARD_PIECES = 20_000
-CACHE_WORDS = 100_000
+CACHE_WORDS = 200_000  # and as many again of the older generation: some 80 MB a worker at most
 MAX_TASKS = 10_000
 END_ID = b"\0\0\0\0"
 
@@ -65,8 +67,9 @@ def encoder(path: str) -> Callable[[str], bytes]:
     merge, letters = tokenizer.model.tokenize, _byte_letters()
 
     def of_word(word: str) -> bytes:
-        """The library's model on one word, in the letters that stand for its bytes."""
-        return np.array([t.id for t in merge("".join(map(letters.__getitem__, word.encode())))], "<u4").tobytes()
+        """The library's model on one word, in the letters that stand for its bytes; those of printing ASCII are itself."""
+        ids = array("I", [t.id for t in merge(word if word.isascii() else "".join(map(letters.__getitem__, word.encode())))])
+        return ids.tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
 
     words, find = Remembered(of_word, CACHE_WORDS), re.compile(WORDS).findall
 

@@ -78,4 +78,19 @@ def test_pack_of_nothing(spark):
     assert packing.pack(packing.checkpointed(packing.pieces(docs))).count() == 0
 
 
+def test_a_large_vocabulary_is_encoded_once(monkeypatch):
+    asked = []
+
+    class Counted(packing.Remembered):
+        def __init__(self, make, *how):
+            super().__init__(lambda word: asked.append(word) or make(word), *how)
+
+    monkeypatch.setattr(packing, "Remembered", Counted)
+    encode = packing.encoder.__wrapped__(packing.default_tokenizer())
+    digits = str.maketrans("0123456789", "abcdefghij")
+    text = " ".join(f"w{i}".translate(digits) for i in range(190_000))
+    first, n = encode(text), len(asked)
+    assert encode(text) == first and len(asked) == n == 190_000
+
+
 assert sys.byteorder == "little"
