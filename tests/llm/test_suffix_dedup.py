@@ -88,3 +88,15 @@ def test_grouping_stands_chance_agreement(monkeypatch):
     values = np.random.default_rng(8).integers(0, 40, 500).astype(np.uint64)
     ranked = values[sd._grouped(values)]
     assert 1 + np.count_nonzero(ranked[1:] != ranked[:-1]) == len(set(values.tolist()))
+
+
+def test_many_keys_are_sorted_in_small_blocks(monkeypatch):
+    sizes, sort = [], sd.repeated_starts
+    monkeypatch.setattr(sd, "repeated_starts", lambda text, *how: sizes.append(len(text)) or sort(text, *how))
+    rng, pack = np.random.default_rng(4), sd.zstandard.ZstdCompressor(dict_data=sd._dictionary(b"")).compress
+    own = [rng.bytes(465) for _ in range(400)]
+    rows = [(key, bytes([side]) + key.to_bytes(8, "little"), 0, pack(c)) for key, c in enumerate(own) for side in (0, 1)]
+    batch = sd.pa.RecordBatch.from_arrays([sd.pa.array(x) for x in zip(*rows)], ["key", "digest", "a", "context"])
+    found = [r for b in sd._refined(400, b"")(iter([batch])) for r in b.to_pylist()]
+    assert sorted((r["digest"], r["a"], r["b"]) for r in found) == sorted((d, 0, 465) for _, d, _, _ in rows)
+    assert sum(sizes) == 800 * 465 and max(sizes) <= 1 << 17
