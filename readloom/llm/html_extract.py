@@ -3,8 +3,7 @@
 A page is split into tags and text, in one pass whose time is in proportion to its length, however broken it is. Elements
 that hold no article text (``DROPPED``, or a class, id or role that names one of ``NOISE``) go with all they contain. If the
 page marks its article (``CONTAINERS``), the text in it is the main text, also within a form or a noisy class that wraps
-the whole page; repeats across pages don't touch it, since pages that share an article, copies above all, would lose it.
-If there is no article and nothing is left, noisy classes are let stand.
+the whole page. If there is no article and nothing is left, noisy classes are let stand.
 
 Pages that mark none are loose: all their text is a candidate. Token streams of the loose pages of a host are searched for
 runs of at least ``MIN_TOKENS`` tokens that another page of the host, with another text, holds too; covered tokens are
@@ -12,6 +11,12 @@ boilerplate and go, runs of one page, however often it repeats them, stay. The s
 ``suffix_dedup`` on streams of eight characters a token, hashed with the host, so a host of any size spreads over all tasks.
 A page with no unique run at all is a copy, not boilerplate, and is kept whole.
 
+Marked articles are searched too, apart from loose pages. Articles share passages and have near copies, so there a run goes
+only if more than half of the host's different articles hold it, of ``MIN_ARTICLES`` or more, and an article that would lose
+over half of its tokens is a copy and stays whole. To sort no more than that takes, minimizers of the runs are counted by
+host first, and only articles that hold one as frequent are streams; what is counted by chance of equal hashes the search
+tells apart.
+
 Character references are decoded once; white space becomes single spaces; blocks join by one space. Defined results: null
 or empty html gives an empty text, as do pages without any; a tag that the page's end cuts off is no text; repeated rows are
 pages of their own, with equal texts; a null URL is a host of its own; null ids are kept; extra columns are ignored.
@@ -26,17 +31,20 @@ from collections.abc import Iterator
 from html import unescape
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.llm import suffix_dedup
-from readloom.llm.common import checkpointed, scratch_path, slices, table
+from readloom.llm.common import checkpointed, free_shuffles, remove, scratch_path, slices, table
 
 MIN_TOKENS = 12
 GRAM_TOKENS = 6
 TOKEN = 8
+MIN_ARTICLES = 8
+KEY_TOKENS = 3
 
 #: Element names, and class, id or role words, of the HTML vocabulary and of common page templates: fixed values.
 CONTAINERS = {"article", "main"}
@@ -200,16 +208,62 @@ def stream(host: str, text: str) -> str:
     return "".join(xxhash.xxh32_hexdigest(f"{host} {t}") for t in text.split(" ")) if text else ""
 
 
-_PARSED = "page_id long, url string, text string, stream string"
+_PARSED = "page_id long, url string, text string, stream string, host long"  # the host of a marked article
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def host_key(host: str) -> int:
+    return xxhash.xxh64_intdigest(host) - (1 << 63)
+
+
+def run_keys(text: str, host: int, min_tokens: int) -> np.ndarray:
+    """The minimizers of the text's runs of ``min_tokens`` tokens: equal runs of a host have one in common. 48 bits, then 16 of the host."""
+    size = min(KEY_TOKENS, min_tokens)
+    own = np.array([xxhash.xxh3_64_intdigest(t) for t in text.split(" ")], np.uint64)
+    if len(own) < min_tokens:
+        return np.zeros(0, np.int64)
+    found = own[: len(own) - size + 1].copy()
+    for k in range(1, size):
+        found = (found ^ (found >> np.uint64(31))) * _MIX + own[k : len(own) - size + 1 + k]
+    found = (found ^ (found >> np.uint64(29))) * _MIX
+    least = np.lib.stride_tricks.sliding_window_view(found, min_tokens - size + 1).min(axis=1)
+    least = least[np.concatenate([[True], least[1:] != least[:-1]])]
+    return np.unique((least * _MIX) & ~np.uint64(0xFFFF) | np.uint64(host & 0xFFFF)).view(np.int64)
+
+
+def _run_keys(min_tokens: int):
+    """(run_key) of the articles (text, host), once for each article."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            keys = [run_keys(t, h, min_tokens) for t, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys))], ["run_key"])
+
+    return run
+
+
+def _with_streams(min_tokens: int, frequent: suffix_dedup._Shared):
+    """The parsed pages; articles with a frequent key have their stream."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            streams = []
+            for url, text, own, host in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                if host is not None and text and suffix_dedup._passes(frequent.value, run_keys(text, host, min_tokens)).any():
+                    own = stream(f"{host_of(url)} article", text)
+                streams.append(own)
+            yield batch.set_column(3, batch.schema.field(3), pa.array(streams, pa.string()))
+
+    return run
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = [pa.int64(), pa.string(), pa.string(), pa.string()]
+    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
     for batch in slices(batches):
         rows = []
         for page_id, url, html in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             text, loose = parse(html)
-            rows.append((page_id, url, text, stream(host_of(url), text) if loose and text else None))
+            rows.append((page_id, url, text, stream(host_of(url), text) if loose and text else None, None if loose else host_key(host_of(url))))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], [x.split()[0] for x in _PARSED.split(", ")])
 
 
@@ -240,8 +294,12 @@ def unique_runs(text: str, starts: list[int], min_tokens: int) -> str:
 def _kept(min_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = [unique_runs(t, s, min_tokens) if s else t for t, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield batch.set_column(2, batch.schema.field(2), pa.array(texts, pa.string())).drop_columns(["starts"])
+            texts = []
+            for text, starts, host in zip(*(batch.column(i).to_pylist() for i in range(2, 5)), strict=True):
+                kept = unique_runs(text, starts, min_tokens) if starts else text
+                whole = host is not None and 2 * (kept.count(" ") + 1) < text.count(" ") + 1
+                texts.append(text if whole else kept)
+            yield batch.set_column(2, batch.schema.field(2), pa.array(texts, pa.string())).drop_columns(["starts", "host"])
 
     return run
 
@@ -252,18 +310,36 @@ def extract(pages: DataFrame, min_tokens: int = MIN_TOKENS, gram_tokens: int = G
     at = scratch_path(spark, "pages-parsed")
     pages.select("page_id", "url", "html").mapInArrow(_parsed, _PARSED).write.option("compression", "zstd").parquet(at)
     parsed = spark.read.schema(_PARSED).parquet(at)
-    sure, loose = parsed.where("stream is null").select("page_id", "url", "text"), parsed.where("stream is not null")
-    if not loose.take(1):
+    articles = parsed.where("host is not null and text != ''")
+    hosts = articles.select("host", F.xxhash64("text").alias("own")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    hosts = checkpointed(hosts.where(F.col("n") >= MIN_ARTICLES).select("host", F.floor(F.col("n") / 2 + 1).alias("least")))
+    # 2^16 rows at most; copies of an article count here, not in the search
+    least = F.broadcast(hosts.groupBy(F.col("host").bitwiseAND(F.lit(0xFFFF)).alias("host16")).agg(F.min("least").alias("least")))
+    keys = articles.select("text", "host").mapInArrow(_run_keys(min_tokens), "run_key long").groupBy("run_key").agg(F.count(F.lit(1)).alias("n"))
+    frequent = keys.withColumn("host16", F.col("run_key").bitwiseAND(F.lit(0xFFFF))).join(least, "host16").where("n >= least").select("run_key")
+    frequent = checkpointed(frequent)
+    if frequent.take(1):
+        words, bits = suffix_dedup._bit_filter(frequent, "run_key")
+        filled = suffix_dedup._Shared(spark.sparkContext.broadcast(words), bits)
+        before, at = at, scratch_path(spark, "pages-streams")
+        parsed.mapInArrow(_with_streams(min_tokens, filled), _PARSED).write.option("compression", "zstd").parquet(at)
+        remove(spark, before)
+        free_shuffles(spark)
+        parsed = spark.read.schema(_PARSED).parquet(at)
+    sure, searched = parsed.where("stream is null").select("page_id", "url", "text"), parsed.where("stream is not null")
+    if not searched.take(1):
         return sure
-    keyed = loose.withColumn("text_key", F.unhex(F.md5("stream")))
-    streams = checkpointed(keyed.groupBy("text_key").agg(F.first("stream").alias("stream")))  # pages of one text are one page
+    keyed = searched.withColumn("text_key", F.unhex(F.md5("stream")))
+    streams = checkpointed(keyed.groupBy("text_key").agg(F.first("stream").alias("stream"), F.min("host").alias("host")))  # pages of one text are one page
     spans = suffix_dedup.repeated_spans(streams.select(F.col("stream").alias("text")), length=TOKEN * min_tokens, gram=TOKEN * gram_tokens)
-    # of the runs that start twice, those of two texts or more count
+    # of the runs that start twice, those of two texts or more count; of articles, those of most of the host's
     runs = streams.join(spans, "text_key").select("text_key", "stream", "spans").mapInArrow(_runs(min_tokens), "text_key binary, at int, run binary")
     runs = checkpointed(runs)
-    shared = runs.select("run", "text_key").distinct().groupBy("run").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("run")
+    needed = streams.join(hosts, "host", "left").where("host is null or least is not null").select("text_key", F.coalesce("least", F.lit(2)).alias("least"))
+    held_by = runs.select("run", "text_key").distinct().join(needed, "text_key")
+    shared = held_by.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("least")).where("n >= least").select("run")
     starts = runs.join(shared, "run").groupBy("text_key").agg(F.collect_list("at").alias("starts"))
-    held = keyed.join(starts, "text_key", "left").select("page_id", "url", "text", "starts")
+    held = keyed.join(starts, "text_key", "left").select("page_id", "url", "text", "starts", "host")
     return sure.unionByName(held.mapInArrow(_kept(min_tokens), "page_id long, url string, text string"))
 
 

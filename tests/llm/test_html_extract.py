@@ -101,3 +101,29 @@ def test_runs_that_one_page_repeats_stay(spark):
     texts = [f"{bar} {quote} a b {quote} c", f"{bar} d e f"]
     df = spark.createDataFrame([(i, f"http://h.x/{i}", f"<p>{t}</p>") for i, t in enumerate(texts)], "page_id long, url string, html string")
     assert {r.page_id: r.text for r in h.extract(df).collect()} == {0: f"{quote} a b {quote} c", 1: "d e f"}
+
+
+def test_articles_lose_what_most_of_their_host_hold(spark):
+    rng = random.Random(31)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    notice, passage, base = words(15), words(20), words(60).split()
+    page = lambda *blocks: f"<nav>{words(3)}</nav><article>{''.join(f'<p>{b}</p>' for b in blocks)}</article>"
+    rows, want = [], []
+
+    def add(host, html, text):
+        want.append(text)
+        rows.append((len(rows), f"http://{host}/{len(rows)}", html))
+
+    for i in range(20):  # a notice in most articles of a host, a passage in a few, which another host has as well
+        own, few = words(40), [passage] if i < 6 else []
+        add("a", page(own, *few, *[notice] * (i < 15)), " ".join([own, *few]))
+        add("b", page(own, *few, *[notice] * (i < 4)), " ".join([own, *few, *[notice] * (i < 4)]))
+    for _ in range(9):  # copies and near copies of one article are most of a host
+        text = " ".join(rng.choice([w, "x"]) if i % 30 == 0 else w for i, w in enumerate(base)) + " " + words(1)
+        add("c", page(text), text)
+    for _ in range(5):
+        add("d", page(notice, own := words(20)), f"{notice} {own}")  # too few to tell
+    for _ in range(9):
+        add("e", page(*(copy := [notice, passage])), " ".join(copy))
+    found = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert [found[i] for i in range(len(rows))] == want
