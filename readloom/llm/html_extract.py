@@ -1,21 +1,23 @@
-"""Main text of web pages: structure where the page has it, host-wide repeated runs where it has not.
+"""Main text of web pages: structure where the page has it, and repeated runs of a host by suffix sorting.
 
 A page is split into tags and text, in one pass whose time is in proportion to its length, however broken it is. Elements
 that hold no article text (``DROPPED``, or a class, id or role that names one of ``NOISE``) go with all they contain. If the
 page marks its article (``CONTAINERS``), the text in it is the main text, also within a form or a noisy class that wraps
 the whole page. If there is no article and nothing is left, noisy classes are let stand.
 
-Pages that mark none are loose: all their text is a candidate. Token streams of the loose pages of a host are searched for
-runs of at least ``MIN_TOKENS`` tokens that another page of the host, with another text, holds too; covered tokens are
-boilerplate and go, runs of one page, however often it repeats them, stay. The search is the suffix sorting of
-``suffix_dedup`` on streams of eight characters a token, hashed with the host, so a host of any size spreads over all tasks.
-A page with no unique run at all is a copy, not boilerplate, and is kept whole.
+Pages that mark none are loose: all their text is a candidate. The token streams of a host's pages, marked or loose, are
+searched for repeated runs of ``min_tokens`` tokens by suffix sorting, on every table:
 
-Marked articles are searched too, apart from loose pages. Articles share passages and have near copies, so there a run goes
-only if more than half of the host's different articles hold it, of ``MIN_ARTICLES`` or more, and an article that would lose
-over half of its tokens is a copy and stays whole. To sort no more than that takes, minimizers of the runs are counted by
-host first, and only articles that hold one as frequent are streams; what is counted by chance of equal hashes the search
-tells apart.
+1. Each run has a minimizer; those that two different texts of a host hold are the keys, by a combining aggregate.
+2. The stretches of tokens whose runs have such a key meet by key, so a host of any size spreads over all tasks, and are
+   sorted by the bucket-pointer refinement of ``suffix_dedup``: equal runs end in one bucket, whose different texts count.
+   What has a key in common by chance is told apart there. Keys with over ``HOT_STRETCHES`` stretches never meet in one
+   task; their runs are counted by 128-bit digest, by aggregates.
+3. Of loose pages, a run goes that two different texts hold; runs of one page, however often it repeats them, stay. A page
+   with no unique run at all is a copy, not boilerplate, and is kept whole.
+4. Marked articles are searched apart from loose pages. They share passages and have near copies, so there a run goes only
+   if more than half of the host's different articles hold it, of ``MIN_ARTICLES`` or more, and an article that would lose
+   over half of its tokens is a copy and stays whole.
 
 Character references are decoded once; white space becomes single spaces; blocks join by one space. Defined results: null
 or empty html gives an empty text, as do pages without any; a tag that the page's end cuts off is no text; repeated rows are
@@ -38,13 +40,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.llm import suffix_dedup
-from readloom.llm.common import checkpointed, free_shuffles, remove, scratch_path, slices, table
+from readloom.llm.common import free_shuffles, scratch_path, slices, table
 
 MIN_TOKENS = 12
 GRAM_TOKENS = 6
-TOKEN = 8
 MIN_ARTICLES = 8
 KEY_TOKENS = 3
+HOT_STRETCHES = 50_000
+FILTER_SPREAD = 128
 
 #: Element names, and class, id or role words, of the HTML vocabulary and of common page templates: fixed values.
 CONTAINERS = {"article", "main"}
@@ -203,12 +206,9 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def stream(host: str, text: str) -> str:
-    """Eight characters for each token."""
-    return "".join(xxhash.xxh32_hexdigest(f"{host} {t}") for t in text.split(" ")) if text else ""
-
-
-_PARSED = "page_id long, url string, text string, stream string, host long"  # the host of a marked article
+_PARSED = "page_id long, url string, text string, text_key binary, host long, loose boolean"
+_STRETCHES = "run_key long, text_key binary, host long, at int, tokens binary"
+_HELD = "text_key binary, host long, first int, last int, n long"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -216,78 +216,162 @@ def host_key(host: str) -> int:
     return xxhash.xxh64_intdigest(host) - (1 << 63)
 
 
-def run_keys(text: str, host: int, min_tokens: int) -> np.ndarray:
-    """The minimizers of the text's runs of ``min_tokens`` tokens: equal runs of a host have one in common. 48 bits, then 16 of the host."""
-    size = min(KEY_TOKENS, min_tokens)
-    own = np.array([xxhash.xxh3_64_intdigest(t) for t in text.split(" ")], np.uint64)
-    if len(own) < min_tokens:
-        return np.zeros(0, np.int64)
-    found = own[: len(own) - size + 1].copy()
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.bool_()]
+    for batch in slices(batches):
+        rows = []
+        for page_id, url, html in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            text, loose = parse(html)
+            within = host_of(url) if loose else f"{host_of(url)} article"
+            rows.append((page_id, url, text, hashlib.md5(f"{within} {text}".encode()).digest() if text else None, host_key(within), loose))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], _names(_PARSED))
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def token_hashes(text: str, host: int) -> np.ndarray:
+    seed = host & ((1 << 64) - 1)
+    return np.array([xxhash.xxh3_64_intdigest(t, seed) for t in text.split(" ")], np.uint64)
+
+
+def grams_of(tokens: np.ndarray, size: int) -> np.ndarray:
+    """The ``size`` tokens from each place on, as 64 bits; none for the last places."""
+    n = max(0, len(tokens) - size + 1)
+    found = tokens[:n].copy()
     for k in range(1, size):
-        found = (found ^ (found >> np.uint64(31))) * _MIX + own[k : len(own) - size + 1 + k]
-    found = (found ^ (found >> np.uint64(29))) * _MIX
-    least = np.lib.stride_tricks.sliding_window_view(found, min_tokens - size + 1).min(axis=1)
-    least = least[np.concatenate([[True], least[1:] != least[:-1]])]
-    return np.unique((least * _MIX) & ~np.uint64(0xFFFF) | np.uint64(host & 0xFFFF)).view(np.int64)
+        found = (found ^ (found >> np.uint64(31))) * _MIX + tokens[k : k + n]
+    return (found ^ (found >> np.uint64(29))) * _MIX
+
+
+def run_keys(tokens: np.ndarray, min_tokens: int) -> np.ndarray:
+    """The minimizer of each run of ``min_tokens`` tokens: equal runs have equal ones."""
+    if len(tokens) < min_tokens:
+        return np.zeros(0, np.int64)
+    size = min(KEY_TOKENS, min_tokens)
+    least = np.lib.stride_tricks.sliding_window_view(grams_of(tokens, size), min_tokens - size + 1).min(axis=1)
+    return (least * _MIX).view(np.int64)
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[str, bytes, int]]]:
+    """(text, text_key, host) by slices, equal texts once for each task."""
+    told: set[bytes] = set()
+    for batch in slices(batches):
+        rows = []
+        for text, key, host in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if key not in told:
+                told.add(key)
+                rows.append((text, key, host))
+        yield rows
 
 
 def _run_keys(min_tokens: int):
-    """(run_key) of the articles (text, host), once for each article."""
+    """(run_key, tag) of the texts, each key once for a text; the tag is the text's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            keys = [run_keys(t, h, min_tokens) for t, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys))], ["run_key"])
+        for rows in _once(batches):
+            keys = [np.unique(run_keys(token_hashes(text, host), min_tokens)) for text, _, host in rows]
+            tags = np.repeat(np.array([int.from_bytes(key[:4], "little", signed=True) for _, key, _ in rows], np.int32), [len(k) for k in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *keys])), pa.array(tags)], ["run_key", "tag"])
 
     return run
 
 
-def _with_streams(min_tokens: int, frequent: suffix_dedup._Shared):
-    """The parsed pages; articles with a frequent key have their stream."""
+def _stretches(min_tokens: int, shared: suffix_dedup._Shared):
+    """The tokens of successive runs of one shared key, and where they start."""
+    types = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            streams = []
-            for url, text, own, host in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
-                if host is not None and text and suffix_dedup._passes(frequent.value, run_keys(text, host, min_tokens)).any():
-                    own = stream(f"{host_of(url)} article", text)
-                streams.append(own)
-            yield batch.set_column(3, batch.schema.field(3), pa.array(streams, pa.string()))
+        for texts in _once(batches):
+            rows = []
+            for text, own, host in texts:
+                tokens = token_hashes(text, host)
+                keys = run_keys(tokens, min_tokens)
+                edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
+                for i in np.flatnonzero(suffix_dedup._passes(shared.value, keys[edges[:-1]])).tolist():
+                    first, end = edges[i : i + 2].tolist()
+                    rows.append((int(keys[first]), own, host, first, tokens[first : end + min_tokens - 1].tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], _names(_STRETCHES))
 
     return run
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
-    for batch in slices(batches):
-        rows = []
-        for page_id, url, html in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            text, loose = parse(html)
-            rows.append((page_id, url, text, stream(host_of(url), text) if loose and text else None, None if loose else host_key(host_of(url))))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], [x.split()[0] for x in _PARSED.split(", ")])
+def repeated_runs(held: list[tuple[bytes, int, int, bytes]], min_tokens: int, gram_tokens: int) -> list[tuple[bytes, int, int, int, int]]:
+    """Of the stretches (text_key, host, at, tokens) with all stretches of their keys: (text_key, host, first start, last start, n) of
+    the runs that n texts hold, two or more."""
+    sizes = np.array([len(t) // 8 for *_, t in held])
+    tokens = np.frombuffer(b"".join(t for *_, t in held), np.uint64)
+    until = np.cumsum(sizes)
+    depth = min(gram_tokens, min_tokens)
+    grams = np.zeros(len(tokens), np.uint64)
+    whole = grams_of(tokens, depth)
+    grams[: len(whole)] = whole
+    at, bucket = suffix_dedup.refined(grams, depth, np.repeat(until, sizes), min_tokens)
+    if not len(at):
+        return []
+    stretch = np.searchsorted(until, at, side="right")
+    names: dict[bytes, int] = {}
+    text = np.array([names.setdefault(own, len(names)) for own, *_ in held])[stretch]
+    bucket = np.unique(bucket, return_inverse=True)[1]
+    n = np.bincount(np.unique(bucket * len(names) + text) // len(names))[bucket]
+    edges = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (stretch[1:] != stretch[:-1]) | (n[1:] != n[:-1]), [True]]))
+    begin = until - sizes
+    found = []
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        if n[a] > 1:
+            own, host, offset, _ = held[stretch[a]]
+            offset -= int(begin[stretch[a]])
+            found.append((own, host, offset + int(at[a]), offset + int(at[b - 1]), int(n[a])))
+    return found
+
+
+def _sorted(min_tokens: int, gram_tokens: int):
+    types = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+
+    def solve(held: list[tuple[bytes, int, int, bytes]]) -> pa.RecordBatch:
+        rows = repeated_runs(held, min_tokens, gram_tokens)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([],) * 5, types, strict=True)], _names(_HELD))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, before, last = [], 0, None, None
+        for batch in slices(batches):
+            for key, own, host, at, tokens in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if (own, at) == last:  # copies of one text, of other tasks
+                    continue
+                if key != before and size >= suffix_dedup.BLOCK_BYTES:
+                    yield solve(held)
+                    held, size = [], 0
+                before, last = key, (own, at)
+                held.append((own, host, at, tokens))
+                size += len(tokens)
+        if held:
+            yield solve(held)
+
+    return run
 
 
-def _runs(min_tokens: int):
-    """(text_key, at, run) of each run of ``min_tokens`` tokens within the repeated spans of a stream."""
+def _run_digests(min_tokens: int):
+    """(run, text_key, host, at) of each run of the stretches."""
+    types = [pa.binary(), pa.binary(), pa.int64(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 16):
+        for batch in slices(batches, 64):
             rows = []
-            for key, text, spans in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                for a, b in suffix_dedup.merged(spans):
-                    for at in range(-(-a // TOKEN), b // TOKEN - min_tokens + 1):
-                        rows.append((key, at, hashlib.md5(text[TOKEN * at : TOKEN * (at + min_tokens)].encode()).digest()))
-            types = (pa.binary(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([],) * 3, types, strict=True)], ["text_key", "at", "run"])
+            for own, host, at, tokens in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                for k in range(len(tokens) // 8 - min_tokens + 1):
+                    rows.append((xxhash.xxh3_128_digest(tokens[8 * k : 8 * (k + min_tokens)]), own, host, at + k))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([],) * 4, types, strict=True)], ["run", "text_key", "host", "at"])
 
     return run
 
 
-def unique_runs(text: str, starts: list[int], min_tokens: int) -> str:
-    """The tokens outside the runs that start there; the whole text if there are none."""
+def unique_runs(text: str, spans: list, min_tokens: int) -> str:
+    """The tokens outside the runs that start at the spans' first to last place; the whole text if there are none."""
     tokens = text.split(" ")
-    for at in starts:
-        tokens[at : at + min_tokens] = [""] * min_tokens
+    for first, last in spans:
+        tokens[first : last + min_tokens] = [""] * (last + min_tokens - first)
     return " ".join(filter(None, tokens)) or text
 
 
@@ -295,51 +379,57 @@ def _kept(min_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = []
-            for text, starts, host in zip(*(batch.column(i).to_pylist() for i in range(2, 5)), strict=True):
-                kept = unique_runs(text, starts, min_tokens) if starts else text
-                whole = host is not None and 2 * (kept.count(" ") + 1) < text.count(" ") + 1
+            for text, loose, spans in zip(*(batch.column(i).to_pylist() for i in range(2, 5)), strict=True):
+                kept = unique_runs(text, [(x["first"], x["last"]) for x in spans], min_tokens)
+                whole = not loose and 2 * (kept.count(" ") + 1) < text.count(" ") + 1
                 texts.append(text if whole else kept)
-            yield batch.set_column(2, batch.schema.field(2), pa.array(texts, pa.string())).drop_columns(["starts", "host"])
+            yield batch.set_column(2, batch.schema.field(2), pa.array(texts, pa.string())).drop_columns(["loose", "spans"])
 
     return run
 
 
-def extract(pages: DataFrame, min_tokens: int = MIN_TOKENS, gram_tokens: int = GRAM_TOKENS) -> DataFrame:
+def held_runs(texts: DataFrame, min_tokens: int = MIN_TOKENS, gram_tokens: int = GRAM_TOKENS, hot_stretches: int = HOT_STRETCHES) -> DataFrame:
+    """(text_key, host, first, last, n): the runs of ``min_tokens`` tokens that start at first to last are held by n different
+    texts of the host, two or more. ``texts``: (text, text_key, host); equal keys are one text."""
+    spark = texts.sparkSession
+    texts = texts.select("text", "text_key", "host")
+    keys = texts.mapInArrow(_run_keys(min_tokens), "run_key long, tag int").groupBy("run_key").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi"), F.count(F.lit(1)).alias("n"))
+    keys_at = scratch_path(spark, "pages-keys")
+    keys.where("lo != hi").select("run_key", "n").write.parquet(keys_at)
+    shared = spark.read.schema("run_key long, n long").parquet(keys_at)
+    free_shuffles(spark)  # a written table holds none of them, as a checkpoint would
+    words, bits = suffix_dedup._bit_filter(shared, "run_key", FILTER_SPREAD)
+    stretches = texts.mapInArrow(_stretches(min_tokens, suffix_dedup._Shared(spark.sparkContext.broadcast(words), bits)), _STRETCHES)
+    hot_keys = shared.where(F.col("n") > hot_stretches).select("run_key")
+    n_hot = hot_keys.count()
+    hot_keys = F.broadcast(hot_keys) if n_hot <= suffix_dedup.MAX_BROADCAST_KEYS else hot_keys
+    cool = stretches.join(hot_keys, "run_key", "left_anti") if n_hot else stretches
+    cool = cool.repartition("run_key").sortWithinPartitions("run_key", "text_key", "at")
+    found = cool.mapInArrow(_sorted(min_tokens, gram_tokens), _HELD)
+    if n_hot:
+        hot = stretches.join(hot_keys, "run_key", "left_semi").mapInArrow(_run_digests(min_tokens), "run binary, text_key binary, host long, at int").distinct()
+        several = hot.select("run", "text_key").distinct().groupBy("run").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        found = found.unionByName(hot.join(several, "run").select("text_key", "host", F.col("at").alias("first"), F.col("at").alias("last"), "n"))
+    return found
+
+
+def extract(pages: DataFrame, min_tokens: int = MIN_TOKENS, gram_tokens: int = GRAM_TOKENS, hot_stretches: int = HOT_STRETCHES) -> DataFrame:
     """(page_id, url, text) for each row of (page_id, url, html)."""
     spark = pages.sparkSession
-    at = scratch_path(spark, "pages-parsed")
+    at, spans_at = scratch_path(spark, "pages-parsed"), scratch_path(spark, "pages-spans")
     pages.select("page_id", "url", "html").mapInArrow(_parsed, _PARSED).write.option("compression", "zstd").parquet(at)
     parsed = spark.read.schema(_PARSED).parquet(at)
-    articles = parsed.where("host is not null and text != ''")
-    hosts = articles.select("host", F.xxhash64("text").alias("own")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    hosts = checkpointed(hosts.where(F.col("n") >= MIN_ARTICLES).select("host", F.floor(F.col("n") / 2 + 1).alias("least")))
-    # 2^16 rows at most; copies of an article count here, not in the search
-    least = F.broadcast(hosts.groupBy(F.col("host").bitwiseAND(F.lit(0xFFFF)).alias("host16")).agg(F.min("least").alias("least")))
-    keys = articles.select("text", "host").mapInArrow(_run_keys(min_tokens), "run_key long").groupBy("run_key").agg(F.count(F.lit(1)).alias("n"))
-    frequent = keys.withColumn("host16", F.col("run_key").bitwiseAND(F.lit(0xFFFF))).join(least, "host16").where("n >= least").select("run_key")
-    frequent = checkpointed(frequent)
-    if frequent.take(1):
-        words, bits = suffix_dedup._bit_filter(frequent, "run_key")
-        filled = suffix_dedup._Shared(spark.sparkContext.broadcast(words), bits)
-        before, at = at, scratch_path(spark, "pages-streams")
-        parsed.mapInArrow(_with_streams(min_tokens, filled), _PARSED).write.option("compression", "zstd").parquet(at)
-        remove(spark, before)
-        free_shuffles(spark)
-        parsed = spark.read.schema(_PARSED).parquet(at)
-    sure, searched = parsed.where("stream is null").select("page_id", "url", "text"), parsed.where("stream is not null")
-    if not searched.take(1):
-        return sure
-    keyed = searched.withColumn("text_key", F.unhex(F.md5("stream")))
-    streams = checkpointed(keyed.groupBy("text_key").agg(F.first("stream").alias("stream"), F.min("host").alias("host")))  # pages of one text are one page
-    spans = suffix_dedup.repeated_spans(streams.select(F.col("stream").alias("text")), length=TOKEN * min_tokens, gram=TOKEN * gram_tokens)
-    # of the runs that start twice, those of two texts or more count; of articles, those of most of the host's
-    runs = streams.join(spans, "text_key").select("text_key", "stream", "spans").mapInArrow(_runs(min_tokens), "text_key binary, at int, run binary")
-    runs = checkpointed(runs)
-    needed = streams.join(hosts, "host", "left").where("host is null or least is not null").select("text_key", F.coalesce("least", F.lit(2)).alias("least"))
-    held_by = runs.select("run", "text_key").distinct().join(needed, "text_key")
-    shared = held_by.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("least")).where("n >= least").select("run")
-    starts = runs.join(shared, "run").groupBy("text_key").agg(F.collect_list("at").alias("starts"))
-    held = keyed.join(starts, "text_key", "left").select("page_id", "url", "text", "starts", "host")
+    texts = parsed.where("text_key is not null")
+    found = held_runs(texts, min_tokens, gram_tokens, hot_stretches)
+    # of loose pages, two texts; of articles, most of the host's
+    hosts = texts.select("host", "loose", "text_key").distinct().groupBy("host", "loose").agg(F.count(F.lit(1)).alias("texts"))
+    least = F.when(F.col("loose"), F.lit(2)).when(F.col("texts") >= MIN_ARTICLES, F.floor(F.col("texts") / 2 + 1))
+    boilerplate = found.join(hosts.select("host", least.alias("least")), "host").where("n >= least")
+    boilerplate.groupBy("text_key").agg(F.collect_list(F.struct("first", "last")).alias("spans")).write.parquet(spans_at)
+    free_shuffles(spark)
+    spans = spark.read.schema("text_key binary, spans array<struct<first: int, last: int>>").parquet(spans_at)
+    held = parsed.join(spans, "text_key").select("page_id", "url", "text", "loose", "spans")
+    sure = parsed.join(spans, "text_key", "left_anti").select("page_id", "url", "text")
     return sure.unionByName(held.mapInArrow(_kept(min_tokens), "page_id long, url string, text string"))
 
 

@@ -127,3 +127,34 @@ def test_articles_lose_what_most_of_their_host_hold(spark):
         add("e", page(*(copy := [notice, passage])), " ".join(copy))
     found = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
     assert [found[i] for i in range(len(rows))] == want
+
+
+def test_the_host_search_finds_every_run_that_two_texts_share(spark):
+    """Few articles of many hold it: the suffix sorting runs on them all the same, hot keys or not."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(12)]
+    texts = {f"k{i}": (i % 2, " ".join(rng.choices(words[: rng.choice([2, 12])], k=rng.randint(1, 60)))) for i in range(40)}
+    passage = " ".join(rng.choices(words, k=20))
+    texts |= {f"p{i}": (0, f"{i} {passage} {i} {passage} {i}") for i in range(2)} | {f"q{i}": (i, passage) for i in range(2)}
+    length, want = 5, {}
+    at_run = {(k, i): (h, tuple(t.split(" ")[i : i + length])) for k, (h, t) in texts.items() for i in range(len(t.split(" ")) - length + 1)}
+    for run in set(at_run.values()):
+        where = [at for at, r in at_run.items() if r == run]
+        if (n := len({k for k, _ in where})) > 1:
+            want |= dict.fromkeys(where, n)
+    rows = [(t, k.encode(), h) for k, (h, t) in texts.items()]
+    df = spark.createDataFrame(rows + rows[:9] + rows[-4:], "text string, text_key binary, host long").repartition(4)
+    for hot in (50_000, 1):
+        found = [(bytes(r.text_key).decode(), i, r.n) for r in h.held_runs(df, length, 3, hot).collect() for i in range(r["first"], r["last"] + 1)]
+        assert len(found) == len(want) and {(k, i): n for k, i, n in found} == want
+
+
+def test_the_query_searches_marked_pages(spark, tmp_path, monkeypatch):
+    """Two articles that share a passage meet in the search, and by the host's rule keep it."""
+    passage, found = " ".join(f"v{i}" for i in range(20)), []
+    rows = [(i, f"http://h.x/{i}", f"<article>own{i} {passage}</article>") for i in range(2)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    search = h.held_runs
+    monkeypatch.setattr(h, "held_runs", lambda *a: found.append(search(*a)) or found[0])
+    assert {r.page_id: r.text for r in h.html_query(spark, str(tmp_path)).collect()} == {i: f"own{i} {passage}" for i in range(2)}
+    assert sorted((i, r.n) for r in found[0].collect() for i in range(r["first"], r["last"] + 1)) == [(i, 2) for i in range(1, 10) for _ in range(2)]
