@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.llm import suffix_dedup
-from readloom.llm.common import free_shuffles, scratch_path, slices, table
+from readloom.llm.common import scratch_path, shuffles_end_with_queries, slices, table
 
 MIN_TOKENS = 12
 GRAM_TOKENS = 6
@@ -397,7 +397,6 @@ def held_runs(texts: DataFrame, min_tokens: int = MIN_TOKENS, gram_tokens: int =
     keys_at = scratch_path(spark, "pages-keys")
     keys.where("lo != hi").select("run_key", "n").write.parquet(keys_at)
     shared = spark.read.schema("run_key long, n long").parquet(keys_at)
-    free_shuffles(spark)  # a written table holds none of them, as a checkpoint would
     words, bits = suffix_dedup._bit_filter(shared, "run_key", FILTER_SPREAD)
     stretches = texts.mapInArrow(_stretches(min_tokens, suffix_dedup._Shared(spark.sparkContext.broadcast(words), bits)), _STRETCHES)
     hot_keys = shared.where(F.col("n") > hot_stretches).select("run_key")
@@ -420,13 +419,13 @@ def extract(pages: DataFrame, min_tokens: int = MIN_TOKENS, gram_tokens: int = G
     pages.select("page_id", "url", "html").mapInArrow(_parsed, _PARSED).write.option("compression", "zstd").parquet(at)
     parsed = spark.read.schema(_PARSED).parquet(at)
     texts = parsed.where("text_key is not null")
-    found = held_runs(texts, min_tokens, gram_tokens, hot_stretches)
-    # of loose pages, two texts; of articles, most of the host's
-    hosts = texts.select("host", "loose", "text_key").distinct().groupBy("host", "loose").agg(F.count(F.lit(1)).alias("texts"))
-    least = F.when(F.col("loose"), F.lit(2)).when(F.col("texts") >= MIN_ARTICLES, F.floor(F.col("texts") / 2 + 1))
-    boilerplate = found.join(hosts.select("host", least.alias("least")), "host").where("n >= least")
-    boilerplate.groupBy("text_key").agg(F.collect_list(F.struct("first", "last")).alias("spans")).write.parquet(spans_at)
-    free_shuffles(spark)
+    with shuffles_end_with_queries(spark):
+        found = held_runs(texts, min_tokens, gram_tokens, hot_stretches)
+        # of loose pages, two texts; of articles, most of the host's
+        hosts = texts.select("host", "loose", "text_key").distinct().groupBy("host", "loose").agg(F.count(F.lit(1)).alias("texts"))
+        least = F.when(F.col("loose"), F.lit(2)).when(F.col("texts") >= MIN_ARTICLES, F.floor(F.col("texts") / 2 + 1))
+        boilerplate = found.join(hosts.select("host", least.alias("least")), "host").where("n >= least")
+        boilerplate.groupBy("text_key").agg(F.collect_list(F.struct("first", "last")).alias("spans")).write.parquet(spans_at)
     spans = spark.read.schema("text_key binary, spans array<struct<first: int, last: int>>").parquet(spans_at)
     held = parsed.join(spans, "text_key").select("page_id", "url", "text", "loose", "spans")
     sure = parsed.join(spans, "text_key", "left_anti").select("page_id", "url", "text")

@@ -158,3 +158,24 @@ def test_the_query_searches_marked_pages(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(h, "held_runs", lambda *a: found.append(search(*a)) or found[0])
     assert {r.page_id: r.text for r in h.html_query(spark, str(tmp_path)).collect()} == {i: f"own{i} {passage}" for i in range(2)}
     assert sorted((i, r.n) for r in found[0].collect() for i in range(r["first"], r["last"] + 1)) == [(i, 2) for i in range(1, 10) for _ in range(2)]
+
+
+def test_no_shuffle_of_the_search_outlives_its_query(spark):
+    """Else the shuffle of keys is on disk together with that of stretches."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choices(words, k=200)) for _ in range(60)]
+    rows = [(i, f"http://h{i % 2}.x/{i}", f"<article>{t} {texts[i - i % 5]}</article>") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {b for b in str(files.getAllBlocks().mkString(" ")).split() if b.startswith("shuffle_")}
+    spark.sparkContext._jvm.System.gc()
+    df.count()
+    before, setting = shuffles(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    cleaned = spark.conf.get(setting, "false")
+    found = h.extract(df)
+    until = time.time() + 10
+    while (left := shuffles() - before) and time.time() < until:
+        time.sleep(0.1)
+    assert not left and spark.conf.get(setting, "false") == cleaned
+    assert found.count() == len(rows)
